@@ -1,0 +1,52 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more than 1/SHARE of the rows is hot, so there are fewer than SHARE hot keys.
+SHARE = 1000
+# Below this many rows a hot key fits easily into one task.
+SMALL = 1_000_000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, slices) for the hot keys of a per-key count table with column ``n``.
+
+    At most ``SHARE`` rows, and the slices of all keys add up to at most twice that,
+    whatever the size of the data: safe to broadcast.
+    """
+    limit = total / SHARE
+    return counts.where(F.col("n") > limit).select(
+        key, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_slices")
+    )
+
+
+def sliced_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    total: int | None = None,
+    small: int = SMALL,
+) -> DataFrame:
+    """Join many ``left`` rows to the one ``right`` row of their key.
+
+    The rows of a hot key are cut into slices of about 1/SHARE of the data each and
+    the matching right row is repeated once per slice, so no task gets a whole hot
+    group. ``total`` is the row count of ``left`` where the caller knows it.
+    """
+    total = left.count() if total is None else total
+    if total <= small:
+        return left.join(right, key, how)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = F.broadcast(hot_keys(counts, key, total))
+    spread = left.join(hot, key, "left").withColumn(
+        "_slice",
+        F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_slices"), F.lit(1))).cast("int"),
+    )
+    copies = right.join(hot, key, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
+    )
+    return spread.drop("_slices").join(copies.drop("_slices"), [key, "_slice"], how).drop("_slice")
