@@ -132,7 +132,7 @@ def top_matches(
     tasks = max(1, min(MAX_TASKS, -(-(n_values * n_keys) // UNITS_PER_TASK)))
     tasks = max(tasks, min(n_values * n_keys, keys.sparkSession.sparkContext.defaultParallelism))
     units = (
-        value_blocks.withColumn("keys_block", F.explode(F.sequence(F.lit(0), F.lit(n_keys - 1))).cast("bigint"))
+        value_blocks.withColumn("keys_block", F.explode(F.expr(f"sequence(0L, {n_keys - 1}L)")))
         .repartition(tasks, "values_block", "keys_block")
         .join(key_blocks, "keys_block")
     )

@@ -68,7 +68,10 @@ CRM = {
     "team": "CASE WHEN priority = '1-URGENT' AND k % 11 = 0 THEN 'Sales' ELSE segment END",
     "title": f"CASE WHEN k % 17 = 6 THEN 'Principal' ELSE upper({TITLE}) END",
     "joined_on": f"{two('month(d)')} || '/' || {two('day(d)')} || '/' || {year('d')}",
-    "manager": f"'Customer#' || lpad({BOSS}, 9, '0')",
+    "manager": (
+        f"CASE WHEN k % 27 = 4 THEN 'c' || {BOSS} || '.acme.com' "
+        f"ELSE 'Customer#' || lpad({BOSS}, 9, '0') END"
+    ),
     "city": PLACE,
 }
 PAYROLL = {
@@ -106,7 +109,7 @@ def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     first = orders.groupBy("k").agg({"o_orderdate": "min"}).toDF("k", "d")
     dated = people.join(first, "k", "left")
     bases = {
-        "hr": dated.withColumnRenamed("k", "k").selectExpr("*", "k AS row_idx"),
+        "hr": dated.selectExpr("*", "k AS row_idx"),
         "crm": orders.select("k", "o_orderkey", "priority").join(dated, "k").selectExpr("*", "o_orderkey AS row_idx"),
         "payroll": dated.where("pay > 0").selectExpr("*", "k AS row_idx"),
     }
