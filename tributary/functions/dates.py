@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from .text import squeeze, strip
 
-# Labels in order, and the patterns they stand for.
+# Labels in order, and the shapes of text they stand for.
 LABELS = ["iso", "dd/mm", "mm/dd", "text-month"]
-ISO = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
-NUMERIC = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
+ISO = r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
+NUMERIC = r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"
 SPELLED = (
-    r"(?i)^(\d{1,2})([- ])"
-    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
-    r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\2(\d{4})$"
+    r"(?i)^\d{1,2}([- ])"
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\1\d{4}$"
 )
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -28,36 +28,32 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 def reading(c: Column, label: str) -> Column:
     """ISO text of ``c`` read under one convention, else null."""
     v = squeeze(c)
+    parts = F.split(v, "[-/ ]")
+    one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
     if label == "iso":
-        part = lambda i: F.regexp_extract(v, ISO, i)
-        return F.when(v.rlike(ISO), _day(part(1), part(3), part(4)))
-    if label == "text-month":
-        part = lambda i: F.regexp_extract(v, SPELLED, i)
-        at = F.position(F.lower(F.substring(part(3), 1, 3)), F.lit(MONTHS))
-        month = ((at + 2) / 3).cast("int").cast("string")
-        return F.when(v.rlike(SPELLED), _day(part(4), month, part(1)))
-    part = lambda i: F.regexp_extract(v, NUMERIC, i)
-    day, month = (part(1), part(3)) if label == "dd/mm" else (part(3), part(1))
-    return F.when(v.rlike(NUMERIC), _day(part(4), month, day))
+        return F.when(v.rlike(ISO), _day(one, two, three))
+    if label == "dd/mm":
+        return F.when(v.rlike(NUMERIC), _day(three, two, one))
+    if label == "mm/dd":
+        return F.when(v.rlike(NUMERIC), _day(three, one, two))
+    month = (F.position(F.lower(F.left(two, F.lit(3))), F.lit(MONTHS)) + 2) / 3
+    return F.when(v.rlike(SPELLED), _day(three, month.cast("int").cast("string"), one))
 
 
 def readings(c: Column) -> Column:
     """Array of struct(format, parsed) over all conventions that accept ``c``."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    reading(c, label).isNotNull(),
-                    F.struct(F.lit(label).alias("format"), reading(c, label).alias("parsed")),
-                )
-                for label in LABELS
-            ]
-        )
-    )
+    tried = [F.struct(F.lit(x).alias("format"), reading(c, x).alias("parsed")) for x in LABELS]
+    return F.filter(F.array(*tried), lambda r: r["parsed"].isNotNull())
 
 
 def distinct_days(c: Column) -> Column:
-    return F.array_distinct(F.array_compact(F.array(*[reading(c, label) for label in LABELS])))
+    """The days a text can mean. No text is ISO or spelled out and numeric at once."""
+    sure = F.coalesce(reading(c, "iso"), reading(c, "text-month"))
+    return F.array_distinct(F.array_compact(F.array(sure, reading(c, "dd/mm"), reading(c, "mm/dd"))))
+
+
+def is_readable(c: Column) -> Column:
+    return F.coalesce(*[reading(c, x) for x in LABELS]).isNotNull()
 
 
 def read_as(c: Column, label: Column | str) -> Column:
@@ -73,10 +69,13 @@ def read_as(c: Column, label: Column | str) -> Column:
 
 def sole_label(c: Column) -> Column:
     """Position (1-based) of the only convention that accepts ``c``, else null."""
-    hits = [reading(c, label).isNotNull().cast("int") for label in LABELS]
-    place = sum((h * (i + 1) for i, h in enumerate(hits)), F.lit(0))
-    count = sum(hits, F.lit(0))
-    return F.when(count == 1, place)
+    day_first, month_first = reading(c, "dd/mm").isNotNull(), reading(c, "mm/dd").isNotNull()
+    return (
+        F.when(reading(c, "iso").isNotNull(), 1)
+        .when(reading(c, "text-month").isNotNull(), 4)
+        .when(day_first & ~month_first, 2)
+        .when(month_first & ~day_first, 3)
+    )
 
 
 def is_iso_day(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,9 +71,14 @@ def looks_like_date(c: Column) -> Column:
     )
 
 
+def quoted(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
     """Value for ``key`` in a short fixed list of pairs, else null."""
     if not pairs:
         return F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
-    return F.try_element_at(table, key)
+    listed = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in pairs)
+    return F.try_element_at(F.expr(f"map({listed})"), key)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import distinct_days, read_as, readings
+from ..functions.similarity import bind
 from ..functions.text import (
     is_email,
     is_number,
@@ -57,8 +58,8 @@ def iso_date(field: Field, value: Column, forced: dict[str, str]) -> Column:
     label = forced.get(field.name)
     if label:
         return F.coalesce(read_as(value, label), value)
-    days = distinct_days(value)
-    return F.when(F.size(days) == 1, F.get(days, F.lit(0))).otherwise(value)
+    only = bind(distinct_days(value), lambda days: F.when(F.size(days) == 1, days[0]))
+    return F.coalesce(only, value)
 
 
 def date_reason(field: Field, forced: dict[str, str]) -> str:

@@ -23,7 +23,7 @@ from ..functions.similarity import (
     sorted_tokens,
     thousandths,
 )
-from ..functions.text import literal_lookup, norm_header
+from ..functions.text import literal_lookup, norm_header, quoted
 from ..schema import TargetSchema
 
 CANDIDATES = "array<struct<field:string,score:int>>"
@@ -39,17 +39,12 @@ def alias_field(header: Column, schema: TargetSchema) -> Column:
 
 
 def surface_array(pairs: list[tuple[str, str]]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ord"),
-                F.lit(surface).alias("surface"),
-                F.lit(" ".join(sorted(surface.split()))).alias("text"),
-                F.lit(owner).alias("field"),
-            )
-            for i, (surface, owner) in enumerate(pairs)
-        ]
+    listed = ", ".join(
+        f"struct({i} AS ord, {quoted(surface)} AS surface, {quoted(' '.join(sorted(surface.split())))} AS text, "
+        f"{quoted(owner)} AS field)"
+        for i, (surface, owner) in enumerate(pairs)
     )
+    return F.expr(f"array({listed})")
 
 
 def ranked_surfaces(header: Column, pairs: list[tuple[str, str]], limit: int) -> Column:

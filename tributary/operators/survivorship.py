@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import distinct_days, read_as, readings
+from ..functions.dates import distinct_days, is_readable, read_as, readings
+from ..functions.similarity import bind
 from ..functions.text import digits, literal_lookup, not_blank, squeeze
 from ..schema import Field, TargetSchema
 from .skew import SMALL, sliced_join
@@ -96,9 +97,10 @@ def equivalent(
         if label:
             rest = F.coalesce(read_as(sa, label) == read_as(sb, label), F.lit(False))
         else:
-            da, db = distinct_days(sa), distinct_days(sb)
-            rest = ((F.size(da) == 1) & F.array_contains(db, F.get(da, F.lit(0)))) | (
-                (F.size(db) == 1) & F.array_contains(da, F.get(db, F.lit(0)))
+            # One side has a single reading and it is among those of the other side.
+            rest = bind(
+                F.struct(distinct_days(sa).alias("a"), distinct_days(sb).alias("b")),
+                lambda d: (F.least(F.size(d["a"]), F.size(d["b"])) == 1) & F.arrays_overlap(d["a"], d["b"]),
             )
         return F.when(same, True).otherwise(F.coalesce(rest, F.lit(False)))
     rest = F.lit(False)
@@ -179,9 +181,7 @@ def distinct_disagreements(rows: DataFrame) -> DataFrame:
 
 def is_date_question() -> Column:
     """A date disagreement with any readable side is a question about the format."""
-    readable = (F.size(distinct_days(F.col("kept_value"))) > 0) | (
-        F.size(distinct_days(F.col("value"))) > 0
-    )
+    readable = is_readable(F.col("kept_value")) | is_readable(F.col("value"))
     return (F.col("type") == "date") & readable
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.matching import field_columns
 from ..schema import TargetSchema, norm_name
+from ..session import fresh_path
 from ..sources.readers import null_tokens, union_sources, with_lineage
 
 PK = "lpad(CAST(k AS STRING), 9, '0')"
@@ -100,7 +101,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def derive_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three exports with ``row_idx``, headers as their systems write them."""
     people = table(spark, sf_dir, "customer").selectExpr(*PEOPLE.split(", "))
     orders = table(spark, sf_dir, "orders").selectExpr(
@@ -119,6 +120,22 @@ def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+# Export files already written by this application: (application, data folder, file) to path.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The exports as files: the input of a run is written once per application."""
+    app = spark.sparkContext.applicationId
+    if (app, sf_dir, FILES[0]) not in _WRITTEN:
+        for name, df in derive_exports(spark, sf_dir).items():
+            path = fresh_path(spark, f"export-{name}")
+            df.write.parquet(path)
+            _WRITTEN[app, sf_dir, name] = path
+    schema = {n: ", ".join(f"`{c}` string" for c in cols) + ", row_idx bigint" for n, cols in EXPORTS.items()}
+    return {n: spark.read.schema(schema[n]).parquet(_WRITTEN[app, sf_dir, n]) for n in FILES}
+
+
 def declared_pairs(columns: list[str], schema: TargetSchema) -> list[tuple[str, str]]:
     """(column, field) where a header is a declared spelling of a field."""
     owner = schema.alias_owner()

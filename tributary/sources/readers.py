@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..operators.questions import union_all
 from ..session import stage
 
@@ -18,12 +19,10 @@ ROW_BITS = 33
 
 def null_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Turn every cell that spells "no value" into null. A projection."""
-    own = columns or df.columns
-    return df.select(
-        *[
-            F.when(~F.col(f"`{c}`").isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) if c in own else F.col(f"`{c}`")
-            for c in df.columns
-        ]
+    own = set(columns or df.columns)
+    tokens = ", ".join(quoted(t) for t in NULL_TOKENS)
+    return df.selectExpr(
+        *[f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END AS `{c}`" if c in own else f"`{c}`" for c in df.columns]
     )
 
 
