@@ -15,6 +15,9 @@ TABLES = (
 ).split()
 
 
+TIMES: list[tuple[float, float]] = []
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -40,10 +43,13 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 def compare(df, con, sql: str) -> str:
     """Empty when both sides agree, else what differs."""
     got_cols = df.columns
+    t0 = time.time()
     got = rows_of(got_cols, [tuple(r) for r in df.collect()])
+    t1 = time.time()
     res = con.execute(sql)
     want_cols = [d[0] for d in res.description]
     want = rows_of(want_cols, res.fetchall())
+    TIMES.append((t1 - t0, time.time() - t1))
     if sorted(got_cols) != sorted(want_cols):
         return f"columns {sorted(got_cols)} != {sorted(want_cols)}"
     if got == want:
@@ -73,7 +79,9 @@ def main() -> None:
         except Exception as e:  # report and go on
             diff = f"{type(e).__name__}: {str(e)[:900]}"
         bad += bool(diff)
-        print(f"{'FAIL' if diff else 'ok  '} {name} {time.time() - t0:.2f}s {'' if name in checks else '(rows)'} {diff}", flush=True)
+        took = time.time() - t0
+        sql_s = TIMES.pop()[1] if TIMES else 0.0
+        print(f"{'FAIL' if diff else 'ok  '} {name} spark {took - sql_s:.2f}s sql {sql_s:.2f}s {'' if name in checks else '(rows)'} {diff}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
 
 

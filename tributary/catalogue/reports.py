@@ -1 +1,156 @@
-"""Placeholder."""
+"""Read queries and metrics over the stored tables of many runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import reports as R
+from ..plans import exports as X
+from ..session import fresh_path
+from ..streaming import feeds
+from . import query
+from .state import STATE, state, state_sql
+
+STATS = (
+    f"WITH {state_sql('runs', 'records', 'mappings', 'questions', 'audit')}, "
+    "r AS (SELECT run_id, count(*) AS records, count(*) FILTER (WHERE status = 'valid') AS valid, count(*) FILTER (WHERE status = 'needs_review') AS needs_review, "
+    "count(*) FILTER (WHERE status = 'pushed') AS pushed, count(*) FILTER (WHERE status = 'push_failed') AS push_failed FROM records GROUP BY run_id), "
+    "m AS (SELECT run_id, count(*) FILTER (WHERE status = 'auto_applied') AS auto_mappings, "
+    "count(*) FILTER (WHERE status = 'auto_applied' AND method = 'llm') AS llm_mappings FROM mappings GROUP BY run_id), "
+    "a AS (SELECT run_id, count(*) AS auto_cleans FROM audit WHERE action = 'cleaned_value' GROUP BY run_id), "
+    "q AS (SELECT run_id, count(*) AS escalations, count(*) FILTER (WHERE status = 'open') AS escalations_open, "
+    "count(*) FILTER (WHERE status = 'resolved' AND resolved_by IS DISTINCT FROM 'agent') AS escalations_resolved FROM questions GROUP BY run_id), "
+    "stats AS (SELECT runs.run_id, coalesce(records, 0) AS records, coalesce(valid, 0) AS valid, coalesce(needs_review, 0) AS needs_review, "
+    "coalesce(pushed, 0) AS pushed, coalesce(push_failed, 0) AS push_failed, coalesce(auto_mappings, 0) AS auto_mappings, coalesce(llm_mappings, 0) AS llm_mappings, "
+    "coalesce(auto_cleans, 0) AS auto_cleans, coalesce(escalations, 0) AS escalations, coalesce(escalations_open, 0) AS escalations_open, "
+    "coalesce(escalations_resolved, 0) AS escalations_resolved FROM runs LEFT JOIN r USING (run_id) LEFT JOIN m USING (run_id) LEFT JOIN a USING (run_id) "
+    "LEFT JOIN q USING (run_id)), "
+    "rated AS (SELECT *, CASE WHEN auto_mappings + auto_cleans + escalations = 0 THEN 1.0 ELSE "
+    "round((auto_mappings + auto_cleans) / (auto_mappings + auto_cleans + escalations), 3) END AS stp_rate FROM stats)"
+)
+
+
+def stats(spark, sf_dir):
+    return R.run_stats(*[state(spark, sf_dir, n) for n in ("mappings", "records", "questions", "audit", "runs")])
+
+
+@query("run_stats", f"{STATS} SELECT * EXCLUDE (stp_rate), CAST(stp_rate AS DOUBLE) AS stp_rate FROM rated")
+def run_stats(spark, sf_dir):
+    return stats(spark, sf_dir)
+
+
+@query("stp_rate", f"{STATS} SELECT run_id, CAST(stp_rate AS DOUBLE) AS stp_rate FROM rated")
+def stp_rate(spark, sf_dir):
+    return stats(spark, sf_dir).select("run_id", "stp_rate")
+
+
+@query("list_runs", f"WITH {state_sql('runs')} SELECT run_id, name, status FROM runs ORDER BY run_id DESC")
+def list_runs(spark, sf_dir):
+    return state(spark, sf_dir, "runs").orderBy(F.desc("run_id"))
+
+
+@query("list_records", f"WITH {state_sql('records')} SELECT run_id, record_id, natural_key, full_name FROM records WHERE status = 'needs_review' ORDER BY record_id")
+def list_records(spark, sf_dir):
+    return R.by_status(state(spark, sf_dir, "records"), "needs_review").select(
+        "run_id", "record_id", "natural_key", "full_name").orderBy("record_id")
+
+
+PLACES = ", ".join(f"('{s}', {i + 1})" for i, s in enumerate(R.FACET_ORDER))
+
+
+@query(
+    "status_facets",
+    f"WITH {state_sql('records')}, places(status, place) AS (VALUES {PLACES}) SELECT run_id, status, count(*) AS n, place FROM records JOIN places USING (status) GROUP BY ALL",
+)
+def status_facets(spark, sf_dir):
+    return R.status_facets(state(spark, sf_dir, "records"))
+
+
+@query("list_escalations", f"WITH {state_sql('questions')} SELECT run_id, id, created_at, type, entity_ref FROM questions WHERE status = 'open' ORDER BY created_at, id")
+def list_escalations(spark, sf_dir):
+    return R.by_status(state(spark, sf_dir, "questions"), "open").select(
+        "run_id", "id", "created_at", "type", "entity_ref").orderBy("created_at", "id")
+
+
+@query(
+    "human_resolved_count",
+    f"WITH {state_sql('questions')} SELECT run_id, count(*) FILTER (WHERE status = 'resolved' AND resolved_by IS DISTINCT FROM 'agent') AS resolved FROM questions GROUP BY run_id",
+)
+def human_resolved_count(spark, sf_dir):
+    return state(spark, sf_dir, "questions").groupBy("run_id").agg(R.human_resolved().alias("resolved"))
+
+
+@query(
+    "escalation_subject",
+    f"WITH {state_sql('questions', 'records')}, names AS (SELECT natural_key, full_name FROM records WHERE trim(full_name) <> '') "
+    "SELECT id, record, coalesce(full_name, CASE WHEN record LIKE 'id:%' THEN '#' || substr(record, 4) ELSE regexp_replace(record, '^[^:]*:', '') END) AS subject "
+    "FROM questions LEFT JOIN names ON natural_key = record",
+)
+def escalation_subject(spark, sf_dir):
+    named = R.question_subjects(state(spark, sf_dir, "questions"), state(spark, sf_dir, "records"), "full_name")
+    return named.select("id", "record", "subject")
+
+
+CURSOR = 500
+
+
+@query(
+    "activity_since",
+    f"WITH {state_sql('audit')} SELECT id, run_id, ts, substr(action, 10) AS stage, reason AS message FROM audit WHERE action LIKE 'activity:%' AND id > {CURSOR}",
+)
+def activity_since(spark, sf_dir):
+    return R.activity_since(state(spark, sf_dir, "audit"), CURSOR)
+
+
+EVENTS = {
+    "id": "event_id", "run_id": "user_id", "ts": "ts", "reason": "props",
+    "action": "CASE WHEN event_type IN ('click', 'view') THEN 'activity:' || event_type ELSE event_type END",
+}
+
+
+@query(
+    "activity_stream",
+    f"WITH audit AS (SELECT {', '.join(f'{e} AS {c}' for c, e in EVENTS.items())} FROM events) "
+    f"SELECT id, run_id, substr(action, 10) AS stage, reason AS message FROM audit WHERE action LIKE 'activity:%' AND id > {CURSOR}",
+)
+def activity_stream(spark, sf_dir):
+    """The same feed read incrementally from the append-only files."""
+    given = X.table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(given).parquet(f"{sf_dir}/events.parque[t]")
+    out = fresh_path(spark, "activity")
+    feeds.follow_activity(
+        source.selectExpr(*[f"{e} AS {c}" for c, e in EVENTS.items()]), CURSOR, out, fresh_path(spark, "cursor")
+    ).awaitTermination()
+    return spark.read.parquet(out).select("id", "run_id", "stage", "message")
+
+
+@query("audit_log", f"WITH {state_sql('audit')} SELECT * FROM audit ORDER BY id")
+def audit_log(spark, sf_dir):
+    return state(spark, sf_dir, "audit").orderBy("id")
+
+
+SHOWN = "action NOT LIKE 'activity:%' AND action <> 'resolved_conflict'"
+
+
+@query(
+    "audit_view",
+    f"WITH {state_sql('audit')}, humans AS (SELECT run_id, count(*) FILTER (WHERE actor = 'human' AND action <> 'resolved_conflict') AS human_actions FROM audit GROUP BY run_id) "
+    f"SELECT id, audit.run_id, actor, action, reason, human_actions FROM audit JOIN humans ON audit.run_id = humans.run_id WHERE {SHOWN} AND actor = 'human' ORDER BY id DESC",
+)
+def audit_view(spark, sf_dir):
+    trail = state(spark, sf_dir, "audit")
+    return R.audit_view(trail, "human").join(R.human_actions(trail), "run_id").select(
+        "id", "run_id", "actor", "action", "reason", "human_actions").orderBy(F.desc("id"))
+
+
+@query(
+    "append_audit",
+    f"WITH {state_sql('audit')} SELECT run_id, actor, action, count(*) AS n FROM audit WHERE {SHOWN} GROUP BY ALL",
+)
+def append_audit(spark, sf_dir):
+    """Two appends of one stage each, then the table as it stands."""
+    trail = R.audit_view(state(spark, sf_dir, "audit"))
+    path = fresh_path(spark, "audit")
+    for actor in ("agent", "human"):
+        feeds.append_audit(trail.where(F.col("actor") == actor).repartition("run_id"), path)
+    return spark.read.parquet(path).groupBy(F.col("run_id").cast("bigint").alias("run_id"), "actor", "action").agg(F.count("*").alias("n"))

@@ -203,13 +203,9 @@ def open_conflicts(
     if edits is not None:
         found = found.join(edits.select("entity_id", "field"), ["entity_id", "field"], "left_anti")
     keys = survivorship.merged_records(kept, schema).select("entity_id", entities.natural_key(schema).alias("natural_key"))
-    # A decided format settles the question even where a value stays unreadable.
+    # Days that still differ under a decided format are a plain contradiction.
     asks = survivorship.is_date_question() & ~F.col("field").isin(list(forced))
-    return stage(
-        found.join(keys, "entity_id").withColumn("date_question", asks)
-        .where(~(survivorship.is_date_question() & F.col("field").isin(list(forced)))),
-        "conflicts",
-    )
+    return stage(found.join(keys, "entity_id").withColumn("date_question", asks), "conflicts")
 
 
 def consolidate(
