@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .similarity import bind
 from .text import squeeze, strip
 
 # Labels in order, and the shapes of text they stand for.
-LABELS = ["iso", "dd/mm", "mm/dd", "text-month"]
+PARTS = {"iso": "iso", "dd/mm": "dmy", "mm/dd": "mdy", "text-month": "text"}
+LABELS = list(PARTS)
 ISO = r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
 NUMERIC = r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"
 SPELLED = (
@@ -25,56 +29,80 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.when(year != "0000", text.try_cast("date").cast("string"))
 
 
-def reading(c: Column, label: str) -> Column:
-    """ISO text of ``c`` read under one convention, else null."""
-    v = squeeze(c)
+def _days(v: Column) -> Column:
+    """struct(iso, dmy, mdy, text) of a squeezed text: ISO text per convention or null.
+
+    The shapes exclude each other, so a text is tested until one of them fits.
+    """
     parts = F.split(v, "[-/ ]")
     one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
-    if label == "iso":
-        return F.when(v.rlike(ISO), _day(one, two, three))
-    if label == "dd/mm":
-        return F.when(v.rlike(NUMERIC), _day(three, two, one))
-    if label == "mm/dd":
-        return F.when(v.rlike(NUMERIC), _day(three, one, two))
-    month = (F.position(F.lower(F.left(two, F.lit(3))), F.lit(MONTHS)) + 2) / 3
-    return F.when(v.rlike(SPELLED), _day(three, month.cast("int").cast("string"), one))
+    none = F.lit(None).cast("string")
+    month = ((F.position(F.lower(F.left(two, F.lit(3))), F.lit(MONTHS)) + 2) / 3).cast("int").cast("string")
+
+    def found(iso: Column, dmy: Column, mdy: Column, text: Column) -> Column:
+        return F.struct(iso.alias("iso"), dmy.alias("dmy"), mdy.alias("mdy"), text.alias("text"))
+
+    return (
+        F.when(v.rlike(ISO), found(_day(one, two, three), none, none, none))
+        .when(v.rlike(NUMERIC), found(none, _day(three, two, one), _day(three, one, two), none))
+        .when(v.rlike(SPELLED), found(none, none, none, _day(three, month, one)))
+        .otherwise(found(none, none, none, none))
+    )
+
+
+def days_of(c: Column, body: Callable[[Column], Column]) -> Column:
+    """Apply ``body`` to the readings of ``c``, which are worked out once."""
+    return bind(squeeze(c), lambda v: bind(_days(v), body))
+
+
+def reading(c: Column, label: str) -> Column:
+    """ISO text of ``c`` read under one convention, else null."""
+    return days_of(c, lambda d: d[PARTS[label]])
 
 
 def readings(c: Column) -> Column:
     """Array of struct(format, parsed) over all conventions that accept ``c``."""
-    tried = [F.struct(F.lit(x).alias("format"), reading(c, x).alias("parsed")) for x in LABELS]
-    return F.filter(F.array(*tried), lambda r: r["parsed"].isNotNull())
+    return days_of(
+        c,
+        lambda d: F.filter(
+            F.array(*[F.struct(F.lit(x).alias("format"), d[p].alias("parsed")) for x, p in PARTS.items()]),
+            lambda r: r["parsed"].isNotNull(),
+        ),
+    )
 
 
 def distinct_days(c: Column) -> Column:
-    """The days a text can mean. No text is ISO or spelled out and numeric at once."""
-    sure = F.coalesce(reading(c, "iso"), reading(c, "text-month"))
-    return F.array_distinct(F.array_compact(F.array(sure, reading(c, "dd/mm"), reading(c, "mm/dd"))))
+    """The days a text can mean."""
+    return F.coalesce(
+        days_of(c, lambda d: F.array_distinct(F.array_compact(F.array(*[d[p] for p in PARTS.values()])))),
+        F.array().cast("array<string>"),
+    )
 
 
 def is_readable(c: Column) -> Column:
-    return F.coalesce(*[reading(c, x) for x in LABELS]).isNotNull()
+    return F.size(distinct_days(c)) > 0
 
 
 def read_as(c: Column, label: Column | str) -> Column:
     """Read ``c`` under a chosen label; ISO text is always accepted."""
-    iso = reading(c, "iso")
-    if isinstance(label, str):
-        return iso if label not in LABELS or label == "iso" else F.coalesce(reading(c, label), iso)
-    chosen = F.lit(None).cast("string")
-    for name in LABELS[1:]:
-        chosen = F.when(label == name, reading(c, name)).otherwise(chosen)
-    return F.coalesce(chosen, iso)
+    chosen = F.lit(label) if isinstance(label, str) else label
+    return days_of(
+        c,
+        lambda d: F.coalesce(
+            F.when(chosen == "dd/mm", d["dmy"]).when(chosen == "mm/dd", d["mdy"]).when(chosen == "text-month", d["text"]),
+            d["iso"],
+        ),
+    )
 
 
 def sole_label(c: Column) -> Column:
     """Position (1-based) of the only convention that accepts ``c``, else null."""
-    day_first, month_first = reading(c, "dd/mm").isNotNull(), reading(c, "mm/dd").isNotNull()
-    return (
-        F.when(reading(c, "iso").isNotNull(), 1)
-        .when(reading(c, "text-month").isNotNull(), 4)
-        .when(day_first & ~month_first, 2)
-        .when(month_first & ~day_first, 3)
+    return days_of(
+        c,
+        lambda d: F.when(d["iso"].isNotNull(), 1)
+        .when(d["text"].isNotNull(), 4)
+        .when(d["dmy"].isNotNull() & d["mdy"].isNull(), 2)
+        .when(d["mdy"].isNotNull() & d["dmy"].isNull(), 3),
     )
 
 

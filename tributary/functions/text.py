@@ -6,23 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns for blanks, e-mail addresses and plain numbers.
-BLANKS = r"(?U)[\s\x1C-\x1F]+"
+BLANK = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def squeeze(c: Column) -> Column:
     """Trim and turn every run of blanks into one space."""
-    return F.trim(F.regexp_replace(c, BLANKS, " "))
+    return F.trim(F.regexp_replace(c, f"[{BLANK}]+", " "))
 
 
 def strip(c: Column) -> Column:
     """Trim blanks of any kind, keep the inside."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def not_blank(c: Column) -> Column:
-    return c.isNotNull() & (squeeze(c) != "")
+    return F.coalesce(c.rlike(f"[^{BLANK}]"), F.lit(False))
 
 
 def norm_header(c: Column) -> Column:

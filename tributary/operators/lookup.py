@@ -26,7 +26,6 @@ KEY_BLOCK = 4000
 VALUE_BLOCK = 250
 UNITS_PER_TASK = 4
 MAX_TASKS = 20_000
-MATCH = "array<struct<value:string,key:string,score:int>>"
 
 
 def known_keys(records: DataFrame, field: str) -> DataFrame:
@@ -42,21 +41,47 @@ def unresolved_values(records: DataFrame, field: str) -> DataFrame:
     return records.where(is_unresolved(field)).select(F.col(field).alias("value")).distinct()
 
 
-def _common_lengths(text: str, codes: np.ndarray, keys: list[str]) -> np.ndarray:
-    """Longest common subsequence of ``text`` with each key (rows of ``codes``)."""
-    if len(text) > 63:
-        return np.array([_common_length(text, k) for k in keys], dtype=np.int64)
-    masks: dict[int, int] = {}
-    for i, ch in enumerate(text):
-        masks[ord(ch)] = masks.get(ord(ch), 0) | (1 << i)
-    chars, where = np.unique(codes, return_inverse=True)
-    table = np.array([masks.get(int(c), 0) for c in chars], dtype=np.uint64)[where].reshape(codes.shape)
-    full = np.uint64((1 << len(text)) - 1)
-    state = np.full(codes.shape[0], full, dtype=np.uint64)
-    for column in table.T:
-        hit = state & column
-        state = ((state + hit) | (state - hit)) & full
-    return len(text) - np.bitwise_count(state).astype(np.int64)
+class _KeyBlock:
+    """A block of keys, laid out so that one value is compared with all of them at once."""
+
+    def __init__(self, keys: list):
+        self.names = [k["key"] for k in keys]
+        self.texts = [k["text"] for k in keys]
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        codes = np.zeros((len(keys), max(1, int(self.sizes.max(initial=0)))), dtype=np.uint32)
+        for i, t in enumerate(self.texts):
+            codes[i, : len(t)] = [ord(c) for c in t]
+        self.chars, where = np.unique(codes.T, return_inverse=True)
+        self.where = where.reshape(codes.T.shape)
+        self.place = np.empty(len(keys), dtype=np.int64)
+        self.place[sorted(range(len(keys)), key=self.names.__getitem__)] = np.arange(len(keys))
+
+    def common(self, text: str) -> np.ndarray:
+        """Longest common subsequence of ``text`` with each key."""
+        if len(text) > 63:
+            return np.array([_common_length(text, t) for t in self.texts], dtype=np.int64)
+        masks: dict[int, int] = {}
+        for i, ch in enumerate(text):
+            masks[ord(ch)] = masks.get(ord(ch), 0) | (1 << i)
+        bits = np.array([masks.get(int(c), 0) for c in self.chars], dtype=np.uint64)
+        full = np.uint64((1 << len(text)) - 1)
+        state = np.full(len(self.texts), full, dtype=np.uint64)
+        for column in self.where:
+            mask = bits[column]
+            hit = state & mask
+            state = ((state + hit) | (state & ~mask)) & full
+        return len(text) - np.bitwise_count(state).astype(np.int64)
+
+    def best(self, text: str, limit: int) -> list[tuple[str, int]]:
+        """Best ``limit`` keys: score in thousandths first, then key order."""
+        total = self.sizes + len(text)
+        up = 2000 * self.common(text)
+        low, rest = np.divmod(up, np.maximum(total, 1))
+        score = low + ((2 * rest > total) | ((2 * rest == total) & (low % 2 == 1)))
+        rank = np.where(total == 0, 1000, score) * len(self.names) - self.place
+        top = np.argpartition(-rank, limit)[:limit] if len(rank) > limit else np.arange(len(rank))
+        top = top[np.argsort(-rank[top], kind="stable")]
+        return [(self.names[i], int(-(-rank[i] // len(self.names)))) for i in top]
 
 
 def _common_length(a: str, b: str) -> int:
@@ -71,36 +96,13 @@ def _common_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-def _best_of_block(values: list, keys: list, limit: int) -> list[tuple[str, str, int]]:
-    """Best ``limit`` keys per value: score first, then key order."""
-    width = max((len(k["text"]) for k in keys), default=0)
-    codes = np.zeros((len(keys), max(width, 1)), dtype=np.uint32)
-    for i, k in enumerate(keys):
-        codes[i, : len(k["text"])] = [ord(c) for c in k["text"]]
-    sizes = np.array([len(k["text"]) for k in keys], dtype=np.int64)
-    texts = [k["text"] for k in keys]
-    names = np.array([k["key"] for k in keys], dtype=object)
-    order = np.argsort(names.astype(str), kind="stable")
-    place = np.empty(len(keys), dtype=np.int64)
-    place[order] = np.arange(len(keys))
-    out = []
-    for v in values:
-        total = sizes + len(v["text"])
-        up = 2000 * _common_lengths(v["text"], codes, texts)
-        low, rest = np.divmod(up, np.maximum(total, 1))
-        score = low + ((2 * rest > total) | ((2 * rest == total) & (low % 2 == 1)))
-        score = np.where(total == 0, 1000, score)
-        for i in np.lexsort((place, -score))[:limit]:
-            out.append((v["key"], keys[i]["key"], int(score[i])))
-    return out
-
-
 def _match_blocks(limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple[str, str, int]] = []
             for values, keys in zip(batch["values"], batch["keys"]):
-                rows += _best_of_block(list(values), list(keys), limit)
+                block = _KeyBlock(list(keys))
+                rows += [(v["key"], *hit) for v in values for hit in block.best(v["text"], limit)]
             yield pd.DataFrame(rows, columns=["value", "key", "score"])
 
     return run

@@ -25,6 +25,7 @@ from ..functions.similarity import (
 )
 from ..functions.text import literal_lookup, norm_header, quoted
 from ..schema import TargetSchema
+from ..session import stage
 
 CANDIDATES = "array<struct<field:string,score:int>>"
 
@@ -87,11 +88,15 @@ def best_per_field(ranked: Column, limit: int) -> Column:
 
 
 def score_headers(headers: DataFrame, schema: TargetSchema, settings: Settings = DEFAULT) -> DataFrame:
-    """Distinct headers with their alias hit and, without one, their candidates."""
+    """Distinct headers with their alias hit and, without one, their candidates.
+
+    Few bytes and much work per row: the distinct headers are spread over all cores.
+    """
     pairs = schema.surfaces()
     return (
         headers.select("header")
         .distinct()
+        .repartition(2 * headers.sparkSession.sparkContext.defaultParallelism, "header")
         .withColumn("alias_field", alias_field(F.col("header"), schema))
         .withColumn(
             "ranked",
@@ -191,8 +196,11 @@ def match_headers(
     settings: Settings = DEFAULT,
     adjudicate: Adjudicator | None = None,
 ) -> DataFrame:
-    """One row per distinct header with the final mapping decision."""
-    decided = decide(score_headers(headers, schema, settings), settings)
+    """One row per distinct header with the final mapping decision.
+
+    Scores are stored once: the rules and the adjudicator both read them.
+    """
+    decided = decide(stage(score_headers(headers, schema, settings), "headers"), settings)
     suggested = (adjudicate or closest_name(schema))(options_for_review(decided, schema, settings))
     ok = F.col("suggested").isNotNull() & (
         F.col("suggested_score") >= per_mille(settings.auto_apply)

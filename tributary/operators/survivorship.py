@@ -146,8 +146,8 @@ def disagreements(
             before = _place(cell(f.name)) < _place(survivor)
             rival = F.when(before, F.col(f"{f.name}__first")).otherwise(survivor)
         differs = (
-            not_blank(F.col(f.name))
-            & (squeeze(F.col(f.name)) != squeeze(rival["raw"]))
+            (F.col(f.name) != rival["raw"])
+            & not_blank(F.col(f.name))
             & ~equivalent(f, rival["raw"], F.col(f.name), schema, forced)
         )
         found.append(

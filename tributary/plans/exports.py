@@ -130,7 +130,7 @@ def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     if (app, sf_dir, FILES[0]) not in _WRITTEN:
         for name, df in derive_exports(spark, sf_dir).items():
             path = fresh_path(spark, f"export-{name}")
-            df.write.parquet(path)
+            df.repartition(spark.sparkContext.defaultParallelism, "row_idx").write.parquet(path)
             _WRITTEN[app, sf_dir, name] = path
     schema = {n: ", ".join(f"`{c}` string" for c in cols) + ", row_idx bigint" for n, cols in EXPORTS.items()}
     return {n: spark.read.schema(schema[n]).parquet(_WRITTEN[app, sf_dir, n]) for n in FILES}
