@@ -21,6 +21,7 @@ from ..functions.text import not_blank
 from ..schema import TargetSchema
 from ..session import stage
 from .matching import per_mille
+from .skew import SMALL, sliced_join
 
 KEY_BLOCK = 4000
 VALUE_BLOCK = 250
@@ -151,6 +152,7 @@ def resolve(
     schema: TargetSchema,
     settings: Settings = DEFAULT,
     skip: Column | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """Replace references whose best match reaches the threshold.
 
@@ -158,17 +160,21 @@ def resolve(
     """
     f = schema.lookup_field
     best = matches.where(F.col("rank") == 1).select(
-        F.col("value").alias(f), F.col("key").alias("_key"), F.col("score").alias("_score")
+        F.col("value").alias("_ref"), F.col("key").alias("_key"), F.col("score").alias("_score")
     )
     todo = is_unresolved(f) if skip is None else is_unresolved(f) & ~skip
-    sure = todo & F.coalesce(F.col("_score") >= per_mille(settings.auto_apply), F.lit(False))
-    return records.join(best, f, "left").select(
+    asked = records.withColumn("_ref", F.when(todo, F.col(f)))
+    sure = F.col("_ref").isNotNull() & F.coalesce(
+        F.col("_score") >= per_mille(settings.auto_apply), F.lit(False)
+    )
+    # Many records may name the same person.
+    return sliced_join(asked, best, "_ref", "left", small=small).select(
         *[
             F.when(sure, F.col("_key")).otherwise(F.col(f)).alias(f) if c == f else F.col(c)
             for c in records.columns
         ],
         F.when(sure, F.col(f)).alias("lookup_from"),
-        (todo & ~sure).alias("lookup_open"),
+        (F.col("_ref").isNotNull() & ~sure).alias("lookup_open"),
     )
 
 

@@ -26,6 +26,7 @@ from ..functions.similarity import (
 from ..functions.text import literal_lookup, norm_header, quoted
 from ..schema import TargetSchema
 from ..session import stage
+from .skew import SMALL, sliced_join
 
 CANDIDATES = "array<struct<field:string,score:int>>"
 
@@ -237,10 +238,14 @@ def match_columns(
     schema: TargetSchema,
     settings: Settings = DEFAULT,
     adjudicate: Adjudicator | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """Mapping table: one row per (file, header) of the column catalog."""
     decided = match_headers(catalog, schema, settings, adjudicate)
-    return catalog.join(decided, "header").withColumn("confidence", as_score(F.col("confidence")))
+    # Some headers stand in nearly every file.
+    return sliced_join(catalog, decided, "header", small=small).withColumn(
+        "confidence", as_score(F.col("confidence"))
+    )
 
 
 def field_columns(

@@ -40,13 +40,19 @@ def sliced_join(
     total = left.count() if total is None else total
     if total <= small:
         return left.join(right, key, how)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    keyed = left.where(F.col(key).isNotNull())
+    counts = keyed.groupBy(key).agg(F.count("*").alias("n"))
     hot = F.broadcast(hot_keys(counts, key, total))
-    spread = left.join(hot, key, "left").withColumn(
+    spread = keyed.join(hot, key, "left").withColumn(
         "_slice",
         F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_slices"), F.lit(1))).cast("int"),
     )
     copies = right.join(hot, key, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
     )
-    return spread.drop("_slices").join(copies.drop("_slices"), [key, "_slice"], how).drop("_slice")
+    joined = spread.drop("_slices").join(copies.drop("_slices"), [key, "_slice"], how).drop("_slice")
+    if how == "left":
+        # Rows without a key match nothing; they stay out of the shuffle.
+        alone = left.where(F.col(key).isNull())
+        joined = joined.unionByName(alone, allowMissingColumns=True)
+    return joined

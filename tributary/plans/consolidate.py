@@ -146,6 +146,7 @@ def build_records(
     edits: DataFrame | None,
     known: DataFrame,
     settings: Settings = DEFAULT,
+    small: int = SMALL,
 ) -> tuple[DataFrame, DataFrame]:
     """(records, lookup matches) of the entities in ``kept``: clean, fix, replay, check, look up."""
     merged = survivorship.merged_records(kept, schema).withColumn("natural_key", entities.natural_key(schema))
@@ -166,7 +167,7 @@ def build_records(
             lookup.top_matches(lookup.unresolved_values(df.where(~F.col("lookup_decided")), f), known, settings.top_lookup),
             "matches",
         )
-        df = lookup.resolve(df, matches, schema, settings, skip=F.col("lookup_decided"))
+        df = lookup.resolve(df, matches, schema, settings, skip=F.col("lookup_decided"), small=small)
         origin = F.struct(F.lit("agent").alias("file"), F.col("lookup_from").alias("raw"))
         without = F.map_filter("provenance", lambda k, v: k != f)
         df = df.withColumn(
@@ -228,7 +229,7 @@ def consolidate(
         edits = stage(dec.record_edits(decisions, entities.entity_keys(linked, schema), schema), "edits")
     conflicts = open_conflicts(linked, kept, schema, forced, edits, small)
     known = known_contacts(kept, schema)
-    records, matches = build_records(kept, conflicts, schema, forced, edits, known, settings)
+    records, matches = build_records(kept, conflicts, schema, forced, edits, known, settings, small)
     return Build(schema, linked, kept, records, conflicts, matches, mappings, forced)
 
 
@@ -250,7 +251,7 @@ def rebuild_affected(build: Build, decisions: DataFrame, settings: Settings = DE
     linked = build.linked.join(touched, "entity_id", "left_semi")
     conflicts = open_conflicts(linked, kept, schema, build.forced, edits, small)
     records, matches = build_records(
-        kept, conflicts, schema, build.forced, edits, known_contacts(build.kept, schema), settings
+        kept, conflicts, schema, build.forced, edits, known_contacts(build.kept, schema), settings, small
     )
     rest = lambda df: df.join(touched, "entity_id", "left_anti")
     return Build(
@@ -273,7 +274,7 @@ def run(
 ) -> Build:
     """A run from raw exports: match the columns, then consolidate the rows."""
     catalog = readers.column_catalog(readers.source_catalog(sources))
-    mappings = matching.match_columns(catalog, schema, settings, adjudicate)
+    mappings = matching.match_columns(catalog, schema, settings, adjudicate, small)
     if decisions is not None:
         mappings = dec.apply_mapping_decisions(mappings, decisions, schema)
     mappings = stage(mappings, "mappings")
