@@ -91,10 +91,11 @@ def best_per_field(ranked: Column, limit: int) -> Column:
 def score_headers(headers: DataFrame, schema: TargetSchema, settings: Settings = DEFAULT) -> DataFrame:
     """Distinct headers with their alias hit and, without one, their candidates.
 
-    Few bytes and much work per row: the distinct headers are spread over all cores.
+    Few bytes and much work per row: the distinct headers are spread over all cores,
+    and the scores are stored because the rules and the adjudicator both read them.
     """
     pairs = schema.surfaces()
-    return (
+    scored = (
         headers.select("header")
         .distinct()
         .repartition(2 * headers.sparkSession.sparkContext.defaultParallelism, "header")
@@ -114,6 +115,7 @@ def score_headers(headers: DataFrame, schema: TargetSchema, settings: Settings =
             ),
         )
     )
+    return stage(scored, "headers")
 
 
 def tied_fields(candidates: Column, settings: Settings = DEFAULT) -> Column:
@@ -197,11 +199,8 @@ def match_headers(
     settings: Settings = DEFAULT,
     adjudicate: Adjudicator | None = None,
 ) -> DataFrame:
-    """One row per distinct header with the final mapping decision.
-
-    Scores are stored once: the rules and the adjudicator both read them.
-    """
-    decided = decide(stage(score_headers(headers, schema, settings), "headers"), settings)
+    """One row per distinct header with the final mapping decision."""
+    decided = decide(score_headers(headers, schema, settings), settings)
     suggested = (adjudicate or closest_name(schema))(options_for_review(decided, schema, settings))
     ok = F.col("suggested").isNotNull() & (
         F.col("suggested_score") >= per_mille(settings.auto_apply)
