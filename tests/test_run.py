@@ -172,3 +172,11 @@ def test_decided_date_format(spark, schema):
         {"type": "ambiguous_date", "field": "date_of_joining", "action": "approve", "value": "mm/dd"}]))
     assert questions(decided) == set()
     assert sorted(r["date_of_joining"] for r in decided.records.collect())[0] == "2023-01-02"
+
+
+def test_slicing_hot_keys_changes_nothing(spark, sources, schema, first):
+    sliced = run(spark, sources, schema, small=0)
+    columns = ["natural_key", *schema.names, "status"]
+    assert sorted(map(tuple, sliced.records.select(columns).collect()), key=repr) == sorted(
+        map(tuple, first.records.select(columns).collect()), key=repr)
+    assert questions(sliced) == questions(first)
