@@ -1,0 +1,88 @@
+"""Weighted text score for lookups: the best of whole, partial and word-wise similarity.
+
+A small helper for Python workers, used when a run asks for it (``scorer="weighted"``).
+"""
+
+from __future__ import annotations
+
+# Weights, and the length ratios from which partial matches count.
+WORDS = 0.95
+PARTIAL, PARTIAL_FROM = 0.9, 1.5
+REMOTE, REMOTE_FROM = 0.6, 8.0
+
+
+def common_length(a: str, b: str) -> int:
+    """Longest common subsequence, one big-integer operation per character."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    state = full
+    for ch in b:
+        hit = state & masks.get(ch, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(a) - state.bit_count()
+
+
+def whole(a: str, b: str) -> float:
+    total = len(a) + len(b)
+    return 200.0 * common_length(a, b) / total if total else 100.0
+
+
+def partial(a: str, b: str) -> float:
+    """Best score of the shorter text against any stretch of the longer one."""
+    if not a or not b:
+        return 0.0 if a or b else 100.0
+    sides = [(a, b), (b, a)] if len(a) == len(b) else [min((a, b), (b, a), key=lambda p: len(p[0]))]
+    best = 0.0
+    for short, long in sides:
+        m = len(short)
+        for start in range(1 - m, len(long)):
+            stretch = long[max(0, start):start + m]
+            if 200.0 * min(m, len(stretch)) / (m + len(stretch)) > best:
+                best = max(best, whole(short, stretch))
+    return best
+
+
+def _words(a: str, b: str) -> tuple[set[str], str, str, str]:
+    wa, wb = set(a.split()), set(b.split())
+    both = wa & wb
+    return both, " ".join(sorted(both)), " ".join(sorted(wa - wb)), " ".join(sorted(wb - wa))
+
+
+def by_words(a: str, b: str) -> float:
+    """Words sorted, or split into shared and own ones, whichever scores higher."""
+    in_order = whole(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    both, shared, own_a, own_b = _words(a, b)
+    if both and not (own_a and own_b):
+        return 100.0
+    gap = 1 if both else 0
+    size_a, size_b = len(shared) + gap + len(own_a), len(shared) + gap + len(own_b)
+    apart = len(own_a) + len(own_b) - 2 * common_length(own_a, own_b)
+    scores = [in_order, 100.0 - 100.0 * apart / (size_a + size_b)]
+    if both:
+        for own, size in ((own_a, size_a), (own_b, size_b)):
+            scores.append(100.0 - 100.0 * (gap + len(own)) / (len(shared) + size))
+    return max(scores)
+
+
+def partial_by_words(a: str, b: str) -> float:
+    both, _, own_a, own_b = _words(a, b)
+    if both:
+        return 100.0
+    return max(partial(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial(own_a, own_b))
+
+
+def weighted(a: str, b: str) -> float:
+    if not a or not b:
+        return 0.0
+    lengths = max(len(a), len(b)) / min(len(a), len(b))
+    score = whole(a, b)
+    if lengths < PARTIAL_FROM:
+        return max(score, WORDS * by_words(a, b))
+    scale = PARTIAL if lengths < REMOTE_FROM else REMOTE
+    return max(score, scale * partial(a, b), WORDS * scale * partial_by_words(a, b))
+
+
+def weighted_thousandths(a: str, b: str) -> int:
+    return round(round(weighted(a, b) / 100, 3) * 1000)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.similarity import as_score, sorted_tokens
 from ..functions.text import not_blank
+from ..functions.weighted import common_length, weighted_thousandths
 from ..schema import TargetSchema
 from ..session import stage
 from .matching import per_mille
@@ -60,7 +61,7 @@ class _KeyBlock:
     def common(self, text: str) -> np.ndarray:
         """Longest common subsequence of ``text`` with each key."""
         if len(text) > 63:
-            return np.array([_common_length(text, t) for t in self.texts], dtype=np.int64)
+            return np.array([common_length(text, t) for t in self.texts], dtype=np.int64)
         masks: dict[int, int] = {}
         for i, ch in enumerate(text):
             masks[ord(ch)] = masks.get(ord(ch), 0) | (1 << i)
@@ -79,31 +80,30 @@ class _KeyBlock:
         up = 2000 * self.common(text)
         low, rest = np.divmod(up, np.maximum(total, 1))
         score = low + ((2 * rest > total) | ((2 * rest == total) & (low % 2 == 1)))
-        rank = np.where(total == 0, 1000, score) * len(self.names) - self.place
+        return self.top(np.where(total == 0, 1000, score), limit)
+
+    def best_weighted(self, value: str, limit: int) -> list[tuple[str, int]]:
+        score = np.array([weighted_thousandths(value, k) for k in self.names], dtype=np.int64)
+        return self.top(score, limit)
+
+    def top(self, score: np.ndarray, limit: int) -> list[tuple[str, int]]:
+        rank = score * len(self.names) - self.place
         top = np.argpartition(-rank, limit)[:limit] if len(rank) > limit else np.arange(len(rank))
         top = top[np.argsort(-rank[top], kind="stable")]
         return [(self.names[i], int(-(-rank[i] // len(self.names)))) for i in top]
 
 
-def _common_length(a: str, b: str) -> int:
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    state = full
-    for ch in b:
-        hit = state & masks.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
-
-
-def _match_blocks(limit: int):
+def _match_blocks(limit: int, scorer: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple[str, str, int]] = []
             for values, keys in zip(batch["values"], batch["keys"]):
                 block = _KeyBlock(list(keys))
-                rows += [(v["key"], *hit) for v in values for hit in block.best(v["text"], limit)]
+                for v in values:
+                    hits = (
+                        block.best_weighted(v["key"], limit) if scorer == "weighted" else block.best(v["text"], limit)
+                    )
+                    rows += [(v["key"], *hit) for hit in hits]
             yield pd.DataFrame(rows, columns=["value", "key", "score"])
 
     return run
@@ -125,9 +125,13 @@ def _blocks(items: DataFrame, count: int, size: int, name: str) -> tuple[DataFra
 
 
 def top_matches(
-    values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup
+    values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup, scorer: str = DEFAULT.lookup_scorer
 ) -> DataFrame:
-    """(value, rank, key, score) with the best ``limit`` keys of each distinct value."""
+    """(value, rank, key, score) with the best ``limit`` keys of each distinct value.
+
+    The default scorer compares the texts with their words sorted; ``weighted`` also
+    credits partial and word-wise matches and costs far more per pair.
+    """
     values = stage(values.select(F.col(values.columns[0]).alias("value")), "lookup-values")
     keys = stage(keys.select(F.col(keys.columns[0]).alias("key")), "lookup-keys")
     value_blocks, n_values = _blocks(values, values.count(), VALUE_BLOCK, "values")
@@ -140,7 +144,7 @@ def top_matches(
         .join(key_blocks, "keys_block")
     )
     best = units.select("values", "keys").mapInPandas(
-        _match_blocks(limit), "value string, key string, score int"
+        _match_blocks(limit, scorer), "value string, key string, score int"
     )
     w = Window.partitionBy("value").orderBy(F.desc("score"), "key")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -164,7 +164,10 @@ def build_records(
     if schema.has(f):
         df = stage(df, "checked")
         matches = stage(
-            lookup.top_matches(lookup.unresolved_values(df.where(~F.col("lookup_decided")), f), known, settings.top_lookup),
+            lookup.top_matches(
+                lookup.unresolved_values(df.where(~F.col("lookup_decided")), f), known,
+                settings.top_lookup, settings.lookup_scorer,
+            ),
             "matches",
         )
         df = lookup.resolve(df, matches, schema, settings, skip=F.col("lookup_decided"), small=small)
