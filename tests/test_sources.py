@@ -70,3 +70,17 @@ def test_activity_stream_continues_from_its_checkpoint(spark):
         got = spark.read.parquet(out).orderBy("id").collect()
         assert [r["id"] for r in got] == want
         assert {r["stage"] for r in got} == {"map:x"}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    from tributary import session
+
+    def fake(master, named):
+        return Fake(conf=Fake(get=lambda key, default: named), sparkContext=Fake(master=master, applicationId="app-1"))
+
+    assert session.shared_dir(fake("yarn", "hdfs:/shared/")) == "hdfs:/shared"
+    assert session.shared_dir(fake("local[2]", None)) == session.shared_dir(fake("local[2]", None))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake("yarn", None))

@@ -28,6 +28,10 @@ def local_session(cores: int | str = 8, name: str = "tributary") -> SparkSession
     return spark
 
 
+# Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
@@ -39,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tributary-stage-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tributary-stage-")
+    return _LOCAL[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
