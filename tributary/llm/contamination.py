@@ -368,3 +368,8 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     left = found.where((F.size("spans") == 0) | (hit < F.col("n_words")))
     return map_batches(left, run, f"{_schema(docs, keep)}, text string").select(*columns)
+
+
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """`docs` with n_chars counted from the text, null where that is null."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
