@@ -56,6 +56,15 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def _settled(value: Column) -> Column:
+    """The value as the one row of a generator.
+
+    Filters above are not moved below a generator, nor is its input copied into the
+    functions above, where it would be computed once for each element of an array.
+    """
+    return F.explode(F.array(value))
+
+
 def measure(docs: DataFrame, repeats: bool = True) -> DataFrame:
     """`docs` with the measures under names that start with _q_.
 
@@ -63,15 +72,16 @@ def measure(docs: DataFrame, repeats: bool = True) -> DataFrame:
     tells. In the others, windows are sorted by (hash, place), and equal neighbours
     repeat. Taken by place, each adds the words that the one before did not cover.
     """
-    docs = docs.withColumns({f"_q_{k}": c for k, c in measures(text_or_empty()).items()})
+    m = measures(text_or_empty())
+    docs = docs.withColumn("_q__words", _settled(m.pop("_words"))).withColumns({f"_q_{k}": c for k, c in m.items()})
     docs = docs.withColumn("_q_n_words", F.size("_q__words").cast("long"))
     if not repeats:
         return docs.drop("_q__words")
-    docs = docs.withColumn("_q_hash", _windows(F.col("_q__words")))
+    docs = docs.withColumn("_q_hash", _settled(_windows(F.col("_q__words"))))
     hashes = F.col("_q_hash")
     placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     docs = docs.withColumn(
-        "_q_sorted", F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed)
+        "_q_sorted", _settled(F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed))
     ).drop("_q_hash", "_q__words")
     s = F.col("_q_sorted")
     places = F.array_sort(
@@ -83,11 +93,11 @@ def measure(docs: DataFrame, repeats: bool = True) -> DataFrame:
             lambda x: x["i"],
         )
     )
-    docs = docs.withColumn("_q_places", places).drop("_q_sorted")
+    docs = docs.withColumn("_q_places", _settled(places)).drop("_q_sorted")
     p = F.col("_q_places")
     new = F.transform(p, lambda at, j: F.coalesce(F.least(F.lit(WINDOW), at - F.get(p, j - 1)), F.lit(WINDOW)))
     total = F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x)
-    return docs.withColumn("_q_n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("_q_places")
+    return docs.withColumn("_q_n_repeat_words", _settled(F.coalesce(total, F.lit(0).cast("long")))).drop("_q_places")
 
 
 def features() -> dict[str, Column]:
