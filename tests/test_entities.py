@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tributary.operators import entities as E
 from tributary.operators import survivorship as S
-from tributary.operators.skew import sliced_join
 
 
 def union_find(edges):
@@ -36,19 +35,8 @@ def test_components_match_union_find(spark):
     edges = {(max(a, b), min(a, b)) for a, b in edges if a != b}
     df = spark.createDataFrame(sorted(edges), "hi string, lo string")
     want = {k: v for k, v in union_find(edges).items() if k != v}
-    for small in (10**6, 0):  # with and without cutting hot keys
-        got = {r["key"]: r["root"] for r in E.connected_components(df, small=small).collect()}
-        assert got == want
-
-
-def test_sliced_join_keeps_every_row(spark):
-    left = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("k"), "id")
-    right = left.where("k IS NOT NULL").select("k").distinct().withColumn("v", F.concat("k", F.lit("!")))
-    for how in ("inner", "left"):
-        a = sliced_join(left, right, "k", how, small=0).select("id", "k", "v")
-        b = left.join(right, "k", how).select("id", "k", "v")
-        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    got = {r["key"]: r["root"] for r in E.connected_components(df).collect()}
+    assert got == want
 
 
 def people(spark, schema, rows):
@@ -77,9 +65,9 @@ def test_bridging_row_joins_groups_whatever_the_order(spark, schema):
 
 def test_hot_entity_is_whole(spark, schema):
     rows = [("a", 0, i, {"employee_id": "E7" if i % 3 else f"E{100 + i}", "department": f"d{i % 5}"}) for i in range(600)]
-    linked = E.link_rows(people(spark, schema, rows), schema, small=0)
+    linked = E.link_rows(people(spark, schema, rows), schema)
     kept = S.keep_cells(linked, schema)
-    found = S.disagreements(linked, kept, schema, small=0)
+    found = S.disagreements(linked, kept, schema)
     assert found.where("entity_id = 'id:7'").count() == sum(1 for i in range(600) if i % 3 and i % 5 != 1)
     distinct = S.distinct_disagreements(found).where("entity_id = 'id:7'").select("value").collect()
     assert {r["value"] for r in distinct} == {"d0", "d2", "d3", "d4"}

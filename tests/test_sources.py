@@ -84,3 +84,13 @@ def test_shared_folder(spark, monkeypatch):
     assert session.shared_dir(fake("local[2]", None)) == session.shared_dir(fake("local[2]", None))
     with pytest.raises(RuntimeError):
         session.shared_dir(fake("yarn", None))
+
+
+def test_csv_rows_with_too_many_cells_are_never_cut(spark, tmp_path):
+    path = str(write(tmp_path, "ragged.csv", b'A,B\n1,2\n3,4,5\n6\n"7,8",9\n"x,y",z,"w ""q"", v"\n'))
+    kept = readers.read_csv_export(spark, path, "apart").orderBy("row_idx").collect()
+    assert [tuple(r) for r in kept] == [("1", "2", 0), ("6", None, 1), ("7,8", "9", 2)]
+    errors = readers.csv_errors(spark, path).collect()
+    assert {(r["line"], r["expected"]) for r in errors} == {("3,4,5", 2), ('"x,y",z,"w ""q"", v"', 2)}
+    with pytest.raises(Exception, match="more cells than the header"):
+        readers.read_csv_export(spark, path).collect()

@@ -78,6 +78,41 @@ def read_csv_export(spark, sf_dir):
     )
 
 
+def ragged(spark, sf_dir):
+    """An export of two columns in which some rows have a cell too many, and others a comma in quotes."""
+    path = fresh_path(spark, "ragged-csv")
+    lines = X.table(spark, sf_dir, "customer").selectExpr(
+        "CASE WHEN c_custkey % 7 IN (0, 1) THEN CAST(c_custkey AS STRING) || ',' || c_name || "
+        "CASE WHEN c_custkey % 7 = 0 THEN ',' || c_mktsegment ELSE '' END "
+        "ELSE CAST(c_custkey AS STRING) || ',\"' || c_name || ', ' || c_phone || '\"' END AS line",
+    )
+    # Every part of an export starts with its header.
+    lines.repartition(4).mapInPandas(_with_header, "line string").write.text(path)
+    return path
+
+
+def _with_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield pd.DataFrame({"line": ["key,name"]})
+    yield from batches
+
+
+RAGGED = (
+    "SELECT CAST(c_custkey AS STRING) AS key, CASE WHEN c_custkey % 7 = 1 THEN c_name ELSE c_name || ', ' || c_phone END AS name, "
+    "NULL AS line FROM customer WHERE c_custkey % 7 <> 0 UNION ALL "
+    "SELECT CAST(c_custkey AS STRING), c_name, CAST(c_custkey AS STRING) || ',' || c_name || ',' || c_mktsegment FROM customer WHERE c_custkey % 7 = 0"
+)
+
+
+@query("csv_ragged_rows", RAGGED)
+def csv_ragged_rows(spark, sf_dir):
+    """Rows with too many cells come out with their whole text, the others as rows."""
+    path = ragged(spark, sf_dir)
+    rows = readers.read_csv_export(spark, path, "apart").select("key", "name")
+    errors = readers.csv_errors(spark, path).select(
+        F.col("cells")[0].alias("key"), F.col("cells")[1].alias("name"), "line")
+    return rows.withColumn("line", F.lit(None).cast("string")).unionByName(errors)
+
+
 def _cell(ref: str, text: str | None) -> str:
     if text is None:
         return ""

@@ -74,8 +74,8 @@ def gate_status(spark, sf_dir):
 
 @query(
     "recheck_record",
-    f"WITH {state_sql('records', 'questions')}, doubts AS (SELECT DISTINCT record FROM questions WHERE status = 'open') SELECT record_id, natural_key, "
-    "CASE WHEN status = 'invalid' THEN 'invalid' WHEN natural_key IN (SELECT record FROM doubts) THEN 'needs_review' ELSE 'valid' END AS status FROM records",
+    f"WITH {state_sql('records', 'questions')}, doubts AS (SELECT DISTINCT run_id, record FROM questions WHERE status = 'open') SELECT record_id, natural_key, "
+    "CASE WHEN status = 'invalid' THEN 'invalid' WHEN (run_id, natural_key) IN (SELECT (run_id, record) FROM doubts) THEN 'needs_review' ELSE 'valid' END AS status FROM records",
 )
 def recheck_record(spark, sf_dir):
     return Q.recheck(state(spark, sf_dir, "records"), state(spark, sf_dir, "questions")).select("record_id", "natural_key", "status")
@@ -253,3 +253,12 @@ def minimal_rebuild(spark, sf_dir):
     """Build without decisions, then redo only the records they name: the same result."""
     first = consolidate(rows_of(spark, sf_dir), SCHEMA)
     return rebuild_affected(first, given_decisions(spark, sf_dir)).records.select("natural_key", *FIELDS, "status")
+
+
+@query("rebuild_in_steps", REPLAY_SQL)
+def rebuild_in_steps(spark, sf_dir):
+    """Decisions that arrive in two batches give what they give at once."""
+    given = given_decisions(spark, sf_dir)
+    early = F.col("decision_id") % 2 == 0
+    build = rebuild_affected(consolidate(rows_of(spark, sf_dir), SCHEMA), given.where(early))
+    return rebuild_affected(build, given.where(~early)).records.select("natural_key", *FIELDS, "status")

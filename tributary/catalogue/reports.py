@@ -82,13 +82,13 @@ def human_resolved_count(spark, sf_dir):
 
 @query(
     "escalation_subject",
-    f"WITH {state_sql('questions', 'records')}, names AS (SELECT natural_key, full_name FROM records WHERE trim(full_name) <> '') "
-    "SELECT id, record, coalesce(full_name, CASE WHEN record LIKE 'id:%' THEN '#' || substr(record, 4) ELSE regexp_replace(record, '^[^:]*:', '') END) AS subject "
-    "FROM questions LEFT JOIN names ON natural_key = record",
+    f"WITH {state_sql('questions', 'records')}, names AS (SELECT run_id, natural_key, min(full_name) AS full_name FROM records WHERE trim(full_name) <> '' GROUP BY run_id, natural_key) "
+    "SELECT questions.run_id, id, record, coalesce(full_name, CASE WHEN record LIKE 'id:%' THEN '#' || substr(record, 4) ELSE regexp_replace(record, '^[^:]*:', '') END) AS subject "
+    "FROM questions LEFT JOIN names ON natural_key = record AND names.run_id = questions.run_id",
 )
 def escalation_subject(spark, sf_dir):
     named = R.question_subjects(state(spark, sf_dir, "questions"), state(spark, sf_dir, "records"), "full_name")
-    return named.select("id", "record", "subject")
+    return named.select("run_id", "id", "record", "subject")
 
 
 CURSOR = 500

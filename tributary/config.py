@@ -16,8 +16,6 @@ class Settings:
     top_fields: int = 4
     top_lookup: int = 3
     sample_size: int = 5
-    # "sorted" (words sorted) or "weighted" (partial and word-wise matches count too).
-    lookup_scorer: str = "sorted"
 
 
 DEFAULT = Settings()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import digits, not_blank, strip
 from ..schema import TargetSchema
 from ..session import stage
-from .skew import SMALL, sliced_join
 
 
 def key_of(name: str, value: Column, schema: TargetSchema) -> Column:
@@ -63,7 +62,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return mixed.isEmpty()
 
 
-def _large_star(edges: DataFrame, total: int, small: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node around it."""
     around = edges.select(F.col("hi").alias("node"), F.col("lo").alias("next")).union(
         edges.select(F.col("lo").alias("node"), F.col("hi").alias("next"))
@@ -72,48 +71,47 @@ def _large_star(edges: DataFrame, total: int, small: int) -> DataFrame:
         "node", F.least("node", "m").alias("m")
     )
     return (
-        sliced_join(around.where(F.col("next") > F.col("node")), least, "node", total=2 * total, small=small)
+        around.where(F.col("next") > F.col("node")).join(least, "node")
         .select(F.col("next").alias("hi"), F.col("m").alias("lo"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame, total: int, small: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
     lower = (
-        sliced_join(edges, least, "hi", total=2 * total, small=small)
+        edges.join(least, "hi")
         .where(F.col("lo") != F.col("m"))
         .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     )
     return lower.union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(key, root) for every key that is not itself the smallest of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) bring any
     graph to stars in a number of rounds that grows with the logarithm of its size.
-    Each round is a grouped minimum with map-side combining and a join that cuts hot
-    keys into slices, and is written to the shared folder.
+    Each round is a grouped minimum with map-side combining and a join to it, whose hot
+    partitions Spark splits at run time, and is written to the shared folder.
     """
     current = stage(edges, "edges")
     while not _is_star_forest(current):
-        total = current.count()
-        larger = stage(_large_star(current, total, small), "edges")
-        current = stage(_small_star(larger, total, small), "edges")
+        larger = stage(_large_star(current), "edges")
+        current = stage(_small_star(larger), "edges")
     return current.select(F.col("hi").alias("key"), F.col("lo").alias("root"))
 
 
-def link_rows(rows: DataFrame, schema: TargetSchema, small: int = SMALL) -> DataFrame:
+def link_rows(rows: DataFrame, schema: TargetSchema) -> DataFrame:
     """Add ``entity_id``: the smallest key of the row's component.
 
     Rows without a key form an entity of their own.
     """
-    roots = connected_components(key_edges(rows, schema), small)
+    roots = connected_components(key_edges(rows, schema))
     first = F.get(match_keys(schema), F.lit(0))
     keyed = rows.withColumn("key", first)
-    joined = sliced_join(keyed, roots, "key", "left", small=small)
+    joined = keyed.join(roots, "key", "left")
     return joined.withColumn(
         "entity_id", F.coalesce("root", "key", unmatched_id())
     ).drop("root", "key")
@@ -125,14 +123,19 @@ def natural_key(schema: TargetSchema, entity_id: Column | None = None) -> Column
     return F.coalesce(*keys, F.col("entity_id") if entity_id is None else entity_id)
 
 
-def entity_keys(linked: DataFrame, schema: TargetSchema) -> DataFrame:
+def entity_keys(linked: DataFrame, schema: TargetSchema, wanted: DataFrame | None = None) -> DataFrame:
     """(key, entity_id) for every key and every row fingerprint of linked rows.
 
+    With ``wanted``, only for the keys it names: the few that decisions mention.
+
     A key stays with its entity when a later mapping adds more keys, so decisions
     stored by key find their entity again after a rebuild.
     """
     keys = F.concat(match_keys(schema), F.array(unmatched_id()))
-    return linked.select(F.explode(keys).alias("key"), "entity_id").distinct()
+    named = linked.select(F.explode(keys).alias("key"), "entity_id")
+    if wanted is not None:
+        named = named.join(wanted.select("key").where(F.col("key").isNotNull()).distinct(), "key", "left_semi")
+    return named.distinct()
 
 
 def duplicate_rows(rows: DataFrame, columns: list[str]) -> DataFrame:

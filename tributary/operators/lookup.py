@@ -18,16 +18,15 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.similarity import as_score, sorted_tokens
 from ..functions.text import not_blank
-from ..functions.weighted import common_length, weighted_thousandths
 from ..schema import TargetSchema
 from ..session import stage
 from .matching import per_mille
-from .skew import SMALL, sliced_join
 
 KEY_BLOCK = 4000
 VALUE_BLOCK = 250
 UNITS_PER_TASK = 4
 MAX_TASKS = 20_000
+WORD = 63
 
 
 def known_keys(records: DataFrame, field: str) -> DataFrame:
@@ -59,20 +58,29 @@ class _KeyBlock:
         self.place[sorted(range(len(keys)), key=self.names.__getitem__)] = np.arange(len(keys))
 
     def common(self, text: str) -> np.ndarray:
-        """Longest common subsequence of ``text`` with each key."""
-        if len(text) > 63:
-            return np.array([common_length(text, t) for t in self.texts], dtype=np.int64)
-        masks: dict[int, int] = {}
+        """Longest common subsequence of ``text`` with each key, 63 places to a word.
+
+        A zero bit of a word marks a place that is matched; what adding a mask carries out of a
+        word goes into the next.
+        """
+        words = max(1, -(-len(text) // WORD))
+        masks: list[dict[int, int]] = [{} for _ in range(words)]
         for i, ch in enumerate(text):
-            masks[ord(ch)] = masks.get(ord(ch), 0) | (1 << i)
-        bits = np.array([masks.get(int(c), 0) for c in self.chars], dtype=np.uint64)
-        full = np.uint64((1 << len(text)) - 1)
-        state = np.full(len(self.texts), full, dtype=np.uint64)
+            own = masks[i // WORD]
+            own[ord(ch)] = own.get(ord(ch), 0) | (1 << (i % WORD))
+        sizes = [min(WORD, len(text) - w * WORD) for w in range(words)]
+        full = [np.uint64((1 << max(n, 0)) - 1) for n in sizes]
+        bits = [np.array([m.get(int(c), 0) for c in self.chars], dtype=np.uint64) for m in masks]
+        state = [np.full(len(self.texts), f, dtype=np.uint64) for f in full]
         for column in self.where:
-            mask = bits[column]
-            hit = state & mask
-            state = ((state + hit) | (state & ~mask)) & full
-        return len(text) - np.bitwise_count(state).astype(np.int64)
+            carry = np.zeros(len(self.texts), dtype=np.uint64)
+            for w in range(words):
+                mask = bits[w][column]
+                hit = state[w] & mask
+                added = state[w] + hit + carry
+                carry = (added >> np.uint64(max(sizes[w], 0))) & np.uint64(1)
+                state[w] = (added | (state[w] & ~mask)) & full[w]
+        return len(text) - sum(np.bitwise_count(x).astype(np.int64) for x in state)
 
     def best(self, text: str, limit: int) -> list[tuple[str, int]]:
         """Best ``limit`` keys: score in thousandths first, then key order."""
@@ -82,10 +90,6 @@ class _KeyBlock:
         score = low + ((2 * rest > total) | ((2 * rest == total) & (low % 2 == 1)))
         return self.top(np.where(total == 0, 1000, score), limit)
 
-    def best_weighted(self, value: str, limit: int) -> list[tuple[str, int]]:
-        score = np.array([weighted_thousandths(value, k) for k in self.names], dtype=np.int64)
-        return self.top(score, limit)
-
     def top(self, score: np.ndarray, limit: int) -> list[tuple[str, int]]:
         rank = score * len(self.names) - self.place
         top = np.argpartition(-rank, limit)[:limit] if len(rank) > limit else np.arange(len(rank))
@@ -93,17 +97,14 @@ class _KeyBlock:
         return [(self.names[i], int(-(-rank[i] // len(self.names)))) for i in top]
 
 
-def _match_blocks(limit: int, scorer: str):
+def _match_blocks(limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple[str, str, int]] = []
             for values, keys in zip(batch["values"], batch["keys"]):
                 block = _KeyBlock(list(keys))
                 for v in values:
-                    hits = (
-                        block.best_weighted(v["key"], limit) if scorer == "weighted" else block.best(v["text"], limit)
-                    )
-                    rows += [(v["key"], *hit) for hit in hits]
+                    rows += [(v["key"], *hit) for hit in block.best(v["text"], limit)]
             yield pd.DataFrame(rows, columns=["value", "key", "score"])
 
     return run
@@ -124,13 +125,11 @@ def _blocks(items: DataFrame, count: int, size: int, name: str) -> tuple[DataFra
     return blocks, n
 
 
-def top_matches(
-    values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup, scorer: str = DEFAULT.lookup_scorer
-) -> DataFrame:
+def top_matches(values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup) -> DataFrame:
     """(value, rank, key, score) with the best ``limit`` keys of each distinct value.
 
-    The default scorer compares the texts with their words sorted; ``weighted`` also
-    credits partial and word-wise matches and costs far more per pair.
+    The texts are compared with their words sorted. Units are dealt out anew after the
+    join that makes them, so all tasks get some whichever side was broadcast.
     """
     values = stage(values.select(F.col(values.columns[0]).alias("value")), "lookup-values")
     keys = stage(keys.select(F.col(keys.columns[0]).alias("key")), "lookup-keys")
@@ -140,11 +139,11 @@ def top_matches(
     tasks = max(tasks, min(n_values * n_keys, keys.sparkSession.sparkContext.defaultParallelism))
     units = (
         value_blocks.withColumn("keys_block", F.explode(F.expr(f"sequence(0L, {n_keys - 1}L)")))
-        .repartition(tasks, "values_block", "keys_block")
         .join(key_blocks, "keys_block")
+        .repartition(tasks, "values_block", "keys_block")
     )
     best = units.select("values", "keys").mapInPandas(
-        _match_blocks(limit, scorer), "value string, key string, score int"
+        _match_blocks(limit), "value string, key string, score int"
     )
     w = Window.partitionBy("value").orderBy(F.desc("score"), "key")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
@@ -156,7 +155,6 @@ def resolve(
     schema: TargetSchema,
     settings: Settings = DEFAULT,
     skip: Column | None = None,
-    small: int = SMALL,
 ) -> DataFrame:
     """Replace references whose best match reaches the threshold.
 
@@ -171,8 +169,7 @@ def resolve(
     sure = F.col("_ref").isNotNull() & F.coalesce(
         F.col("_score") >= per_mille(settings.auto_apply), F.lit(False)
     )
-    # Many records may name the same person.
-    return sliced_join(asked, best, "_ref", "left", small=small).select(
+    return asked.join(best, "_ref", "left").select(
         *[
             F.when(sure, F.col("_key")).otherwise(F.col(f)).alias(f) if c == f else F.col(c)
             for c in records.columns

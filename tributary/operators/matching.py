@@ -26,7 +26,6 @@ from ..functions.similarity import (
 from ..functions.text import literal_lookup, norm_header, quoted
 from ..schema import TargetSchema
 from ..session import stage
-from .skew import SMALL, sliced_join
 
 CANDIDATES = "array<struct<field:string,score:int>>"
 
@@ -201,7 +200,15 @@ def match_headers(
 ) -> DataFrame:
     """One row per distinct header with the final mapping decision."""
     decided = decide(score_headers(headers, schema, settings), settings)
-    suggested = (adjudicate or closest_name(schema))(options_for_review(decided, schema, settings))
+    review = options_for_review(decided, schema, settings)
+    # An answer counts if it is one of the options; of several answers, the best.
+    answers = (
+        (adjudicate or closest_name(schema))(review)
+        .groupBy("header").agg(F.max_by(F.struct("suggested", "suggested_score"), F.struct("suggested_score", "suggested")).alias("a"))
+    )
+    suggested = review.select("header", "options").join(answers, "header").where(
+        F.array_contains("options", F.col("a.suggested"))
+    ).select("header", "a.*")
     ok = F.col("suggested").isNotNull() & (
         F.col("suggested_score") >= per_mille(settings.auto_apply)
     )
@@ -237,12 +244,10 @@ def match_columns(
     schema: TargetSchema,
     settings: Settings = DEFAULT,
     adjudicate: Adjudicator | None = None,
-    small: int = SMALL,
 ) -> DataFrame:
     """Mapping table: one row per (file, header) of the column catalog."""
     decided = match_headers(catalog, schema, settings, adjudicate)
-    # Some headers stand in nearly every file.
-    return sliced_join(catalog, decided, "header", small=small).withColumn(
+    return catalog.join(decided, "header").withColumn(
         "confidence", as_score(F.col("confidence"))
     )
 

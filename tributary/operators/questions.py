@@ -146,14 +146,14 @@ def gate_status(queue: DataFrame, by: str = "run_id") -> DataFrame:
 
 
 def recheck(records: DataFrame, queue: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Status after decisions: open questions and errors count by equal record key."""
+    """Status after decisions: open questions and errors of the same run count by equal record key."""
     doubts = queue.where((F.col("status") == "open") & F.col("record").isNotNull()).select(
-        F.col("record").alias("natural_key")
+        "run_id", F.col("record").alias("natural_key")
     )
     if errors is not None:
-        doubts = doubts.unionByName(errors.select("natural_key"))
+        doubts = doubts.unionByName(errors.select("run_id", "natural_key"))
     marked = doubts.distinct().withColumn("_doubt", F.lit(True))
-    return records.join(marked, "natural_key", "left").withColumn(
+    return records.join(marked, ["run_id", "natural_key"], "left").withColumn(
         "status",
         F.when(F.col("status") == "invalid", "invalid")
         .when(F.col("_doubt").isNotNull(), "needs_review")

@@ -46,8 +46,14 @@ def human_resolved() -> Column:
     return F.count_if((F.col("status") == "resolved") & (F.coalesce("resolved_by", F.lit("")) != "agent"))
 
 
-def by_status(df: DataFrame, status: str = "") -> DataFrame:
-    return df.where(F.col("status") == status) if status else df
+def of_run(df: DataFrame, run: int | None) -> DataFrame:
+    """Rows of one run: a filter that prunes a table partitioned by run."""
+    return df if run is None else df.where(F.col("run_id") == run)
+
+
+def by_status(df: DataFrame, status: str = "", run: int | None = None) -> DataFrame:
+    own = of_run(df, run)
+    return own.where(F.col("status") == status) if status else own
 
 
 def status_facets(records: DataFrame, by: str = "run_id") -> DataFrame:
@@ -55,27 +61,35 @@ def status_facets(records: DataFrame, by: str = "run_id") -> DataFrame:
     return records.groupBy(by, "status").agg(F.count("*").alias("n")).withColumn("place", place.cast("int"))
 
 
-def question_subjects(questions: DataFrame, records: DataFrame, name_field: str) -> DataFrame:
-    """Display name of the record each question is about."""
-    named = records.where(F.trim(F.col(name_field)) != "").select(
-        F.col("natural_key").alias("record"), F.col(name_field).alias("_name")
+def question_subjects(questions: DataFrame, records: DataFrame, name_field: str, run: int | None = None) -> DataFrame:
+    """Display name of the record each question is about: one row per question.
+
+    Names are looked up within the question's run. Where several records of a run share a
+    key, the smallest name is shown.
+    """
+    named = (
+        of_run(records, run).where(F.trim(F.col(name_field)) != "")
+        .groupBy("run_id", F.col("natural_key").alias("record")).agg(F.min(name_field).alias("_name"))
     )
     bare = F.regexp_replace("record", "^[^:]*:", "")
     readable = F.when(F.col("record").startswith("id:"), F.concat(F.lit("#"), bare)).otherwise(bare)
-    return questions.join(named, "record", "left").withColumn("subject", F.coalesce("_name", readable)).drop("_name")
+    return of_run(questions, run).join(named, ["run_id", "record"], "left").withColumn(
+        "subject", F.coalesce("_name", readable)
+    ).drop("_name")
 
 
-def activity_since(audit: DataFrame, cursor: Column | int) -> DataFrame:
+def activity_since(audit: DataFrame, cursor: Column | int, run: int | None = None) -> DataFrame:
     """Stage events after a cursor; works on a batch and on a stream alike."""
-    return audit.where(F.col("action").startswith(ACTIVITY) & (F.col("id") > cursor)).select(
+    return of_run(audit, run).where(F.col("action").startswith(ACTIVITY) & (F.col("id") > cursor)).select(
         "id", "run_id", "ts", F.regexp_replace("action", f"^{ACTIVITY}", "").alias("stage"),
         F.col("reason").alias("message"),
     )
 
 
-def audit_view(audit: DataFrame, actor: str = "all") -> DataFrame:
+def audit_view(audit: DataFrame, actor: str = "all", run: int | None = None) -> DataFrame:
     """The trail a person reads: without stage events and doubled entries."""
-    shown = audit.where(~F.col("action").startswith(ACTIVITY) & (F.col("action") != HIDDEN_ACTION))
+    own = of_run(audit, run)
+    shown = own.where(~F.col("action").startswith(ACTIVITY) & (F.col("action") != HIDDEN_ACTION))
     return shown if actor == "all" else shown.where(F.col("actor") == actor)
 
 

@@ -9,7 +9,6 @@ from ..functions.dates import distinct_days, is_readable, read_as, readings
 from ..functions.similarity import bind
 from ..functions.text import digits, literal_lookup, not_blank, squeeze
 from ..schema import Field, TargetSchema
-from .skew import SMALL, sliced_join
 
 CELL = "struct<file_ord:int,row_idx:bigint,file:string,raw:string>"
 
@@ -124,19 +123,13 @@ def disagreements(
     kept: DataFrame,
     schema: TargetSchema,
     forced: dict[str, str] | None = None,
-    small: int = SMALL,
 ) -> DataFrame:
     """Long table of values that contradict the surviving value of their field.
 
     Each row is compared with the survivors of its entity only, never with the other
-    rows, and an entity with very many rows is cut into slices.
+    rows, so Spark may split the partition of an entity with very many rows.
     """
-    joined = sliced_join(
-        linked.select("entity_id", "file", "file_ord", "row_idx", *schema.names),
-        kept,
-        "entity_id",
-        small=small,
-    )
+    joined = linked.select("entity_id", "file", "file_ord", "row_idx", *schema.names).join(kept, "entity_id")
     found = []
     for f in schema:
         survivor = F.col(f"{f.name}__kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..operators import cleaning, dates, decisions as dec, entities, lookup, matching, questions as q
 from ..operators import survivorship, validation
-from ..operators.skew import SMALL
 from ..schema import TargetSchema
 from ..session import stage
 from ..sources import readers
@@ -30,6 +30,9 @@ class Build:
     matches: DataFrame
     mappings: DataFrame | None = None
     forced: dict[str, str] = field(default_factory=dict)
+    # Every decision so far, and how to make the whole build again with others.
+    decisions: DataFrame | None = None
+    remake: Callable[[DataFrame], Build] | None = None
 
     @property
     def changes(self) -> DataFrame:
@@ -129,10 +132,12 @@ def map_sources(
     settled = mappings.where(
         F.col("status").isin("auto_applied", "resolved") & F.col("target_field").isNotNull()
     ).select("file", "col_ord", "header", "target_field").collect()
+    by_file: dict[str, list[tuple[str, str]]] = {}
+    for r in sorted(settled, key=lambda r: r["col_ord"]):
+        by_file.setdefault(r["file"], []).append((r["header"], r["target_field"]))
     parts = []
     for i, (name, df) in enumerate(sources):
-        own = sorted((r for r in settled if r["file"] == name), key=lambda r: r["col_ord"])
-        pairs = [(r["header"], r["target_field"]) for r in own]
+        pairs = by_file.get(name, [])
         parts.append(readers.with_lineage(
             df.select("row_idx", *matching.field_columns(pairs, schema, df.columns)), name, i))
     return readers.union_sources(parts)
@@ -146,7 +151,6 @@ def build_records(
     edits: DataFrame | None,
     known: DataFrame,
     settings: Settings = DEFAULT,
-    small: int = SMALL,
 ) -> tuple[DataFrame, DataFrame]:
     """(records, lookup matches) of the entities in ``kept``: clean, fix, replay, check, look up."""
     merged = survivorship.merged_records(kept, schema).withColumn("natural_key", entities.natural_key(schema))
@@ -166,11 +170,11 @@ def build_records(
         matches = stage(
             lookup.top_matches(
                 lookup.unresolved_values(df.where(~F.col("lookup_decided")), f), known,
-                settings.top_lookup, settings.lookup_scorer,
+                settings.top_lookup,
             ),
             "matches",
         )
-        df = lookup.resolve(df, matches, schema, settings, skip=F.col("lookup_decided"), small=small)
+        df = lookup.resolve(df, matches, schema, settings, skip=F.col("lookup_decided"))
         origin = F.struct(F.lit("agent").alias("file"), F.col("lookup_from").alias("raw"))
         without = F.map_filter("provenance", lambda k, v: k != f)
         df = df.withColumn(
@@ -200,10 +204,10 @@ def build_records(
 
 def open_conflicts(
     linked: DataFrame, kept: DataFrame, schema: TargetSchema, forced: dict[str, str],
-    edits: DataFrame | None, small: int = SMALL,
+    edits: DataFrame | None,
 ) -> DataFrame:
     """Distinct contradictions that no decision has settled, with the record's key."""
-    found = survivorship.distinct_disagreements(survivorship.disagreements(linked, kept, schema, forced, small))
+    found = survivorship.distinct_disagreements(survivorship.disagreements(linked, kept, schema, forced))
     if edits is not None:
         found = found.join(edits.select("entity_id", "field"), ["entity_id", "field"], "left_anti")
     keys = survivorship.merged_records(kept, schema).select("entity_id", entities.natural_key(schema).alias("natural_key"))
@@ -218,22 +222,25 @@ def consolidate(
     decisions: DataFrame | None = None,
     mappings: DataFrame | None = None,
     settings: Settings = DEFAULT,
-    small: int = SMALL,
 ) -> Build:
     """Link, merge, clean, check. A deterministic function of rows and decisions."""
     labels = stage(dates.inferred_orders(rows, schema.of_type("date")), "orders") if schema.of_type("date") else None
     dated = dates.rewrite_dates(rows, labels, schema) if labels is not None else rows
-    linked = stage(entities.link_rows(dated, schema, small), "linked")
+    linked = stage(entities.link_rows(dated, schema), "linked")
     kept = stage(survivorship.keep_cells(linked, schema), "kept")
     forced, edits = {}, None
     if decisions is not None:
         # One row per date field of the schema.
-        forced = {r["field"]: r["label"] for r in dec.forced_formats(decisions).collect()}
-        edits = stage(dec.record_edits(decisions, entities.entity_keys(linked, schema), schema), "edits")
-    conflicts = open_conflicts(linked, kept, schema, forced, edits, small)
+        forced = forced_labels(decisions, schema)
+        keys = entities.entity_keys(linked, schema, decisions)
+        edits = stage(dec.record_edits(decisions, keys, schema), "edits")
+    conflicts = open_conflicts(linked, kept, schema, forced, edits)
     known = known_contacts(kept, schema)
-    records, matches = build_records(kept, conflicts, schema, forced, edits, known, settings, small)
-    return Build(schema, linked, kept, records, conflicts, matches, mappings, forced)
+    records, matches = build_records(kept, conflicts, schema, forced, edits, known, settings)
+    return Build(
+        schema, linked, kept, records, conflicts, matches, mappings, forced, decisions,
+        lambda given: consolidate(rows, schema, given, mappings, settings),
+    )
 
 
 def known_contacts(kept: DataFrame, schema: TargetSchema) -> DataFrame:
@@ -244,25 +251,42 @@ def known_contacts(kept: DataFrame, schema: TargetSchema) -> DataFrame:
     return kept.select(F.col(f"{f}__kept.raw").alias("key")).where(F.col("key").isNotNull()).distinct()
 
 
-def rebuild_affected(build: Build, decisions: DataFrame, settings: Settings = DEFAULT, small: int = SMALL) -> Build:
-    """Apply record decisions: only the records they name are made again."""
+def forced_labels(decisions: DataFrame, schema: TargetSchema) -> dict[str, str]:
+    """The date format decided for each date field of the schema, at most one row each."""
+    own = dec.forced_formats(decisions).where(F.col("field").isin(schema.of_type("date")))
+    return {r["field"]: r["label"] for r in own.collect()}
+
+
+def rebuild_affected(build: Build, decisions: DataFrame, settings: Settings = DEFAULT) -> Build:
+    """Apply further decisions to a build, beside those it was made with.
+
+    The newest decision on a subject counts, so ``decision_id`` has to rise. Decisions on
+    records make only the records they name again; one on a mapping or a date format
+    changes rows everywhere and makes the whole build again.
+    """
     schema = build.schema
-    keys = entities.entity_keys(build.linked, schema)
+    every = decisions if build.decisions is None else build.decisions.unionByName(decisions)
+    if not decisions.where(F.col("type").isin(*dec.MAPPING, "ambiguous_date")).isEmpty():
+        if build.remake is None:
+            raise ValueError("this build does not know its sources; run it again with all decisions")
+        return build.remake(every)
+    keys = entities.entity_keys(build.linked, schema, decisions)
     touched = stage(dec.affected_entities(decisions, keys), "touched")
-    edits = stage(dec.record_edits(decisions, keys, schema), "edits")
+    linked = stage(build.linked.join(touched, "entity_id", "left_semi"), "linked")
     kept = build.kept.join(touched, "entity_id", "left_semi")
-    linked = build.linked.join(touched, "entity_id", "left_semi")
-    conflicts = open_conflicts(linked, kept, schema, build.forced, edits, small)
+    # Earlier decisions on the same records may name them by another key.
+    edits = stage(dec.record_edits(every, entities.entity_keys(linked, schema), schema), "edits")
+    conflicts = open_conflicts(linked, kept, schema, build.forced, edits)
     records, matches = build_records(
-        kept, conflicts, schema, build.forced, edits, known_contacts(build.kept, schema), settings, small
+        kept, conflicts, schema, build.forced, edits, known_contacts(build.kept, schema), settings
     )
     rest = lambda df: df.join(touched, "entity_id", "left_anti")
     return Build(
         schema, build.linked, build.kept,
-        rest(build.records).unionByName(records),
-        rest(build.conflicts).unionByName(conflicts),
-        build.matches.unionByName(matches).distinct(),
-        build.mappings, build.forced,
+        stage(rest(build.records).unionByName(records), "records"),
+        stage(rest(build.conflicts).unionByName(conflicts), "conflicts"),
+        stage(build.matches.unionByName(matches).distinct(), "matches"),
+        build.mappings, build.forced, every, build.remake,
     )
 
 
@@ -273,12 +297,13 @@ def run(
     decisions: DataFrame | None = None,
     settings: Settings = DEFAULT,
     adjudicate: matching.Adjudicator | None = None,
-    small: int = SMALL,
 ) -> Build:
     """A run from raw exports: match the columns, then consolidate the rows."""
     catalog = readers.column_catalog(readers.source_catalog(sources))
-    mappings = matching.match_columns(catalog, schema, settings, adjudicate, small)
+    mappings = matching.match_columns(catalog, schema, settings, adjudicate)
     if decisions is not None:
         mappings = dec.apply_mapping_decisions(mappings, decisions, schema)
     mappings = stage(mappings, "mappings")
-    return consolidate(map_sources(sources, mappings, schema), schema, decisions, mappings, settings, small)
+    build = consolidate(map_sources(sources, mappings, schema), schema, decisions, mappings, settings)
+    build.remake = lambda given: run(spark, sources, schema, given, settings, adjudicate)
+    return build

@@ -15,6 +15,7 @@ NULL_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 ROW_BITS = 33
+ODD = "_odd"
 
 
 def null_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -74,29 +75,61 @@ def csv_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
     return ("UTF-8" if found["utf8"] in (True, None) else "ISO-8859-1"), bool(found["broken"])
 
 
-def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV export: all strings, blanks kept, tokens nulled, empty rows dropped."""
+def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Raw rows with their place, and with the whole text of those that have too many cells."""
     encoding, multi_line = csv_layout(spark, path)
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
-    names = raw.columns
-    order = raw.select(
-        "*",
+    names = reader.csv(path).columns
+    fields = ", ".join(f"`{c}` string" for c in [*names, ODD])
+    raw = reader.schema(fields).option("columnNameOfCorruptRecord", ODD).csv(path)
+    # A line of another length than the header's is kept as text; one that is short is no error.
+    cells = F.length(F.regexp_replace(F.regexp_replace(ODD, '"[^"]*"', ""), "[^,]", "")) + 1
+    rows = raw.select(
+        *[F.col(f"`{c}`") for c in names],
+        F.when(cells > len(names), F.col(ODD)).alias(ODD),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    kept = drop_empty_rows(null_tokens(order, names), names)
+    return rows, names
+
+
+def read_csv_export(spark: SparkSession, path: str, ragged: str = "fail") -> DataFrame:
+    """One CSV export: all strings, blanks kept, tokens nulled, empty rows dropped.
+
+    A row with more cells than the header makes the job fail, unless ``ragged`` is
+    "apart": then it is left to :func:`csv_errors`. No cell is dropped without a trace.
+    """
+    order, names = _csv_rows(spark, path)
+    odd = F.col(ODD)
+    if ragged == "apart":
+        order = order.where(odd.isNull())
+    else:
+        refused = F.raise_error(F.concat(F.lit("more cells than the header: "), odd)).cast("boolean")
+        order = order.where(F.when(odd.isNull(), True).otherwise(refused))
+    kept = drop_empty_rows(null_tokens(order.drop(ODD), names), names)
     indexed = dense_index(kept, [F.col("_path"), F.col("_start"), F.col("_line")])
     return normalize_headers(indexed.select(*[F.col(f"`{c}`") for c in names], "row_idx"))
 
 
+def csv_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(line, cells, expected) of the rows with more cells than the header.
+
+    ``line`` is the row's whole text, ``cells`` those that the header names.
+    """
+    rows, names = _csv_rows(spark, path)
+    return rows.where(F.col(ODD).isNotNull()).select(
+        F.col(ODD).alias("line"), F.array(*[F.col(f"`{c}`") for c in names]).alias("cells"),
+        F.lit(len(names)).alias("expected"),
+    )
+
+
 def with_lineage(df: DataFrame, file: str, file_ord: int) -> DataFrame:
     return df.select(F.lit(file).alias("file"), F.lit(file_ord).alias("file_ord"), "*")
 
