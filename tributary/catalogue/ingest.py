@@ -84,7 +84,7 @@ def ragged(spark, sf_dir):
     lines = X.table(spark, sf_dir, "customer").selectExpr(
         "CASE WHEN c_custkey % 7 IN (0, 1) THEN CAST(c_custkey AS STRING) || ',' || c_name || "
         "CASE WHEN c_custkey % 7 = 0 THEN ',' || c_mktsegment ELSE '' END "
-        "ELSE CAST(c_custkey AS STRING) || ',\"' || c_name || ', ' || c_phone || '\"' END AS line",
+        "ELSE CAST(c_custkey AS STRING) || ',\"' || c_name || ', ' || c_mktsegment || '\"' END AS line",
     )
     # Every part of an export starts with its header.
     lines.repartition(4).mapInPandas(_with_header, "line string").write.text(path)
@@ -97,7 +97,7 @@ def _with_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 RAGGED = (
-    "SELECT CAST(c_custkey AS STRING) AS key, CASE WHEN c_custkey % 7 = 1 THEN c_name ELSE c_name || ', ' || c_phone END AS name, "
+    "SELECT CAST(c_custkey AS STRING) AS key, CASE WHEN c_custkey % 7 = 1 THEN c_name ELSE c_name || ', ' || c_mktsegment END AS name, "
     "NULL AS line FROM customer WHERE c_custkey % 7 <> 0 UNION ALL "
     "SELECT CAST(c_custkey AS STRING), c_name, CAST(c_custkey AS STRING) || ',' || c_name || ',' || c_mktsegment FROM customer WHERE c_custkey % 7 = 0"
 )
