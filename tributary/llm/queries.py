@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, neardup, pages, quality, secrets, sharding, tokens, toxicity
+from . import contamination, licenses, mixing, neardup, pages, quality, secrets, sharding, sql, tokens, toxicity
 from .common import table
 
 SHARDS = 40
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding, op10_secrets, pipeline,
     )
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = dict(sql.CHECKS)
