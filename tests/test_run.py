@@ -198,3 +198,16 @@ def test_decided_date_format(spark, schema):
         {"type": "ambiguous_date", "field": "date_of_joining", "action": "approve", "value": "mm/dd"}]))
     assert questions(decided) == set()
     assert sorted(r["date_of_joining"] for r in decided.records.collect())[0] == "2023-01-02"
+
+
+def test_unknown_decisions_and_runs_are_refused(spark):
+    given = decisions(spark, [{**ANSWERS[0], "action": "maybe"}, {**ANSWERS[1], "type": "other"}, ANSWERS[2]])
+    assert [(r["decision_id"], r["error"]) for r in D.refused(given).orderBy("decision_id").collect()] == [
+        (0, "unknown action"), (1, "unknown type of question")]
+    assert [r["decision_id"] for r in D.taken(given).collect()] == [2]
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "run_id bigint")
+    runs = spark.createDataFrame([(1, "completed"), (2, "ready_to_push")], "run_id bigint, status string")
+    for step, may in {"push": [2], "retry": [1], "rollback": [1]}.items():
+        allowed, refused = V.guard(rows, runs, step)
+        assert [r["run_id"] for r in allowed.collect()] == may
+        assert sorted(r["run_id"] for r in refused.collect()) == sorted({1, 2, 3} - set(may))

@@ -21,6 +21,19 @@ ACTIONS = ("approve", "correct", "reject")
 DROP = "__drop__"
 
 
+def taken(decisions: DataFrame) -> DataFrame:
+    """Decisions with a known type and action; :func:`refused` has the others."""
+    return decisions.where(F.col("type").isin(*MAPPING, *RECORD, "ambiguous_date") & F.col("action").isin(*ACTIONS))
+
+
+def refused(decisions: DataFrame) -> DataFrame:
+    """Decisions that change nothing, with the reason."""
+    kind = F.coalesce(F.col("type").isin(*MAPPING, *RECORD, "ambiguous_date"), F.lit(False))
+    action = F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))
+    return decisions.where(~(kind & action)).withColumn(
+        "error", F.when(~kind, "unknown type of question").otherwise("unknown action"))
+
+
 def latest(decisions: DataFrame, *keys: str) -> DataFrame:
     """Newest decision per key: an aggregate that combines before the shuffle."""
     rest = [c for c in decisions.columns if c not in keys]
@@ -37,7 +50,7 @@ def apply_mapping_decisions(mappings: DataFrame, decisions: DataFrame, schema: T
 
     A value that names no field changes nothing; see :func:`invalid_targets`.
     """
-    own = latest(decisions.where(F.col("type").isin(*MAPPING)).select(
+    own = latest(taken(decisions).where(F.col("type").isin(*MAPPING)).select(
         "decision_id", "file", F.col("column").alias("header"), "action", "value"
     ), "file", "header").withColumnsRenamed({"decision_id": "_id", "action": "_action", "value": "_value"})
     dropped = F.col("_id").isNotNull() & (
@@ -65,7 +78,7 @@ def invalid_targets(decisions: DataFrame, schema: TargetSchema) -> DataFrame:
 
 def forced_formats(decisions: DataFrame) -> DataFrame:
     """(field, label) decided for a date field; a rejection leaves the values raw."""
-    own = latest(decisions.where(F.col("type") == "ambiguous_date").select("decision_id", "field", "action", "value"), "field")
+    own = latest(taken(decisions).where(F.col("type") == "ambiguous_date").select("decision_id", "field", "action", "value"), "field")
     return own.select(
         "field",
         F.when((F.col("action") == "reject") | blank(F.col("value")), "raw").otherwise(F.col("value")).alias("label"),
@@ -77,7 +90,7 @@ def record_edits(decisions: DataFrame, entity_keys: DataFrame, schema: TargetSch
 
     ``entity_keys`` leads from any key of a record to its entity of the current build.
     """
-    own = decisions.where(F.col("type").isin(*RECORD)).select(
+    own = taken(decisions).where(F.col("type").isin(*RECORD)).select(
         "decision_id", "type", "key",
         F.when(F.col("type") == "manager_unresolved", schema.lookup_field).otherwise(F.col("field")).alias("field"),
         "action", "value",
