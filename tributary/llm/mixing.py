@@ -30,12 +30,16 @@ class Mixture:
     seed: int = 17
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic by form: what the text consists of, where documents carry none."""
-    size = F.greatest(F.char_length(text), F.lit(1))
-    share = lambda chars: (F.char_length(text) - F.char_length(F.translate(text, chars, ""))) / size
+def topic(size: Column, marks: Column) -> Column:
+    """A coarse topic by form, where documents carry none.
+
+    `size` is the text's length, `marks` its characters other than letters, spaces and
+    the commonest punctuation.
+    """
+    count = lambda chars: F.char_length(marks) - F.char_length(F.translate(marks, chars, ""))
+    share = lambda chars: count(chars) / F.greatest(size, F.lit(1))
     return (
-        F.when(share("|\t") > 0.03, "table")
+        F.when(share("|") > 0.03, "table")
         .when(share("{}[]()<>=;#$%&*_\\/") > 0.05, "markup")
         .when(share("0123456789") > 0.1, "figures")
         .when(share("!?") > 0.03, "exclaimed")
@@ -44,18 +48,15 @@ def topic(text: Column) -> Column:
     )
 
 
-def tokens(text: Column) -> Column:
-    """Tokens of a text, taken as words: one more than runs of white space between them."""
-    t = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "))
-    return F.when(t == "", 0).otherwise(F.char_length(t) - F.char_length(F.translate(t, " ", "")) + 1).cast("long")
-
-
 def _labelled(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     axes = {f"_m_{a}": F.coalesce(F.col(a).cast("string"), F.lit("")) for a in AXES if a in docs.columns}
-    if "topic" not in docs.columns:
-        axes["_m_topic"] = topic(text)
-    return docs.withColumns(axes | {"_m_tokens": tokens(text)})
+    docs = docs.withColumns(axes | {"_m_tokens": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")})
+    if "topic" in docs.columns:
+        return docs
+    # A generator's row, so that the text is searched once and not for each use.
+    docs = docs.withColumn("_m_marks", F.explode(F.array(F.regexp_replace(text, "[\\p{L}\\s.,'-]+", ""))))
+    return docs.withColumn("_m_topic", topic(F.char_length(text), F.col("_m_marks"))).drop("_m_marks")
 
 
 def targets(cells: DataFrame, axis: str, mix: Mixture) -> DataFrame:
