@@ -123,6 +123,34 @@ def test_mixing_samples_by_its_chances(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_meets_shares_beyond_what_rare_cells_have(spark):
+    rows = [("s0", "en", "a", 90_000), ("s0", "de", "a", 6_000), ("s1", "en", "a", 3_000), ("s1", "en", "b", 600), ("s0", "de", "b", 400)]
+    cells = spark.createDataFrame(rows, "_m_source string, _m_lang string, _m_topic string, n long")
+    mix = mixing.Mixture({"topic": {"b": 0.04}}, budget=0.7)
+    got = mixing.calibrate(mixing.rake(cells, mix), mix)
+    assert sum(r.n * r.p for r in got.collect()) == pytest.approx(70_000, rel=1e-6)
+    for r in mixing.marginals(got, mix).collect():
+        assert r.expected == pytest.approx(r.wanted, rel=2e-3) and abs(r.unmet) < 2e-3, r
+    # A source and a language that only occur together, with shares that contradict each other.
+    odd = spark.createDataFrame([("s0", "en", "a", 100), ("s1", "de", "a", 100)], cells.schema)
+    mix = mixing.Mixture({"source": {"s0": 0.5}, "lang": {"en": 0.8}})
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.report(mixing.calibrate(mixing.rake(odd, mix), mix), mix)
+
+
+def test_mixing_repeats_rare_documents(spark):
+    rng = random.Random(14)
+    data = [(i, prose(rng, 30), "en", "rare" if i < 20 else "src", 1, "x", "x", "x") for i in range(1000)] + [(5000, "", "en", "rare", 0, "x", "x", "x")]
+    docs = spark.createDataFrame(data, SCHEMA)
+    mixed = mixing.mix_sources(docs, mixing.Mixture({"source": {"rare": 0.2}}))
+    out = {r.doc_id: r for r in mixed.collect()}
+    assert all(r.sampled == (r.copies > 0) for r in out.values()) and out[5000].copies <= 1
+    assert sum(out[i].copies for i in range(20)) == pytest.approx(140, abs=10)
+    taken = Counter(r.doc_id for r in mixing.repeated(mixed, ["doc_id", "text"]).collect())
+    assert taken == Counter({i: r.copies for i, r in out.items() if r.copies})
+    assert sum(taken.values()) == pytest.approx(700, rel=0.08)
+
+
 # ------------------------------------------------------------------ 4: toxicity
 def test_folding():
     assert toxicity.fold("1D10T, ЅТUРІD! łos€r pathétic m0r0n$x") == " idiot stupid los€r pathetic moronsx "

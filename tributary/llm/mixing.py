@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ class Mixture:
 
     `shares`: wanted share of the tokens for values of an axis. Values without one get
     what is left, in proportion to their tokens to the power `temper`, which lifts rare
-    values. `budget`: share of all tokens to keep.
+    values. `budget`: tokens to take, repeats included, as a share of all.
     """
 
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -109,27 +111,43 @@ def rake(cells: DataFrame, mix: Mixture) -> DataFrame:
 
 
 def calibrate(cells: DataFrame, mix: Mixture) -> DataFrame:
-    """Cells with `p`, the chance of their documents: the ratio times a factor, 1 at most.
+    """Cells with `p`, the expected copies of their documents: the ratio times one factor.
 
-    The factor makes the expected tokens meet the budget. Where a chance is capped at 1,
-    the others rise. Expected tokens grow with the factor: 64 factors are summed in one
-    pass over the cells, and the two that enclose the budget are the next scale.
+    The factor makes the expected tokens meet the budget and is the same for all cells, so
+    the raked shares are those that are sampled. Rare cells may need more than they
+    have: a p above 1 stands for repeats.
     """
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    wanted = mix.budget * total
-    low, high = 1e-9, 1e12
-    for _ in range(5):
-        steps = [low * (high / low) ** (i / 63) for i in range(64)]
-        grid = cells.select("n", "ratio", F.posexplode(F.array(*[F.lit(x) for x in steps])).alias("i", "f"))
-        sums = dict(
-            grid.groupBy("i").agg(F.sum(F.col("n") * F.least(F.lit(1.0), F.col("ratio") * F.col("f") * total)).alias("s")).collect()
+    total, weighed = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("ratio"))).first()
+    factor = mix.budget * (total or 0) / weighed if weighed else 0.0
+    return cells.withColumn("p", F.round(F.col("ratio") * factor, 9))
+
+
+def marginals(cells: DataFrame, mix: Mixture) -> DataFrame:
+    """axis, value, share wanted, share expected from `p`, and what is unmet, for every marginal.
+
+    Targets that contradict each other, such as those of a source and of a language that
+    only occur together, cannot all be met by any weights.
+    """
+    total = cells.agg(F.sum(F.col("n") * F.col("p"))).first()[0] or 0.0
+    each = []
+    for a in AXES:
+        sums = cells.groupBy(f"_m_{a}").agg(F.sum(F.col("n") * F.col("p")).alias("_sum"))
+        expected = F.col("_sum") / total if total else F.lit(0.0)
+        each.append(
+            targets(cells, a, mix).join(sums, f"_m_{a}").select(
+                F.lit(a).alias("axis"), F.col(f"_m_{a}").alias("value"), F.col("share").alias("wanted"), expected.alias("expected")
+            )
         )
-        over = [i for i in range(64) if (sums.get(i) or 0.0) >= wanted]
-        if not over:
-            low = high
-            break
-        low, high = steps[max(over[0] - 1, 0)], steps[over[0]]
-    return cells.withColumn("p", F.least(F.lit(1.0), F.round(F.col("ratio") * total * high, 9)))
+    return reduce(DataFrame.unionByName, each).withColumn("unmet", F.col("wanted") - F.col("expected"))
+
+
+def report(cells: DataFrame, mix: Mixture, most: int = 20) -> None:
+    """Warns of the marginals that miss their share by more than `tolerance` of it."""
+    missed = marginals(cells, mix).where(F.abs("unmet") > F.col("wanted") * mix.tolerance)
+    worst = missed.orderBy(F.abs("unmet").desc(), "axis", "value").limit(most).collect()
+    if worst:
+        listed = ", ".join(f"{r.axis} {r.value!r} {r.expected:.4g} for {r.wanted:.4g}" for r in worst)
+        warnings.warn(f"shares that are not met: {listed}", stacklevel=3)
 
 
 def draw(seed: int) -> Column:
@@ -139,23 +157,34 @@ def draw(seed: int) -> Column:
 
 
 def mix_sources(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
-    """Every row of `docs` with topic, tokens, `p` and `sampled`.
+    """Every row of `docs` with topic, tokens, `p`, `copies` and `sampled`.
 
-    Documents of a cell (source, language, topic) are kept independently with its chance
-    p; equal rows are kept or left together. Null sources and languages are the value "". Texts
-    without tokens weigh nothing and are kept with the chance of their cell. The tables of cells
+    Documents of a cell (source, language, topic) are taken independently, p times on average:
+    as often as p is whole, and once more with the chance of the rest. Equal rows share
+    their fate. Null sources and languages are the value "". Texts without tokens weigh
+    nothing and are taken with the chance of their cell, once at most. The tables of cells
     and chances grow with the number of sources, not of documents; documents join them
     under 8 salts, since a third may be of one source.
     """
     labelled = _labelled(docs)
     axes = [f"_m_{a}" for a in AXES]
     cells = stage(labelled.groupBy(*axes).agg(F.sum("_m_tokens").alias("n")), "cells")
-    chances = stage(calibrate(rake(cells, mix), mix).select(*axes, "p"), "chances")
-    salted = chances.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_m_salt"))
+    chances = stage(calibrate(rake(cells, mix), mix).select(*axes, "n", "p"), "chances")
+    report(chances, mix)
+    salted = chances.drop("n").select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_m_salt"))
     rows = labelled.withColumn("_m_salt", F.pmod(F.xxhash64("text"), F.lit(8)).cast("int"))
     joined = rows.join(salted.withColumnRenamed("p", "_m_p"), [*axes, "_m_salt"])
-    others = [c for c in docs.columns if c not in ("topic", "tokens", "p", "sampled")]
+    whole = F.floor("_m_p")
+    copies = whole + (draw(mix.seed) < F.col("_m_p") - whole).cast("long")
+    joined = joined.withColumn("_m_copies", F.when(F.col("_m_tokens") > 0, copies).otherwise(F.least(copies, F.lit(1))))
+    others = [c for c in docs.columns if c not in ("topic", "tokens", "p", "copies", "sampled")]
     return joined.select(
         *others, F.col("_m_topic").alias("topic"), F.col("_m_tokens").alias("tokens"), F.col("_m_p").alias("p"),
-        (draw(mix.seed) < F.col("_m_p")).alias("sampled"),
+        F.col("_m_copies").cast("long").alias("copies"), (F.col("_m_copies") > 0).alias("sampled"),
     )
+
+
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of every row of `mixed`, as often as its copies."""
+    taken = mixed.where("sampled").withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*columns)

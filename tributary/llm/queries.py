@@ -25,7 +25,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
-        "doc_id", "lang", "source", "topic", "tokens", "p", "sampled"
+        "doc_id", "lang", "source", "topic", "tokens", "p", "copies", "sampled"
     )
 
 
