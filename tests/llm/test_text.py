@@ -272,6 +272,18 @@ def test_pages(spark):
     assert pages.extract_pages(df.limit(0)).count() == 0
 
 
+def test_pages_without_article_keep_what_is_beside_the_container():
+    long = "<p>One, two, three, four, a paragraph that is long enough to count, and then some more of it.</p>" * 4
+    body = [x for x in ["One, two, three, four, a paragraph that is long enough to count, and then some more of it."] * 4]
+    page = f"""<body><nav><a href=/>Home</a></nav><h1><a href=x>Title</a></h1>Bare lead.<div class=wrap><h2>Sub</h2><div class=text>{long}</div>
+<ul><li>first<li>second</ul><p>Short end.</p><blockquote>A quote</blockquote><table><tr><td>1<td>2</table><section><p>Aa.<p>Bb.</section>
+<div><a href=1>Other page</a> <a href=2>Next one</a></div></div><footer>f</footer></body>"""
+    want = ["Title", "Bare lead.", "Sub", *body, "first", "second", "Short end.", "A quote", "1 2", "Aa.", "Bb."]
+    assert pages.extract(page).split("\n\n") == want
+    # With an article element, what is beside it is still weighed.
+    assert pages.extract(f"<div>Short note</div><article>{long}</article>").split("\n\n") == body
+
+
 # ------------------------------------------------------------------ 8: tokens
 PIECES = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "abc": -4.0, "c": -3.5, "▁abc": -5.0, "ä": -4.0}
 

@@ -43,6 +43,7 @@ NAMES = set(
     "consent gdpr popup modal overlay share sharing related recommended recommendations subscribe subscription newsletter "
     "signup login widget pagination pager toolbar".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # These may also name a part of an article, beside one of `CONTENT`.
 WEAK = set("header banner promo side foot notice notices notification alert social search reply toc skip legal disclaimer".split())
 CONTENT = set("article main content post entry story".split())
@@ -182,7 +183,9 @@ def extract(page: str | None) -> str:
     less its share of links, in full to its parent element and by half, a third and so
     on to those above. The element with the most points is the container. It widens to an
     article or main element around it. Its siblings are kept if they have a fifth
-    of its points, or if they are paragraphs with few links.
+    of its points, or if they are paragraphs with few links. Where there is no article or
+    main element, nothing says where the article ends: what lies beside the container
+    or the elements around it is kept, but for what is outside or dense in links.
     """
     if not page:
         return ""
@@ -204,15 +207,24 @@ def extract(page: str | None) -> str:
         wide = wide.parent
         if wide.tag in ("article", "main"):
             best = wide
-    kept = {id(best)}
-    if best.parent is not None:
-        for x in best.parent.children:
-            if isinstance(x, Node) and not x.outside:
+    kept, around = {id(best)}, set()
+    marked = best.tag in ("article", "main")
+    inner = best
+    while inner.parent is not None and (inner is best or not marked):
+        for x in inner.parent.children:
+            if isinstance(x, Node) and not x.outside and x is not inner:
                 inside = [(t, n) for _, t, n in blocks(x)]
                 size = sum(len(t) for t, _ in inside)
                 few = size and sum(n for _, n in inside) < 0.25 * size
-                if few and (x.score >= max(10.0, 0.2 * best.score) or x.tag == best.tag == "article" or (x.tag == "p" and size > 80)):
+                if not marked:
+                    wanted = few or x.tag in HEADINGS
+                else:
+                    wanted = few and (x.score >= max(10.0, 0.2 * best.score) or x.tag == best.tag == "article" or (x.tag == "p" and size > 80))
+                if wanted:
                     kept.add(id(x))
+        inner = inner.parent
+        if not marked:
+            around.add(id(inner))
 
     def within(node: Node | None) -> bool:
         while node is not None:
@@ -221,7 +233,8 @@ def extract(page: str | None) -> str:
             node = node.parent
         return False
 
-    return "\n\n".join(text for node, text, _ in found if within(node))
+    beside = lambda node, text, linked: id(node) in around and linked < 0.25 * len(text)
+    return "\n\n".join(text for node, text, linked in found if within(node) or beside(node, text, linked))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
