@@ -284,6 +284,13 @@ def test_pages_without_article_keep_what_is_beside_the_container():
     assert pages.extract(f"<div>Short note</div><article>{long}</article>").split("\n\n") == body
 
 
+def test_pages_nested_deeply():
+    for tag in ("div", "span", "font", "a", "b"):
+        assert pages.extract(f"<p>Head.</p>{f'<{tag}>' * 5000}deep text").split("\n\n")[-1] == "deep text"
+    assert pages.extract("<div><span>" * 2500 + "x" + "</span></div>" * 2500) == "x"
+    assert pages.extract("<span>" * 5000 + "<p>one<p>two").split("\n\n") == ["one", "two"]
+
+
 # ------------------------------------------------------------------ 8: tokens
 PIECES = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "abc": -4.0, "c": -3.5, "▁abc": -5.0, "ä": -4.0}
 

@@ -59,6 +59,7 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
     words: str = ""
     score: float = 0.0
+    has_block: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -135,45 +136,67 @@ def parse(page: str) -> Node:
     return root
 
 
+def _mark_blocks(root: Node) -> None:
+    """Notes in every element whether it holds a block, from the leaves up."""
+    order = [root]
+    for node in order:
+        order += [x for x in node.children if isinstance(x, Node) and not x.outside]
+    for node in reversed(order):
+        node.has_block = any(
+            isinstance(x, Node) and not x.outside and (x.tag not in INLINE or x.has_block) for x in node.children
+        )
+
+
 def _inline(node: Node) -> tuple[str, int]:
     """Text of an inline element, and how much of it is in links."""
-    parts, linked = [], 0
-    for x in node.children:
+    parts, linked, link, start = [], 0, None, 0
+    todo: list[tuple[Node | str, bool]] = [(node, False)]
+    while todo:
+        x, ended = todo.pop()
         if isinstance(x, str):
             parts.append(x)
-        elif not x.outside:
-            text, n = _inline(x)
-            parts.append(text)
-            linked += n
-    text = "".join(parts)
-    if node.tag in ("br", "td", "th"):
-        text = f" {text} "
-    return text, len(text.strip()) if node.tag == "a" else linked
-
-
-def _has_block(node: Node) -> bool:
-    return any(isinstance(x, Node) and not x.outside and (x.tag not in INLINE or _has_block(x)) for x in node.children)
+            continue
+        if x.tag in ("br", "td", "th"):
+            parts.append(" ")
+        if ended:
+            if x is link:
+                linked += len("".join(parts[start:]).strip())
+                link = None
+            continue
+        if x.tag == "a" and link is None:
+            link, start = x, len(parts)
+        todo.append((x, True))
+        todo += [(y, False) for y in reversed(x.children) if isinstance(y, str) or not y.outside]
+    return "".join(parts), linked
 
 
 def blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
-    """(element, text, characters in links) of every run of inline content, in page order."""
+    """(element, text, characters in links) of every run of inline content, in page order.
+
+    Elements are kept on a stack, so that a page may be nested to any depth.
+    """
+    todo = [(node, iter([*node.children, None]))]
     run, linked = [], 0
-    for x in [*node.children, None]:
+    while todo:
+        at, rest = todo[-1]
+        x = next(rest)
         if isinstance(x, str):
             run.append(x)
         elif x is not None and x.outside:
             run.append(" ")
-        elif x is not None and x.tag in INLINE and not _has_block(x):
+        elif x is not None and x.tag in INLINE and not x.has_block:
             text, n = _inline(x)
             run.append(text)
             linked += n
         else:
             text = " ".join("".join(run).split())
             if text:
-                yield node, text, linked
+                yield at, text, linked
             run, linked = [], 0
-            if x is not None:
-                yield from blocks(x)
+            if x is None:
+                todo.pop()
+            else:
+                todo.append((x, iter([*x.children, None])))
 
 
 def extract(page: str | None) -> str:
@@ -190,6 +213,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _mark_blocks(root)
     found = list(blocks(root))
     if not found:
         return ""
