@@ -164,3 +164,30 @@ def test_licenses(spark):
     assert [got[i].license for i in range(7)] == ["MIT", "MIT", None, None, None, None, None]
     assert (got[2].n_license_lines, got[2].line_licenses) == (2, "CC-BY-NC-4.0,MIT")
     assert got[None].license == "MIT" and got[3].n_license_lines == 0
+
+
+def test_whole_licence_texts(spark):
+    import textwrap
+
+    bodies = dict(licenses.whole_texts())
+    assert set(bodies) == set(licenses.IDENTIFIERS) - {
+        "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0",
+    }
+    first = {}
+    for name, text in licenses.whole_texts():
+        first.setdefault(name, text)
+    # Wrapped elsewhere, but for the lines of the holders, and with another holder.
+    wrap = lambda t, n: "\n\n".join(x if "opyright (C)" in x or "opyright ©" in x else textwrap.fill(x, n) for x in t.split("\n\n"))
+    names = sorted(first)
+    texts = [wrap(first[n].replace("<year> <holder>", "1999, 2004 Somebody Else, Inc."), w) for n in names for w in (60, 71, 97)]
+    isc = first["ISC"].replace("above copyright", "above\ncopyright")
+    bsd = first["BSD-3-Clause"].split("\n", 1)[1].replace("Copyright (c) <year> <holder>", "Copyright Some Body\nAll rights reserved.")
+    texts += [isc, bsd, "We list\nreleased under the foo bar\nand more", "THE UNLICENCE", "This is free and UNENCUMBERED software released into the Public Domain."]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = by_id(licenses.scan_licenses(df))
+    want = [n for n in names for _ in range(3)]
+    assert [got[i].license for i in range(len(want))] == want
+    n = len(want)
+    assert (got[n].license, got[n + 1].license, got[n + 4].line_licenses) == ("ISC", "BSD-3-Clause", "Unlicense")
+    own = by_id(licenses.scan_licenses(df, [("Foo", "Released under the foo bar!")]))
+    assert own[n + 2].line_licenses == "Foo"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,13 @@ SPELLINGS = (
     ("http ", "https "),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A line that states who holds the rights, whatever marks it starts with.
-COPYRIGHT = r"(?:^|\n)[^a-z0-9\n]*(?:copyright[^a-z\n]|c\)|©)[^\n]*"
+# A line that states who holds the rights by a mark, a year or a name, whatever marks it starts with.
+# "copyright notice", "COPYRIGHT HOLDERS" and list items (c) at the start of a wrapped line are text.
+COPYRIGHT = (
+    r"(?:^|\n)[^A-Za-z0-9\n©]*(?:(?i:copyright)[^A-Za-z\n]*(?:[cC]\)|[0-9]{4}|[<\[{©])"
+    r"|Copyright (?:by )?(?!Notice|Holder|Owner|Law|Licen|Disclaimer|Act|Treat|Statement|And |Or )[A-Z]"
+    r"|\([cC]\)[^A-Za-z\n]*[0-9]{4}|©)[^\n]*"
+)
 RESERVED = r"all rights reserved"
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{00A0}-\x{00BF}\x{2000}-\x{206F}]+"
 
@@ -78,9 +85,38 @@ IDENTIFIERS = (
 )
 
 
+# Names that stand above the short texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+# Whole texts as their publishers word them, a file each; a second wording has a further suffix.
+FOLDER = Path(__file__).with_name("license_texts")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text), with and without the title of a short text and the appendix of a long one."""
+    files = [(p.name.removesuffix(".txt").removesuffix(".spdx"), p.read_text(encoding="utf-8")) for p in sorted(FOLDER.glob("*.txt"))]
+    rows = [*TEXTS, *files]
+    for name, text in [*rows]:
+        if name in TITLES:
+            body = text.split("\n", 1)[1]
+            rows += [(name, body), *((name, f"{x}\n{body}") for x in TITLES[name])]
+        if END in text:
+            terms = text.split(END)[0]
+            rows += [(name, terms), (name, terms + END)]
+    return rows
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of the built-in licences."""
-    rows = [*TEXTS, *NOTICES]
+    rows = [*whole_texts(), *NOTICES]
     for name in IDENTIFIERS:
         rows += [(name, f"SPDX-License-Identifier: {name}"), (name, f"Licensed under {name}.")]
     return rows
@@ -88,26 +124,44 @@ def known_texts() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """Words in one case and spelling, without punctuation and without copyright lines."""
-    t = F.translate(text, _UPPER, _LOWER)
-    t = F.regexp_replace(t, COPYRIGHT, "")
+    t = F.regexp_replace(text, COPYRIGHT, "")
+    t = F.translate(t, _UPPER, _LOWER)
     t = F.regexp_replace(t, MARKS, " ")
     t = F.regexp_replace(t, RESERVED, "")
     t = reduce(lambda a, s: F.replace(a, F.lit(s[0]), F.lit(s[1])), SPELLINGS, t)
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license): one row per canonical text, a few hundred at most.
+def known_forms(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license, form): canonical known texts, a few hundred at most."""
+    rows = known_texts() if known is None else known
+    return spark.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("form"))
+
+
+def known_digests(forms: DataFrame) -> DataFrame:
+    """(digest, license): one row per canonical text.
 
     A digest of two licences takes the name that sorts first.
     """
-    rows = known_texts() if known is None else known
-    return (
-        spark.createDataFrame(rows, "license string, text string")
-        .select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
-        .groupBy("digest")
-        .agg(F.min("license").alias("license"))
-    )
+    return forms.where("form != ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+
+
+def line_marks(forms: list[str]) -> str:
+    """A pattern that every line with one of the canonical forms holds before it is folded.
+
+    Each form gives "licen" or its longest word that no common spelling has changed.
+    """
+    changed = [x for _, form in SPELLINGS for x in form.split()]
+    marks = set()
+    for form in forms:
+        words = [w for w in form.split() if not any(x in w for x in changed)]
+        if "licens" in form:
+            marks.add("licen")
+        elif form:
+            marks.add(max(words, key=lambda w: (len(w), w), default=""))
+    if "" in marks:
+        return ""
+    return "(?i)" + "|".join(re.escape(x) for x in sorted(marks)) if marks else "(?!)"
 
 
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -120,11 +174,13 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None) -
     all-text and line digests are joined to them by hash.
     """
     spark = docs.sparkSession
-    known_rows = F.broadcast(known_digests(spark, known))
+    forms = known_forms(spark, known)
+    known_rows = F.broadcast(known_digests(forms))
+    marks = line_marks([r.form for r in forms.select("form").collect()])
     text = text_or_empty()
     rows = docs.select(
         "doc_id", F.xxhash64(text).alias("text_hash"), F.sha2(canonical(text), 256).alias("digest"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike("[Ll][Ii][Cc][Ee][Nn]|[Pp]ublic domain|PUBLIC DOMAIN")).alias("lines"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(marks)).alias("lines"),
     )
     whole = stage(rows.join(known_rows, "digest", "left"), "digests")
     lines = (
