@@ -152,6 +152,19 @@ def test_weak_secrets_need_their_other_parts(docs):
     assert "ident" not in got[16].spans and got[18].spans == ""
 
 
+def test_weak_secrets_are_linked_over_their_whole_scope(spark):
+    long, base36, url = "aB3" * 84, "k3j9x2m7q1z8w5v4" * 2, "https://example.org/x"
+    texts = [
+        f"{long} user: bob", f"user: bob\npassword=hunter22\n{'filler ' * 60}\n{url}", f"client_id: abc {base36}",
+        f"{base36}", f"user: bob {'wxyz' * 9}", f"user: bob\n\n{long}", f"user: bob {'0123456789abcdef' * 2}",
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {i: [x.split(":")[0] for x in r.spans.split(",") if x] for i, r in by_id(secrets.scan_secrets(df)).items()}
+    assert got == {
+        0: ["opaque", "ident"], 1: ["ident", "assign", "endpoint"], 2: ["ident", "opaque"], 3: [], 4: [], 5: [], 6: ["ident", "hex"],
+    }
+
+
 def test_licenses(spark):
     mit = dict(licenses.TEXTS)["MIT"]
     shouted = mit.replace("<year> <holder>", "1999 Somebody Else, Inc.").upper().replace("LICENSE", "Licence").replace(",", " ;")

@@ -32,10 +32,9 @@ PATTERNS = {
 }
 # Least characters of the value of an assignment.
 LEAST = {"assign": 6, "ident": 3}
-# Weak parts and the roles that must all lie near them.
+# Weak parts and the roles that must all lie in their scope.
 ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "name", "ident": "name", "endpoint": "place"}
 WEAK = {"ident": ("secret",), "opaque": ("name",), "endpoint": ("name", "secret")}
-REACH = 200
 
 
 def _found(text: Column, kind: str) -> dict[str, Column]:
@@ -53,8 +52,9 @@ def _kept(kind: str) -> Column:
     def test(m: Column, i: Column) -> Column:
         if kind in LEAST:
             return F.char_length(F.get(F.col(f"_v_{kind}"), i)) >= LEAST[kind]
-        if kind == "opaque":  # a word or a hex run is no opaque value
-            return m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
+        if kind == "opaque":  # letters of one case, a number or a hex run are no opaque value
+            classes = [m.rlike(x).cast("int") for x in ("[0-9]", "[A-Z]", "[a-z]")]
+            return (reduce(lambda a, b: a + b, classes) >= 2) & ~m.rlike("^[0-9a-f]+$")
         return F.lit(True)
 
     found, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
@@ -100,10 +100,10 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def link(found: DataFrame) -> DataFrame:
-    """Weak parts with all the roles they need within `REACH` code points in their scope.
+    """Weak parts with all the roles they need in their scope.
 
-    A scope is a paragraph. The join of intervals is a range frame over the parts of a
-    scope in order of their start, so no pair is made, however many parts there are.
+    A scope is a paragraph, whatever its length. The roles of a scope are found by a window
+    over its parts, so no pair is made, however many parts there are.
     """
     each = (
         found.where("weak")
@@ -113,13 +113,13 @@ def link(found: DataFrame) -> DataFrame:
             F.lit(x) for k, r in ROLE.items() for x in (KINDS.index(k), r)
         ]), F.col("k")))
     )
-    near = W.partitionBy("doc_id", "text_hash", "scope").orderBy("s").rangeBetween(-REACH, REACH)
+    scope = W.partitionBy("doc_id", "text_hash", "scope")
     for role in ("secret", "name", "place"):
-        each = each.withColumn(f"near_{role}", F.max(F.col("role") == role).over(near))
+        each = each.withColumn(f"has_{role}", F.max(F.col("role") == role).over(scope))
     complete = reduce(
         lambda a, b: a | b,
         [
-            (F.col("k") == KINDS.index(kind)) & reduce(lambda a, b: a & b, [F.col(f"near_{r}") for r in roles])
+            (F.col("k") == KINDS.index(kind)) & reduce(lambda a, b: a & b, [F.col(f"has_{r}") for r in roles])
             for kind, roles in WEAK.items()
         ],
     )
