@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, neardup, pages, quality, secrets, sharding, sql, tokens, toxicity
+from . import contamination, licenses, mixing, neardup, pages, quality, secrets, sharding, sql, tokens, toxicity, variants
 from .common import table
 
 SHARDS = 40
@@ -63,6 +63,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_near_duplicates, op6_pages, op7_quality, op8_tokens,
-        op9_sharding, op10_secrets, pipeline,
+        op9_sharding, op10_secrets, op11_variants, pipeline,
     )
 }
 CHECKS: dict[str, str] = dict(sql.CHECKS)

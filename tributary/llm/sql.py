@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, variants
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -75,4 +75,49 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND normal AS kept FROM judged
 """
 
-CHECKS = {"op1_decontamination": PASSAGES, "op7_quality": QUALITY}
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+# The table of CRC-32: eight halvings of each byte.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b) ORDER BY b) AS t
+  FROM range(256) AS bytes(b))"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text; needs crc_table's t in scope."""
+    digits = f"hex(encode({text}))"
+    byte = f"list_transform(range(1, length({digits}), 2), lambda i: CAST('0x' || substr({digits}, CAST(i AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+VARIANTS = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(run, {_UPPER}, {_LOWER}) AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= {variants.MIN_CHARS} GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc_table),
+words AS (
+  SELECT CASE WHEN h % {variants.DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+    CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= {variants.MIN_CHARS} AND sum(n) >= {variants.MIN_COUNT}),
+cuts AS (
+  SELECT DISTINCT word, n, substr(word, 1, p - 1) || substr(word, p + 1) AS rest, CASE WHEN p <= length(word) THEN p END AS hole
+  FROM words, unnest(range(1, length(word) + 2)) AS u(p)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.hole IS NOT NULL AND a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.hole IS NOT NULL AND a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, min(struct_pack(k := -n, w := hex(encode(other)), v := other)).v AS best FROM near GROUP BY word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {variants.TIMES} * n THEN best END AS form,
+    CASE WHEN best_n >= {variants.TIMES} * n THEN best_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, coalesce(form, word) AS root FROM judged
+  UNION SELECT chain.word, judged.form FROM chain JOIN judged ON judged.word = chain.root WHERE judged.form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN judged ON judged.word = root WHERE judged.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+"""
+
+CHECKS = {"op1_decontamination": PASSAGES, "op7_quality": QUALITY, "op11_variants": VARIANTS}
