@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, neardup, pages, quality, secrets, sharding, sql, tokens, toxicity, variants
+from . import (
+    contamination, licenses, mixing, neardup, neighbours, pages, quality, secrets, sharding, sql, tokens, toxicity, variants,
+)
 from .common import table
 
 SHARDS = 40
@@ -67,6 +69,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_near_duplicates, op6_pages, op7_quality, op8_tokens,
-        op9_sharding, op10_secrets, op11_variants, pipeline,
+        op9_sharding, op10_secrets, op11_variants, op13_neighbours, pipeline,
     )
 }
 CHECKS: dict[str, str] = dict(sql.CHECKS)
