@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    contamination, licenses, mixing, neardup, neighbours, pages, quality, secrets, sharding, sql, tokens, toxicity, variants,
+    contamination, dialogues, licenses, mixing, neardup, neighbours, pages, quality, secrets, sharding, sql, tokens, toxicity, variants,
 )
 from .common import table
 
@@ -69,6 +69,12 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    rows = dialogues.rows_of(dialogues.damaged(given))
+    return dialogues.summaries(rows, dialogues.repair(rows), given)
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -83,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_near_duplicates, op6_pages, op7_quality, op8_tokens,
-        op9_sharding, op10_secrets, op11_variants, op13_neighbours, pipeline,
+        op9_sharding, op10_secrets, op11_variants, op12_conversations, op13_neighbours, pipeline,
     )
 }
 CHECKS: dict[str, str] = dict(sql.CHECKS)

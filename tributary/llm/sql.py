@@ -120,4 +120,60 @@ ends AS (SELECT chain.word, root FROM chain JOIN judged ON judged.word = root WH
 SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
 """
 
-CHECKS = {"op1_decontamination": PASSAGES, "op7_quality": QUALITY, "op11_variants": VARIANTS}
+# Rows to insert (0, 1, 2) and then the row's own edit; states 0 nothing yet, 1 after s, 2 after u, 3 after a.
+_WAYS = """
+ways AS (
+  SELECT state, held, initial, harmed, CASE WHEN edit = 'D' THEN held WHEN edit = 'R' THEN CASE WHEN held = 2 THEN 3 ELSE 2 END ELSE initial END AS next,
+    2 * inserts + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END AS price, repeat('I', inserts) || edit AS step
+  FROM (SELECT state, inserts, CASE WHEN inserts = 0 THEN state WHEN (state = 2) = (inserts = 2) THEN 2 ELSE 3 END AS held
+        FROM range(4) AS s(state), range(3) AS i(inserts)),
+    range(4) AS r(initial), (VALUES (true), (false)) AS h(harmed), (VALUES ('D'), ('K'), ('R')) AS e(edit)
+  WHERE edit = 'D' OR (NOT harmed AND (edit = 'R' OR (initial = 1 AND held = 0) OR (initial = 2 AND held <> 2) OR (initial = 3 AND held = 2))))"""
+
+CONVERSATIONS = f"""
+WITH RECURSIVE {_CRC_TABLE}, {_WAYS},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS harm FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, range(2) AS c(copy) WHERE harm <> 0 AND (copy = 0 OR harm = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text)) AS i FROM damaged),
+judged AS (
+  SELECT *, trim(text, {_BLANK}) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS initial FROM placed),
+faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM judged),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE last IS NOT NULL AND (last, initial) NOT IN ((1, 2), (2, 3), (3, 2))) AS illegal, max(i) AS n FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM counts
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit, best.said FROM (
+    SELECT f.conv_id, f.i, w.next AS state, min(struct_pack(
+      cost := walk.cost + w.price + CASE WHEN f.fault = 'truncated' AND w.step NOT LIKE '%D' THEN 1 ELSE 0 END, audit := walk.audit || w.step,
+      said := list_concat(walk.said,
+        list_transform(range(1, length(w.step)), lambda k: CASE WHEN (walk.state = 2) = (k = 1) THEN 'assistant:' ELSE 'user:' END),
+        CASE right(w.step, 1) WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [f.role || ':' || f.text]
+          ELSE [CASE WHEN w.next = 3 THEN 'assistant:' ELSE 'user:' END || f.text] END))) AS best
+    FROM walk JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM walk.conv_id AND f.i = walk.i + 1
+      JOIN ways w ON w.state = walk.state AND w.initial = f.initial AND w.harmed = (f.fault IN ('blank', 'duplicate'))
+    GROUP BY f.conv_id, f.i, w.next)),
+ended AS (
+  SELECT conv_id, min(struct_pack(cost := cost + 2 * more, audit := audit || repeat('I', more),
+    said := list_concat(said, list_slice(['user:', 'assistant:'], 3 - more, 2)))) AS best
+  FROM (SELECT walk.*, CASE state WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS more
+        FROM walk JOIN counts ON counts.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = counts.n) GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+CHECKS = {"op12_conversations": CONVERSATIONS, "op1_decontamination": PASSAGES, "op7_quality": QUALITY, "op11_variants": VARIANTS}
