@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 
 
+import numpy as np
+
 from tributary.operators import lookup as L
+from tributary.operators.keytrie import KeyTrie
 
 
 def naive(a: str, b: str) -> int:
@@ -21,6 +24,7 @@ def naive(a: str, b: str) -> int:
 def test_blocks_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(L, "KEY_BLOCK", 7)
     monkeypatch.setattr(L, "VALUE_BLOCK", 3)
+    monkeypatch.setattr(L, "BEAM", 2)
     rng = random.Random(6)
     keys = sorted({"".join(rng.choices("abcd.@é", k=rng.choice([1, 6, 12, 70, 130]))) for _ in range(40)})
     values = sorted({"".join(rng.choices("abcd é", k=rng.choice([2, 8, 66, 140]))).strip() or "a" for _ in range(12)})
@@ -37,3 +41,24 @@ def test_blocks_match_brute_force(spark, monkeypatch):
 
     want = [(v, k, s) for v in values for k, s in sorted(((k, score(v, k)) for k in keys), key=lambda p: (-p[1], p[0]))[:3]]
     assert [tuple(r) for r in got] == want
+
+
+def test_ten_times_the_data_is_less_than_thirty_times_the_work(spark):
+    """Ids in addresses against ids in names, as in the exports: no value shares more than some digits with a key."""
+    seen = []
+    for n in (1, 10):
+        values = spark.range(100 * n).selectExpr("concat('Customer#', lpad(id * 7, 9, '0')) AS value")
+        keys = spark.range(1000 * n).selectExpr("concat('c', id, if(id % 3 = 0, ' ', ''), '@acme.com') AS key")
+        matches = L.search_matches(values, keys)
+        assert matches.best.groupBy("value").count().where("count = 3").count() == 100 * n
+        seen.append(matches.compared)
+    assert seen[1] < 30 * seen[0]
+
+
+def test_trie_of_repeated_ends_and_long_counts():
+    texts = ["a" * 300, "a" * 299 + "b", "", "b", "ab", "abc"]
+    trie = KeyTrie(texts)
+    value, place, score, _ = trie.search(["a" * 280, ""], np.zeros(2, np.int64), 2)
+    best = {(int(v), trie.texts[p]): int(s) for v, p, s in zip(value, place, score)}
+    assert best[(0, "a" * 300)] == round(2000 * 280 / 580) and best[(0, "a" * 299 + "b")] == round(2000 * 280 / 580)
+    assert best[(1, "")] == 1000

@@ -244,12 +244,11 @@ def fuzzy_lookup_topk(spark, sf_dir):
 @query(
     "resolve_lookup",
     f"WITH RECURSIVE {LOOKUP} SELECT natural_key, CASE WHEN sure THEN key ELSE manager_email END AS manager_email, "
-    "CASE WHEN sure THEN manager_email END AS lookup_from, asks AS lookup_open FROM resolved WHERE manager_email IS NOT NULL",
+    "CASE WHEN sure THEN manager_email END AS lookup_from, asks AS lookup_open FROM resolved",
 )
 def resolve_lookup(spark, sf_dir):
     records, matches = lookup_of(spark, sf_dir)
-    return L.resolve(records, matches, SCHEMA).where(F.col("manager_email").isNotNull()).select(
-        "natural_key", "manager_email", "lookup_from", F.coalesce("lookup_open", F.lit(False)).alias("lookup_open"))
+    return L.resolve(records, matches, SCHEMA).select("natural_key", "manager_email", "lookup_from", "lookup_open")
 
 
 # ---------------------------------------------------------------- records

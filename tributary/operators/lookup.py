@@ -1,14 +1,17 @@
 """Resolve free-text references against the keys a run already knows.
 
-Exact best matches need every value compared with every key. Distinct values and
-distinct keys are cut into blocks of fixed size, one Spark task unit is one block of
-values against one block of keys, and each unit hands on only its best few matches per
-value. No pair is ever written out and no side is held whole anywhere.
+Exact best matches without comparing every value with every key: distinct values and distinct
+keys are cut into blocks, keys by their order. A unit of work is one block of values against the
+trie of one block of keys, which drops a value at the nodes below which nothing can reach its best
+matches so far. Units hand on only the best few matches per value. No pair is ever written out and
+no side is held whole anywhere.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,13 +23,14 @@ from ..functions.similarity import as_score, sorted_tokens
 from ..functions.text import not_blank
 from ..schema import TargetSchema
 from ..session import stage
+from .keytrie import KeyTrie
 from .matching import per_mille
 
-KEY_BLOCK = 4000
-VALUE_BLOCK = 250
-UNITS_PER_TASK = 4
+KEY_BLOCK = 8192
+VALUE_BLOCK = 256
+# Nodes of a level followed in the pass that only finds out what a match must reach.
+BEAM = 32
 MAX_TASKS = 20_000
-WORD = 63
 
 
 def known_keys(records: DataFrame, field: str) -> DataFrame:
@@ -42,111 +46,82 @@ def unresolved_values(records: DataFrame, field: str) -> DataFrame:
     return records.where(is_unresolved(field)).select(F.col(field).alias("value")).distinct()
 
 
-class _KeyBlock:
-    """A block of keys, laid out so that one value is compared with all of them at once."""
-
-    def __init__(self, keys: list):
-        self.names = [k["key"] for k in keys]
-        self.texts = [k["text"] for k in keys]
-        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
-        codes = np.zeros((len(keys), max(1, int(self.sizes.max(initial=0)))), dtype=np.uint32)
-        for i, t in enumerate(self.texts):
-            codes[i, : len(t)] = [ord(c) for c in t]
-        self.chars, where = np.unique(codes.T, return_inverse=True)
-        self.where = where.reshape(codes.T.shape)
-        self.place = np.empty(len(keys), dtype=np.int64)
-        self.place[sorted(range(len(keys)), key=self.names.__getitem__)] = np.arange(len(keys))
-
-    def common(self, text: str) -> np.ndarray:
-        """Longest common subsequence of ``text`` with each key, 63 places to a word.
-
-        A zero bit of a word marks a place that is matched; what adding a mask carries out of a
-        word goes into the next.
-        """
-        words = max(1, -(-len(text) // WORD))
-        masks: list[dict[int, int]] = [{} for _ in range(words)]
-        for i, ch in enumerate(text):
-            own = masks[i // WORD]
-            own[ord(ch)] = own.get(ord(ch), 0) | (1 << (i % WORD))
-        sizes = [min(WORD, len(text) - w * WORD) for w in range(words)]
-        full = [np.uint64((1 << max(n, 0)) - 1) for n in sizes]
-        bits = [np.array([m.get(int(c), 0) for c in self.chars], dtype=np.uint64) for m in masks]
-        state = [np.full(len(self.texts), f, dtype=np.uint64) for f in full]
-        for column in self.where:
-            carry = np.zeros(len(self.texts), dtype=np.uint64)
-            for w in range(words):
-                mask = bits[w][column]
-                hit = state[w] & mask
-                added = state[w] + hit + carry
-                carry = (added >> np.uint64(max(sizes[w], 0))) & np.uint64(1)
-                state[w] = (added | (state[w] & ~mask)) & full[w]
-        return len(text) - sum(np.bitwise_count(x).astype(np.int64) for x in state)
-
-    def best(self, text: str, limit: int) -> list[tuple[str, int]]:
-        """Best ``limit`` keys: score in thousandths first, then key order."""
-        total = self.sizes + len(text)
-        up = 2000 * self.common(text)
-        low, rest = np.divmod(up, np.maximum(total, 1))
-        score = low + ((2 * rest > total) | ((2 * rest == total) & (low % 2 == 1)))
-        return self.top(np.where(total == 0, 1000, score), limit)
-
-    def top(self, score: np.ndarray, limit: int) -> list[tuple[str, int]]:
-        rank = score * len(self.names) - self.place
-        top = np.argpartition(-rank, limit)[:limit] if len(rank) > limit else np.arange(len(rank))
-        top = top[np.argsort(-rank[top], kind="stable")]
-        return [(self.names[i], int(-(-rank[i] // len(self.names)))) for i in top]
-
-
-def _match_blocks(limit: int):
+def _match_units(limit: int, beam: int | None):
+    """Best matches of blocks of values in blocks of keys; a row without a value says how many pairs were compared."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[str, str, int]] = []
+            rows: list[tuple[str | None, str | None, int]] = []
             for values, keys in zip(batch["values"], batch["keys"]):
-                block = _KeyBlock(list(keys))
-                for v in values:
-                    rows += [(v["key"], *hit) for hit in block.best(v["text"], limit)]
+                names = {k["text"]: list(k["names"]) for k in keys}
+                trie = KeyTrie(list(names))
+                least = np.array([v["least"] for v in values], np.int64)
+                value, place, score, seen = trie.search([v["text"] for v in values], least, limit, beam)
+                best: dict[int, list[tuple[int, str]]] = {}
+                for v, p, n in zip(value.tolist(), place.tolist(), score.tolist()):
+                    best.setdefault(v, []).extend((-n, name) for name in names[trie.texts[p]])
+                for v, hits in best.items():
+                    rows += [(values[v]["value"], name, -n) for n, name in heapq.nsmallest(limit, hits)]
+                rows.append((None, None, seen))
             yield pd.DataFrame(rows, columns=["value", "key", "score"])
 
     return run
 
 
-def _blocks(items: DataFrame, count: int, size: int, name: str) -> tuple[DataFrame, int]:
-    """Distinct items spread by hash over blocks of about ``size``."""
-    n = max(1, -(-count // size))
-    col = items.columns[0]
-    blocks = (
-        items.select(
-            F.pmod(F.xxhash64(col), F.lit(n)).alias(f"{name}_block"),
-            F.struct(F.col(col).alias("key"), sorted_tokens(F.col(col)).alias("text")).alias("item"),
-        )
-        .groupBy(f"{name}_block")
-        .agg(F.collect_list("item").alias(name))
-    )
-    return blocks, n
+def _ranked(found: DataFrame, limit: int) -> DataFrame:
+    w = Window.partitionBy("value").orderBy(F.desc("score"), "key")
+    return found.where("value IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def top_matches(values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup) -> DataFrame:
-    """(value, rank, key, score) with the best ``limit`` keys of each distinct value.
+class Matches(NamedTuple):
+    """``best``: (value, key, score, rank). ``compared``: pairs of value and key that were compared to the end."""
+
+    best: DataFrame
+    compared: int
+
+
+def search_matches(values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup) -> Matches:
+    """The best ``limit`` keys of each distinct value, exact, with their words sorted.
 
-    The texts are compared with their words sorted. Units are dealt out anew after the
-    join that makes them, so all tasks get some whichever side was broadcast.
+    A first pass follows a few nodes of each trie for each value. The last of the best it finds anywhere is what
+    a match must reach in the second pass, which so drops most pairs high up in the tries and misses none.
     """
-    values = stage(values.select(F.col(values.columns[0]).alias("value")), "lookup-values")
-    keys = stage(keys.select(F.col(keys.columns[0]).alias("key")), "lookup-keys")
-    value_blocks, n_values = _blocks(values, values.count(), VALUE_BLOCK, "values")
-    key_blocks, n_keys = _blocks(keys, keys.count(), KEY_BLOCK, "keys")
-    tasks = max(1, min(MAX_TASKS, -(-(n_values * n_keys) // UNITS_PER_TASK)))
-    tasks = max(tasks, min(n_values * n_keys, keys.sparkSession.sparkContext.defaultParallelism))
-    units = (
-        value_blocks.withColumn("keys_block", F.explode(F.expr(f"sequence(0L, {n_keys - 1}L)")))
-        .join(key_blocks, "keys_block")
-        .repartition(tasks, "values_block", "keys_block")
+    backwards = lambda c: F.reverse(sorted_tokens(F.col(c)))  # noqa: E731 - addresses share their ends
+    asked = stage(values.select(F.col(values.columns[0]).alias("value"), backwards(values.columns[0]).alias("text")), "lookup-values")
+    same = Window.partitionBy("text").orderBy("key")
+    texts = stage(
+        keys.select(F.col(keys.columns[0]).alias("key"), backwards(keys.columns[0]).alias("text"))
+        .withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= limit)
+        .groupBy("text").agg(F.array_sort(F.collect_list("key")).alias("names")), "lookup-keys",
     )
-    best = units.select("values", "keys").mapInPandas(
-        _match_blocks(limit), "value string, key string, score int"
-    )
-    w = Window.partitionBy("value").orderBy(F.desc("score"), "key")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    n_values = max(1, -(-asked.count() // VALUE_BLOCK))
+    n_keys = max(1, -(-texts.count() // KEY_BLOCK))
+    # Neighbours in order share letters, so a block is a small trie.
+    placed = texts.repartitionByRange(n_keys, "text").withColumn("keys_block", F.spark_partition_id().cast("long"))
+    key_blocks = stage(placed.groupBy("keys_block").agg(F.collect_list(F.struct("text", "names")).alias("keys")), "key-blocks")
+
+    def search(least: DataFrame, beam: int | None) -> DataFrame:
+        value_blocks = (
+            least.groupBy(F.pmod(F.xxhash64("value"), F.lit(n_values)).alias("values_block"))
+            .agg(F.collect_list(F.struct("value", "text", "least")).alias("values"))
+        )
+        units = (
+            value_blocks.withColumn("keys_block", F.explode(F.expr(f"sequence(0L, {n_keys - 1}L)")))
+            .join(key_blocks, "keys_block").repartition(min(MAX_TASKS, n_values * n_keys), "values_block", "keys_block")
+        )
+        found = units.select("values", "keys").mapInPandas(_match_units(limit, beam), "value string, key string, score long")
+        return stage(found, "matches")
+
+    first = search(asked.withColumn("least", F.lit(0)), BEAM)
+    reached = _ranked(first, limit).where(F.col("rank") == limit).select("value", F.col("score").alias("least"))
+    found = search(asked.join(reached, "value", "left").fillna(0, "least"), None)
+    compared = first.unionByName(found).where("value IS NULL").agg(F.sum("score")).first()[0] or 0
+    return Matches(_ranked(found, limit).select("value", "key", F.col("score").cast("int").alias("score"), "rank"), compared)
+
+
+def top_matches(values: DataFrame, keys: DataFrame, limit: int = DEFAULT.top_lookup) -> DataFrame:
+    """(value, key, score, rank) with the best ``limit`` keys of each distinct value."""
+    return search_matches(values, keys, limit).best
 
 
 def resolve(
@@ -166,10 +141,13 @@ def resolve(
     )
     todo = is_unresolved(f) if skip is None else is_unresolved(f) & ~skip
     asked = records.withColumn("_ref", F.when(todo, F.col(f)))
+    # Most records ask nothing: they don't take part in the join, where they would all meet at one null key.
+    idle = asked.where(F.col("_ref").isNull()).withColumns({"_key": F.lit(None).cast("string"), "_score": F.lit(None).cast("int")})
     sure = F.col("_ref").isNotNull() & F.coalesce(
         F.col("_score") >= per_mille(settings.auto_apply), F.lit(False)
     )
-    return asked.join(best, "_ref", "left").select(
+    joined = asked.where(F.col("_ref").isNotNull()).join(best, "_ref", "left")
+    return joined.unionByName(idle).select(
         *[
             F.when(sure, F.col("_key")).otherwise(F.col(f)).alias(f) if c == f else F.col(c)
             for c in records.columns
