@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.schema import parse_schema
 from tributary.session import fresh_path
-from tributary.sources import readers
+from tributary.sources import readers, records
 from tributary.streaming import feeds
 
 
@@ -94,3 +94,51 @@ def test_csv_rows_with_too_many_cells_are_never_cut(spark, tmp_path):
     assert {(r["line"], r["expected"]) for r in errors} == {("3,4,5", 2), ('"x,y",z,"w ""q"", v"', 2)}
     with pytest.raises(Exception, match="more cells than the header"):
         readers.read_csv_export(spark, path).collect()
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    spark.conf.set("spark.sql.files.openCostInBytes", "400")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_cells_over_line_breaks_in_splits(spark, tmp_path, small_splits):
+    """Records equal those of Python's own reader, and the file is read by many tasks."""
+    import csv
+    import random
+
+    rng = random.Random(8)
+    rows = [[str(i), "".join(rng.choice(["a", "\n", '"', ",", "é", ", "]) for _ in range(rng.randint(1, 30)))] for i in range(400)]
+    rows[17][1] = "x\n" * 700  # a cell longer than several splits
+    with open(tmp_path / "a.csv", "w", newline="") as out:
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerows([["A", "B"], *rows])
+    got = readers.read_csv_export(spark, str(tmp_path / "a.csv")).orderBy("row_idx").collect()
+    assert [[r["A"], r["B"]] for r in got] == rows
+    assert [r["row_idx"] for r in got] == list(range(400))
+    splits = records.layout(spark, str(tmp_path / "a.csv"))
+    assert splits.select("start").distinct().count() > 5 and splits.rdd.getNumPartitions() > 5
+
+
+def test_one_odd_file_leaves_the_others(spark, tmp_path):
+    write(tmp_path, "a.csv", b'A,B\n1,5" pipe\n2,x\n')  # a quote inside a cell opens nothing
+    write(tmp_path, "b.csv", b'A,B\r\n3,"two\r\nlines, ""x"""\r\n\r\n4,y\r\n')
+    write(tmp_path, "c.csv", "A,B\n5,José\n".encode("latin-1"))
+    write(tmp_path, "d.csv", "A,B\n6,\"é\né\"\n7,8,9\n".encode("latin-1"))
+    got = readers.read_csv_export(spark, str(tmp_path), "apart")
+    assert sorted((r["A"], r["B"]) for r in got.collect()) == [
+        ("1", '5" pipe'), ("2", "x"), ("3", 'two\r\nlines, "x"'), ("4", "y"), ("5", "José"), ("6", "é\né"),
+    ]
+    assert [r["line"] for r in readers.csv_errors(spark, str(tmp_path)).collect()] == ["7,8,9"]
+
+
+def test_states_of_quotes():
+    for line, out, inside in [
+        ("a,b", 0, 1), ('"a', 1, 0), ('a"b', 0, 0), ('"a""', 1, 1), ('"a"""', 0, 1), ('x,"a,', 1, 0), ('",b"', 0, 1), ('a","b', 1, 1), ("", 0, 1), ('"a",""', 0, 1),
+    ]:
+        assert records.behind(line, 0) == out, line
+    assert [records.behind(x, 1) for x in ('a"', 'a""', 'a"",b"', 'a","b', 'a",b"c', '"')] == [0, 1, 0, 1, 0, 0]

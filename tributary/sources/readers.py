@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
 from ..operators.questions import union_all
 from ..session import stage
+from . import records
 
 # Cell texts that mean "no value".
 NULL_TOKENS = [
@@ -16,6 +17,7 @@ NULL_TOKENS = [
 ]
 ROW_BITS = 33
 ODD = "_odd"
+LATIN = "ISO-8859-1"
 
 
 def null_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -61,43 +63,67 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> Da
     )
 
 
-def csv_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """(encoding, has line breaks inside quotes), from one pass over the lines.
+def _odd_files(splits: DataFrame) -> list[tuple[str, bool, bool]]:
+    """(file, has cells with line breaks, is UTF-8) of the files that are not plain; one row a file."""
+    per_file = splits.groupBy("path").agg(F.bool_or("breaks").alias("breaks"), F.bool_and("utf8").alias("utf8"))
+    return [(r["path"], r["breaks"], r["utf8"]) for r in per_file.where(F.col("breaks") | ~F.col("utf8")).collect()]
 
-    A cell that runs over a line break leaves a line with an odd number of quotes.
-    Files without one are read in splits, so a huge export spreads over the cluster.
-    """
-    lines = spark.read.text(path)
-    found = lines.agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("broken"),
-    ).first()
-    return ("UTF-8" if found["utf8"] in (True, None) else "ISO-8859-1"), bool(found["broken"])
+
+def csv_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, has line breaks inside quotes) of an export."""
+    odd = _odd_files(records.layout(spark, path))
+    return ("UTF-8" if all(utf8 for *_, utf8 in odd) else LATIN), any(breaks for _, breaks, _ in odd)
 
 
 def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Raw rows with their place, and with the whole text of those that have too many cells."""
-    encoding, multi_line = csv_layout(spark, path)
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
-        .option("quote", '"').option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    )
-    names = reader.csv(path).columns
+    """Raw rows with their place, and with the whole text of those that have too many cells.
+
+    Every file is read in splits. Files with line breaks inside cells are cut into records first;
+    one such file, or one in another encoding, leaves the others as they are.
+    """
+    splits = stage(records.layout(spark, path), "csv-layout")
+    odd = _odd_files(splits)
+    options = {
+        "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+    reader = spark.read.option("header", True).options(**options)
+    latin = [f for f, _, utf8 in odd if not utf8]
+    breaks = any(b for _, b, _ in odd)
+    names = reader.option("multiLine", breaks).option("encoding", LATIN if latin and len(latin) == len(odd) else "UTF-8").csv(path).columns
     fields = ", ".join(f"`{c}` string" for c in [*names, ODD])
-    raw = reader.schema(fields).option("columnNameOfCorruptRecord", ODD).csv(path)
     # A line of another length than the header's is kept as text; one that is short is no error.
     cells = F.length(F.regexp_replace(F.regexp_replace(ODD, '"[^"]*"', ""), "[^,]", "")) + 1
-    rows = raw.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.when(cells > len(names), F.col(ODD)).alias(ODD),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    return rows, names
+    columns = [*[F.col(f"`{c}`") for c in names], F.when(cells > len(names), F.col(ODD)).alias(ODD)]
+
+    def plain(encoding: str, wanted: Column) -> DataFrame:
+        raw = (
+            spark.read.option("header", True).options(**options).option("encoding", encoding)
+            .schema(fields).option("columnNameOfCorruptRecord", ODD).csv(path)
+        )
+        return raw.where(wanted).select(
+            *columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+
+    def broken(encoding: str, files: list[str]) -> DataFrame:
+        first = Window.partitionBy("path").orderBy("start", "line")
+        found = records.records(spark, path, splits, files, encoding)
+        heads = found.where("start = 0").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("path", "start", "line")
+        body = found.join(heads, ["path", "start", "line"], "left_anti").where(F.trim("value") != "")
+        cut = F.from_csv("value", F.lit(fields), {**options, "columnNameOfCorruptRecord": ODD, "maxCharsPerColumn": "-1"})
+        return body.select(cut.alias("r"), "path", "start", "line").select(
+            "r.*", F.col("path").alias("_path"), F.col("start").alias("_start"), F.col("line").alias("_line")
+        ).select(*columns, "_path", "_start", "_line")
+
+    file = F.col("_metadata.file_path")
+    parts = [plain("UTF-8", ~file.isin([f for f, *_ in odd]) if odd else F.lit(True))]
+    for encoding in ("UTF-8", LATIN):
+        own = [(f, b) for f, b, utf8 in odd if utf8 == (encoding == "UTF-8")]
+        if any(not b for _, b in own):
+            parts.append(plain(encoding, file.isin([f for f, b in own if not b])))
+        if any(b for _, b in own):
+            parts.append(broken(encoding, [f for f, b in own if b]))
+    return union_all(parts), names
 
 
 def read_csv_export(spark: SparkSession, path: str, ragged: str = "fail") -> DataFrame:
