@@ -200,8 +200,10 @@ def near_words(words: DataFrame, unit_words: int = UNIT_WORDS, min_chars: int =
             "bucket", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "size", "tail", "word", "n", "own"
         )
     )
+    # A set number of tasks: adaptive execution would merge them by bytes, but the work here is in the bits.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = map_batches(
-        units.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b"), _search,
+        units.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b"), _search,
         "word string, n_near long, best_n long, best string",
     )
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
