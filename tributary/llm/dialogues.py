@@ -321,14 +321,19 @@ def repair(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Repair:
     schema = _arrow(rows.sparkSession, kind)
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                conv, run, block, enter, leave, kinds, turns, roles, saids = (c[i].as_py() for c in batch.columns)
+            for conv, run, block, enter, leave, kinds, turns, roles, saids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 states = crossings(list(kinds), enter, leave)
-                yield _table([
+                out += [
                     (conv, run, block, at, turn, role, said, k % 4, states[at], edits_of(k, states[at])[states[at + 1]][1])
                     for at, (k, turn, role, said) in enumerate(zip(kinds, turns, roles, saids, strict=True))
-                ], schema)
+                ]
+                if len(out) > 10_000:
+                    yield _table(out, schema)
+                    out = []
+        if out:
+            yield _table(out, schema)
 
     whole = blocks.where("block >= 0").drop("step").join(crossed, ["run", "block"]).select(
         "conv_id", "run", "block", "enter", "leave", "kinds", "turns", "roles", "saids"
