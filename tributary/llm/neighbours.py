@@ -139,7 +139,7 @@ class CrossPolytope:
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     """Rows of a list column as doubles, filled up with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (lengths == size).all():
         return flat.reshape(-1, size)
     out = np.zeros((len(column), size))
@@ -236,9 +236,11 @@ def _fit(rows: DataFrame, queries: DataFrame, n: int, size: int, reach: float, k
 
 # ------------------------------------------------------------------ search
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    vector = F.col(vector_col).cast("array<double>")
+    held = df.schema[vector_col].dataType.simpleString()
+    # Single precision is kept as it is, half the bytes of the doubles it stands for.
+    vector = F.col(vector_col).cast(held if held == "array<float>" else "array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     # A null component makes forall null or false: either way the row goes.
     return rows.where(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
@@ -266,13 +268,25 @@ def nearest(
         .dropDuplicates(["vector", "vec_id"]).select("vec_id", "vector"), "distinct-vectors",
     )
     asked = rows.where(is_query).dropDuplicates(["vec_id", "vector"])
-    largest = F.array_max(F.transform("vector", F.abs))
-    length = largest * F.sqrt(F.aggregate(F.transform("vector", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x))
-    n, size, reach = base.agg(F.count("*"), F.max(F.size("vector")), F.max(length)).first()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size, reach = 0, 0, 0.0
+        for batch in batches:
+            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            n, size = n + len(lengths), max(size, int(lengths.max(initial=0)))
+            x = _matrix(batch.column(0), int(lengths.max(initial=0)))
+            largest = np.abs(x).max(axis=1, initial=0.0)
+            reach = max(reach, float((largest * np.linalg.norm(x / largest[:, None], axis=1)).max(initial=0.0)))
+        yield pa.RecordBatch.from_pydict({"n": [n], "size": [size], "reach": [reach]})
+
+    found = map_batches(base.select("vector"), measure, "n long, size long, reach double")
+    n, size, reach = found.agg(F.sum("n"), F.max("size"), F.max("reach")).first()
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     code, visits = _fit(base, asked, n, size, reach, k, tables, bucket_rows)
 
+    kind = base.schema["vector"].dataType.simpleString()
+
     def hashed(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -282,14 +296,13 @@ def nearest(
                     lists = [[p[i].tolist() for p in per_table] for i in range(len(x))]
                 else:
                     lists = code.buckets(x)[:, :, None].tolist()
-                kind = pa.list_(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], ["vec_id", "vector", "buckets"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.list_(pa.int64())))], ["vec_id", "vector", "buckets"])
 
         return run
 
     def spread(source: DataFrame, query: bool) -> DataFrame:
         """One row per bucket: (table, bucket, query, vec_id, vector)."""
-        held = stage(map_batches(source, hashed(query), "vec_id long, vector array<double>, buckets array<array<long>>"), "hashed")
+        held = stage(map_batches(source, hashed(query), f"vec_id long, vector {kind}, buckets array<array<long>>"), "hashed")
         return (
             held.select("vec_id", "vector", F.posexplode("buckets").alias("table", "listed"))
             .select("table", F.explode("listed").alias("bucket"), F.lit(query).alias("query"), "vec_id", "vector")
