@@ -178,6 +178,30 @@ def test_delivery_and_rollback(spark, sources, schema):
     assert target.compact(fresh_path(spark, "compacted")).read().count() == 1
 
 
+def test_target_opens_only_the_buckets_of_a_batch(spark, schema, tmp_path):
+    """Files of other buckets are broken on purpose: whoever reads them fails."""
+    path = str(tmp_path / "target")
+    target = StoredTarget(spark, schema, path, 8)
+    rows = spark.range(60).select(
+        *[(F.concat(F.lit("E"), "id") if n == schema.primary_key else F.lit("x")).alias(n) for n in schema.names],
+        F.lit(1).cast("bigint").alias("run_id"), F.lit("pushed").alias("status"))
+    target.upsert(V.target_rows(rows, schema, F.lit(1)))
+    mine = rows.where(F.col(schema.primary_key).isin("E3", "E4"))
+    keys = V.target_keys(mine, schema)
+    own = target.buckets_of(keys)
+    assert len(own) <= 2
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in tmp_path.rglob("part-*")}
+    for name in files():
+        if "bucket=" in name and int(name.split("=")[1].split("/")[0]) not in own:
+            (tmp_path / "target" / name).write_bytes(b"broken")
+    before = files()
+    assert {r["pk_value"] for r in target.find(keys).collect()} == {"E3", "E4"}
+    assert target.rollback(mine).where("deleted").count() == 2
+    assert target.find(keys).count() == 0
+    new = {n for n in files() if n not in before and "bucket=" in n}
+    assert {int(n.split("=")[1].split("/")[0]) for n in new} == set(own) and all(files()[n] == t for n, t in before.items())
+
+
 def test_questions_close_when_their_cause_is_gone(spark, first):
     queue = first.questions.select("type", "entity_ref", F.lit("open").alias("status"), F.lit(None).cast("string").alias("resolved_by"))
     raised = first.questions.where("type <> 'validation_failure'").select("type", "entity_ref")
