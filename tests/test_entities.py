@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tributary.operators import entities as E
+from tributary.streaming.feeds import StoredComponents
 from tributary.operators import survivorship as S
 
 
@@ -107,3 +108,25 @@ def test_email_fold_matches_the_sequence(spark, schema):
         want_kept, want = sequential(values)
         assert got_kept[key] == want_kept
         assert got.get(key, set()) == want
+
+
+def test_components_extended_in_batches(spark, tmp_path):
+    """Any order of batches gives the components of all edges, and other buckets stay unread."""
+    rng = random.Random(9)
+    pairs = [(f"k{rng.randrange(80):02d}", f"k{rng.randrange(80):02d}") for _ in range(70)]
+    edges = [(max(p), min(p)) for p in pairs if p[0] != p[1]]
+    frame = lambda rows: spark.createDataFrame(rows, "hi string, lo string")
+    want = {r["key"]: r["root"] for r in E.connected_components(frame(edges)).collect()}
+    store = StoredComponents(spark, str(tmp_path / "c"), 4)
+    for part in (edges[:30], edges[30:33], edges[33:], edges[33:]):
+        store = StoredComponents(spark, store.path, 4)
+        store.add(frame(part))
+    assert {r["key"]: r["root"] for r in store.read().collect()} == want
+    assert store.add(frame(edges[:5])).isEmpty()  # nothing new
+    # A batch between two new keys opens no bucket but theirs.
+    own = {r[0] for r in spark.createDataFrame([("z1",), ("z2",)], "key string").select(store._bucket("key")).collect()}
+    for f in (tmp_path / "c").rglob("part-*"):
+        bucket = [x for x in f.parts if x.startswith("bucket=")]
+        if bucket and int(bucket[0].split("=")[1]) not in own:
+            f.write_bytes(b"broken")
+    assert [tuple(r) for r in store.add(frame([("z2", "z1")])).collect()] == [("z2", "z1")]

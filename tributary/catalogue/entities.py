@@ -12,6 +12,7 @@ from ..operators import survivorship as S
 from ..plans import exports as X
 from ..schema import employee_schema
 from ..session import stage
+from ..streaming.feeds import StoredComponents
 from . import query
 from .sql import (
     DATE_FIELDS, KEY_EMAIL, KEY_ID, NATURAL, conflicts_sql, days, dmy, iso, kept_sql, label, linked_sql, mdy,
@@ -55,6 +56,16 @@ def link_entities(spark, sf_dir):
     return E.link_rows(rows_of(spark, sf_dir), SCHEMA).select("file", "row_idx", "entity_id")
 
 
+@query("link_in_batches", f"WITH RECURSIVE {linked_sql()} SELECT file, row_idx, entity_id FROM linked")
+def link_in_batches(spark, sf_dir):
+    """Exports that come one after the other, each joined to the components stored so far: the same entities."""
+    rows = rows_of(spark, sf_dir)
+    store = StoredComponents(spark, buckets=8)
+    for file in X.FILES:
+        store.add(E.key_edges(rows.where(F.col("file") == file), SCHEMA))
+    return E.link_rows(rows, SCHEMA, store.read()).select("file", "row_idx", "entity_id")
+
+
 @query("unmatched_singletons", f"WITH RECURSIVE {linked_sql()} SELECT file, row_idx, entity_id, full_name FROM linked WHERE entity_id LIKE 'unmatched:%'")
 def unmatched_singletons(spark, sf_dir):
     return E.link_rows(rows_of(spark, sf_dir), SCHEMA).where(F.col("entity_id").startswith("unmatched:")).select(

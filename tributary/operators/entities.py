@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +105,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("hi").alias("key"), F.col("lo").alias("root"))
 
 
-def link_rows(rows: DataFrame, schema: TargetSchema) -> DataFrame:
+def extend_components(edges: DataFrame, roots_of: Callable[[DataFrame], DataFrame], members_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, root) of every key whose root is new or another when ``edges`` come to components that are stored.
+
+    ``roots_of`` looks up (key, root) for (key); ``members_of`` looks up (root, key) for (root). The new edges
+    are drawn between the roots of their ends, so rounds run over edges as many as came, and only the members
+    of components that got another root are read and told anew.
+    """
+    ends = edges.select(F.col("hi").alias("key")).union(edges.select(F.col("lo").alias("key"))).distinct()
+    known = stage(roots_of(ends), "roots")
+    side = {n: known.select(F.col("key").alias(n), F.col("root").alias(f"{n}_root")) for n in ("hi", "lo")}
+    placed = edges.join(side["hi"], "hi", "left").join(side["lo"], "lo", "left").select(
+        F.coalesce("hi_root", "hi").alias("a"), F.coalesce("lo_root", "lo").alias("b"))
+    between = placed.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    moved = stage(connected_components(between), "moved")
+    members = members_of(moved.select(F.col("key").alias("root"))).join(
+        moved.select(F.col("key").alias("root"), F.col("root").alias("new")), "root").select("key", F.col("new").alias("root"))
+    return moved.union(members).groupBy("key").agg(F.min("root").alias("root"))
+
+
+def link_rows(rows: DataFrame, schema: TargetSchema, roots: DataFrame | None = None) -> DataFrame:
     """Add ``entity_id``: the smallest key of the row's component.
 
-    Rows without a key form an entity of their own.
+    Rows without a key form an entity of their own. ``roots`` are components known already.
     """
-    roots = connected_components(key_edges(rows, schema))
+    if roots is None:
+        roots = connected_components(key_edges(rows, schema))
     first = F.get(match_keys(schema), F.lit(0))
     keyed = rows.withColumn("key", first)
     joined = keyed.join(roots, "key", "left")
