@@ -12,6 +12,8 @@ from ..operators import questions as Q
 from ..plans import exports as X
 from ..plans.consolidate import consolidate, rebuild_affected, run
 from ..schema import employee_schema
+from ..session import fresh_path, stage
+from ..streaming import queue
 from . import query
 from .cleaning import LOOKUP, RECORDS
 from .entities import TEXTS, linked, rows_of, texts
@@ -72,6 +74,54 @@ def gate_status(spark, sf_dir):
     return Q.gate_status(state(spark, sf_dir, "questions"))
 
 
+# Two builds of every run: what the first raises, who answers what, and what the second raises.
+FIRST, SECOND, ANSWER = "pos % 5 <> 0", "pos % 7 < 4", "pos % 11 = 3"
+TWO_BUILDS = (
+    f"WITH {state_sql('raised')}, q1 AS (SELECT DISTINCT run_id, type, entity_ref FROM raised WHERE {FIRST}), "
+    f"q2 AS (SELECT DISTINCT run_id, type, entity_ref FROM raised WHERE {SECOND}), a AS (SELECT DISTINCT run_id, type, entity_ref FROM raised WHERE {ANSWER}), "
+    "built AS (SELECT DISTINCT run_id FROM q2), every AS (SELECT * FROM q1 UNION SELECT * FROM q2), marked AS (SELECT *, (run_id, type, entity_ref) IN (SELECT (run_id, type, entity_ref) FROM q1) AS one, "
+    "(run_id, type, entity_ref) IN (SELECT (run_id, type, entity_ref) FROM q2) AS two, (run_id, type, entity_ref) IN (SELECT (run_id, type, entity_ref) FROM a) AS said, "
+    "type IN ('value_conflict', 'validation_failure', 'ambiguous_date', 'manager_unresolved') AND run_id IN (SELECT run_id FROM built) AS closes FROM every) "
+    "SELECT run_id, type, entity_ref, CASE WHEN two THEN 'open' WHEN said OR closes THEN 'resolved' ELSE 'open' END AS status, "
+    "CASE WHEN two THEN NULL WHEN said THEN 'consultant' WHEN closes THEN 'agent' END AS resolved_by, "
+    "CAST(one AS BIGINT) + CAST(two AND (NOT one OR said) AS BIGINT) AS opened FROM marked"
+)
+
+
+@query("queue_after_builds", TWO_BUILDS)
+def queue_after_builds(spark, sf_dir):
+    """A stored queue through two builds with answers in between."""
+    raised = state(spark, sf_dir, "raised")
+    none = spark.createDataFrame([], "run_id bigint, type string, entity_ref string, status string, resolved_by string, opened bigint")
+    first = stage(Q.next_queue(none, raised.where(FIRST)), "queue")
+    given = raised.where(ANSWER).selectExpr("*", "pos AS seq", "'resolved' AS status", "'consultant' AS resolved_by")
+    after, _ = Q.answered(first, given)
+    return Q.next_queue(stage(after, "queue"), raised.where(SECOND))
+
+
+@query("queue_stream", TWO_BUILDS)
+def queue_stream(spark, sf_dir):
+    """The same as keyed state of a stream, in two runs that share their checkpoint."""
+    raised = state(spark, sf_dir, "raised")
+    path, out, mark = (fresh_path(spark, f"queue-{n}") for n in ("events", "changes", "state"))
+
+    def told(rows, seq, kind, who="CAST(NULL AS STRING)"):
+        return rows.selectExpr("CAST(run_id AS BIGINT) AS run_id", f"{seq}L AS seq", f"'{kind}' AS kind", "type", "entity_ref", f"{who} AS resolved_by")
+
+    def built(rows, seq):
+        return told(rows.select("run_id", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("entity_ref")).distinct(), seq, "built")
+
+    one, two = raised.where(FIRST), raised.where(SECOND)
+    for part in (
+        [told(one, 1, "raised"), built(one, 1), told(raised.where(ANSWER), 2, "resolved", "'consultant'")],
+        [told(two, 3, "raised"), built(two, 3)],
+    ):
+        Q.union_all(part).coalesce(8).write.mode("append").parquet(path)
+        events = spark.readStream.schema(queue.EVENTS).parquet(path)
+        queue.follow_queue(events, out, mark, 4).awaitTermination()
+    return queue.queue_of(spark.read.schema(queue.CHANGES).parquet(out))
+
+
 @query(
     "recheck_record",
     f"WITH {state_sql('records', 'questions')}, doubts AS (SELECT DISTINCT run_id, record FROM questions WHERE status = 'open') SELECT record_id, natural_key, "

@@ -137,6 +137,45 @@ def auto_close(queue: DataFrame, raised: DataFrame, keys: tuple[str, ...] = ("ty
     ).drop("_again")
 
 
+QUEUE = ("run_id", "type", "entity_ref")
+
+
+def next_queue(queue: DataFrame, raised: DataFrame, keys: tuple[str, ...] = QUEUE) -> DataFrame:
+    """The stored queue after a build of the runs in ``raised``.
+
+    ``queue`` has ``keys``, status, resolved_by and opened. Questions that are open stay as they are, record
+    questions the build did not raise are closed, others open, anew where they were answered. Each side is
+    one row per question and the join is on it, so a run with many questions spreads.
+    """
+    again = raised.select(*keys).distinct().withColumn("_again", F.lit(True))
+    built = raised.select("run_id").distinct().withColumn("_built", F.lit(True))
+    both = queue.join(again, list(keys), "full").join(built, "run_id", "left")
+    is_open = F.col("status") == "open"
+    stale = is_open & F.col("_again").isNull() & F.col("_built").isNotNull() & F.col("type").isin(*RECORD_TYPES)
+    opens = F.col("_again").isNotNull() & ~F.coalesce(is_open, F.lit(False))
+    return both.select(
+        *keys,
+        F.when(opens, "open").when(stale, "resolved").otherwise(F.col("status")).alias("status"),
+        F.when(stale, "agent").when(~opens, F.col("resolved_by")).alias("resolved_by"),
+        (F.coalesce("opened", F.lit(0)) + opens.cast("bigint")).alias("opened"),
+    )
+
+
+def answered(queue: DataFrame, answers: DataFrame, keys: tuple[str, ...] = QUEUE) -> tuple[DataFrame, DataFrame]:
+    """(queue with the answers to open questions, answers refused because there is no open question).
+
+    ``answers`` has ``keys``, status (resolved or rejected) and resolved_by; the newest ``seq`` counts.
+    """
+    last = answers.groupBy(*keys).agg(F.max(F.struct("seq", "status", "resolved_by")).alias("_a"))
+    taken = (F.col("status") == "open") & F.col("_a").isNotNull()
+    after = queue.join(last, list(keys), "left").withColumns({
+        "status": F.when(taken, F.col("_a.status")).otherwise(F.col("status")),
+        "resolved_by": F.when(taken, F.col("_a.resolved_by")).otherwise(F.col("resolved_by")),
+    }).drop("_a")
+    open_now = queue.where(F.col("status") == "open").select(*keys)
+    return after, answers.join(open_now, list(keys), "left_anti").withColumn("error", F.lit("no open question"))
+
+
 def gate_status(queue: DataFrame, by: str = "run_id") -> DataFrame:
     is_open = F.count_if(F.col("status") == "open")
     return queue.groupBy(by).agg(
