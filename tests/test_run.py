@@ -224,6 +224,27 @@ def test_decided_date_format(spark, schema):
     assert sorted(r["date_of_joining"] for r in decided.records.collect())[0] == "2023-01-02"
 
 
+def test_queue_of_a_run_over_two_builds(spark, sources, schema, first):
+    none = spark.createDataFrame([], "run_id bigint, type string, entity_ref string, status string, resolved_by string, opened bigint")
+    queue, gate = first.settle(1, none)
+    assert {(r["type"], r["entity_ref"]) for r in queue.where("status = 'open'").collect()} == questions(first)
+    assert gate.first()["status"] == "awaiting_review"
+    given = decisions(spark, [*ANSWERS, *DROPPED])
+    taken, late = D.on_closed(given, queue.where("type <> 'ambiguous_mapping'"))
+    assert taken.count() + late.count() == given.count() and {r["error"] for r in late.collect()} <= {"no open question"}
+    build = run(spark, sources, schema, given)
+    after, gate = build.settle(1, queue)
+    # Everything was answered: record questions close by themselves, those on columns wait for their answer in the queue.
+    left = {r["type"] for r in after.where("status = 'open'").collect()}
+    assert left <= {"ambiguous_mapping", "unmapped_column"}
+    closed = Q.closed_by_agent(queue, after)
+    assert closed.count() > 0 and {r["resolved_by"] for r in closed.collect()} == {"agent"}
+    again, _ = build.settle(1, after)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, after.collect()), key=str)
+    stages = [r["action"] for r in build.activity(1).collect()]
+    assert stages == ["activity:mapping", "activity:reconciling", "activity:cleaning", "activity:validating"]
+
+
 def test_unknown_decisions_and_runs_are_refused(spark):
     given = decisions(spark, [{**ANSWERS[0], "action": "maybe"}, {**ANSWERS[1], "type": "other"}, ANSWERS[2]])
     assert [(r["decision_id"], r["error"]) for r in D.refused(given).orderBy("decision_id").collect()] == [

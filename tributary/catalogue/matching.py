@@ -11,7 +11,7 @@ from ..operators import profiling, questions
 from ..plans import exports as X
 from ..plans.consolidate import map_sources
 from ..schema import employee_schema
-from ..session import stage
+from ..session import fresh_path, stage
 from ..sources import readers
 from . import query
 from .sql import lcs, lcs_bits, per_mille, sq, tokens
@@ -88,6 +88,13 @@ FINAL = (
 )
 
 
+# The headers of the three exports as a catalog of their own.
+EXPORT_CATALOG = "catalog AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', {j}, '{c}')" for n, cols in X.EXPORTS.items() for j, c in enumerate(cols)
+) + ") AS c(file, col_ord, header))"
+EXPORT_FINAL = FINAL.replace(CATALOG, EXPORT_CATALOG)
+
+
 @query("norm_header", f"WITH {CATALOG} SELECT file, col_ord, header, {NORM} AS norm FROM catalog")
 def norm_header_(spark, sf_dir):
     return catalog(spark, sf_dir).withColumn("norm", norm_header(F.col("header")))
@@ -168,13 +175,20 @@ def accept_adjudication(spark, sf_dir):
 
 @query(
     "list_mappings",
-    f"WITH {FINAL} SELECT file, count(*) AS columns, count(*) FILTER (WHERE status = 'auto_applied') AS applied, "
-    "count(*) FILTER (WHERE status = 'escalated') AS escalated FROM catalog JOIN final ON catalog.header = final.header GROUP BY file",
+    f"WITH {FINAL} SELECT file, col_ord, catalog.header, decision, target_field, method, CAST(confidence AS DOUBLE) / 1000 AS confidence, status, "
+    "(SELECT coalesce(string_agg(field || ':' || score, ',' ORDER BY place), '') FROM best WHERE best.header = catalog.header) AS candidates "
+    "FROM catalog JOIN final ON catalog.header = final.header WHERE file = 'feed_7'",
 )
 def list_mappings(spark, sf_dir):
-    return M.match_columns(catalog(spark, sf_dir), SCHEMA).groupBy("file").agg(
-        F.count("*").alias("columns"), F.count_if(F.col("status") == "auto_applied").alias("applied"),
-        F.count_if(F.col("status") == "escalated").alias("escalated"))
+    """The mapping rows of one file, out of a table in folders by a hash of the file: one folder is opened."""
+    path = fresh_path(spark, "mappings")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(16)).cast("int")
+    every = M.match_columns(catalog(spark, sf_dir), SCHEMA).withColumn("bucket", bucket(F.col("file")))
+    every.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    own = spark.read.parquet(path).where((F.col("bucket") == bucket(F.lit("feed_7"))) & (F.col("file") == "feed_7"))
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["field"], c["score"])), ",")
+    return own.select(
+        "file", "col_ord", "header", "decision", "target_field", "method", "confidence", "status", F.coalesce(listed, F.lit("")).alias("candidates"))
 
 
 def mapped(spark, sf_dir):

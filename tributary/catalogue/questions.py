@@ -16,6 +16,7 @@ from ..session import fresh_path, stage
 from ..streaming import queue
 from . import query
 from .cleaning import LOOKUP, RECORDS
+from .matching import EXPORT_FINAL
 from .entities import TEXTS, linked, rows_of, texts
 from .sql import (
     FIELDS, KEY_EMAIL, KEY_ID, conflicts_sql, days, dmy, enum, errors_of, iso, kept_sql, linked_sql, mdy, spelled, sq,
@@ -26,16 +27,18 @@ SCHEMA = employee_schema()
 ASKS_DATE = f"(field IN ('date_of_joining', 'date_of_birth') AND (len({days('kept_value')}) > 0 OR len({days('value')}) > 0))"
 
 
-@query(
-    "build_escalations",
+ESCALATED = (
     f"WITH RECURSIVE {RECORDS}, named_conflicts AS (SELECT natural_key, conflicts.* FROM conflicts JOIN gold ON gold.entity_id = conflicts.entity_id) "
     f"SELECT DISTINCT 'value_conflict' AS type, natural_key || ':' || field AS entity_ref, CAST(0 AS DOUBLE) AS confidence FROM named_conflicts WHERE NOT {ASKS_DATE} "
     f"UNION ALL SELECT DISTINCT 'ambiguous_date', field, 0 FROM named_conflicts WHERE {ASKS_DATE} "
     "UNION ALL SELECT 'manager_unresolved', natural_key, 0 FROM gold WHERE asks "
     "UNION ALL SELECT 'validation_failure', natural_key || ':' || field, 0 FROM bad "
-    "UNION ALL SELECT * FROM (VALUES ('unmapped_column', 'payroll:PersonalEmail', 0.556), ('ambiguous_mapping', 'payroll:Grade', 0.444), "
-    "('unmapped_column', 'payroll:BankName', 0.667), ('ambiguous_mapping', 'payroll:EmploymentType', 0.593))",
+    f"UNION ALL SELECT * FROM (WITH {EXPORT_FINAL} SELECT decision, file || ':' || catalog.header, CAST(match_confidence AS DOUBLE) / 1000 "
+    "FROM catalog JOIN final ON catalog.header = final.header WHERE status = 'escalated')"
 )
+
+
+@query("build_escalations", ESCALATED)
 def build_escalations(spark, sf_dir):
     """A whole run from the raw exports."""
     return run(spark, list(X.raw_exports(spark, sf_dir).items()), SCHEMA).questions.select("type", "entity_ref", "confidence")
@@ -88,15 +91,25 @@ TWO_BUILDS = (
 )
 
 
-@query("queue_after_builds", TWO_BUILDS)
-def queue_after_builds(spark, sf_dir):
-    """A stored queue through two builds with answers in between."""
+def queue_steps(spark, sf_dir):
+    """(queue of the first build, answers to it, what the second build closed)."""
+    before, given, after, last = queue_of_builds(spark, sf_dir)
+    return before, given, Q.closed_by_agent(after, last)
+
+
+def queue_of_builds(spark, sf_dir):
     raised = state(spark, sf_dir, "raised")
     none = spark.createDataFrame([], "run_id bigint, type string, entity_ref string, status string, resolved_by string, opened bigint")
     first = stage(Q.next_queue(none, raised.where(FIRST)), "queue")
     given = raised.where(ANSWER).selectExpr("*", "pos AS seq", "'resolved' AS status", "'consultant' AS resolved_by")
-    after, _ = Q.answered(first, given)
-    return Q.next_queue(stage(after, "queue"), raised.where(SECOND))
+    after = stage(Q.answered(first, given)[0], "queue")
+    return first, given, after, Q.next_queue(after, raised.where(SECOND))
+
+
+@query("queue_after_builds", TWO_BUILDS)
+def queue_after_builds(spark, sf_dir):
+    """A stored queue through two builds with answers in between."""
+    return queue_of_builds(spark, sf_dir)[-1]
 
 
 @query("queue_stream", TWO_BUILDS)
@@ -166,12 +179,12 @@ NAMED = ", ".join(f"'{n}'" for n in SCHEMA.names)
     f"WITH m AS (SELECT {COLUMNS}, p_partkey FROM part), d AS (SELECT {COLUMNS}, p_partkey AS id, {MANUAL['action']} AS action, {MANUAL['value']} AS value FROM part WHERE p_retailprice > 1000 "
     f"UNION ALL SELECT {COLUMNS}, p_partkey + 1000000000, 'correct', 'location' FROM part WHERE p_size > 40), "
     "l AS (SELECT file, header, arg_max(action, id) AS action, arg_max(coalesce(value, ''), id) AS value FROM d GROUP BY file, header), "
-    "j AS (SELECT m.file, m.header, action, value, action IS NOT NULL AND (action = 'reject' OR value IN ('', '__drop__')) AS dropped FROM m LEFT JOIN l ON l.file = m.file AND l.header = m.header), "
+    "j AS (SELECT m.file, m.header, action, value, action IS NOT NULL AND (action = 'reject' OR value = '__drop__') AS dropped FROM m LEFT JOIN l ON l.file = m.file AND l.header = m.header), "
     f"k AS (SELECT *, coalesce(action IS NOT NULL AND NOT dropped AND value IN ({NAMED}), false) AS picked FROM j) "
     "SELECT file, header, CASE WHEN picked THEN value END AS target_field, CASE WHEN picked THEN 'manual' ELSE 'fuzzy' END AS method, "
     "CAST(CASE WHEN picked THEN 1 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN dropped THEN 'rejected' WHEN picked THEN 'resolved' ELSE 'escalated' END AS status, "
     "false AS invalid FROM k UNION ALL "
-    f"SELECT file, header, value, NULL, NULL, action, true FROM d WHERE action <> 'reject' AND coalesce(value, '') NOT IN ('', '__drop__', {NAMED})",
+    f"SELECT file, header, value, NULL, NULL, action, true FROM d WHERE action <> 'reject' AND coalesce(value, '') NOT IN ('__drop__', {NAMED})",
 )
 def decide_mapping_manual(spark, sf_dir):
     part = X.table(spark, sf_dir, "part")

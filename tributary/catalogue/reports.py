@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
+from ..operators import trail
+from ..plans import consolidate
 from ..plans import exports as X
+from ..schema import employee_schema
 from ..session import fresh_path
 from ..streaming import feeds
 from . import query
+from .cleaning import LOOKUP, change_sql, cleaned_sql
+from .delivery import DELIVERIES, outcomes
+from .matching import EXPORT_FINAL
+from .questions import ESCALATED, TWO_BUILDS, queue_steps
 from .state import STATE, state, state_sql
 
 STATS = (
@@ -49,9 +56,24 @@ def list_runs(spark, sf_dir):
     return state(spark, sf_dir, "runs").orderBy(F.desc("run_id"))
 
 
-@query("list_records", f"WITH {state_sql('records')} SELECT run_id, record_id, natural_key, full_name FROM records WHERE status = 'needs_review' ORDER BY record_id")
+# The run that the reads of one run are about.
+RUN = 7
+_BY_RUN: dict[tuple[str, str, str], str] = {}
+
+
+def by_run(spark, sf_dir, name):
+    """A stored table in a folder per run, written once per application: reads of one run open its files only."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _BY_RUN:
+        _BY_RUN[key] = fresh_path(spark, name)
+        state(spark, sf_dir, name).repartition("run_id").write.partitionBy("run_id").parquet(_BY_RUN[key])
+    schema = state(spark, sf_dir, name).schema
+    return spark.read.schema(schema).parquet(_BY_RUN[key]).select(*schema.names)
+
+
+@query("list_records", f"WITH {state_sql('records')} SELECT run_id, record_id, natural_key, full_name FROM records WHERE status = 'needs_review' AND run_id = {RUN} ORDER BY record_id")
 def list_records(spark, sf_dir):
-    return R.by_status(state(spark, sf_dir, "records"), "needs_review").select(
+    return R.by_status(by_run(spark, sf_dir, "records"), "needs_review", RUN).select(
         "run_id", "record_id", "natural_key", "full_name").orderBy("record_id")
 
 
@@ -66,9 +88,9 @@ def status_facets(spark, sf_dir):
     return R.status_facets(state(spark, sf_dir, "records"))
 
 
-@query("list_escalations", f"WITH {state_sql('questions')} SELECT run_id, id, created_at, type, entity_ref FROM questions WHERE status = 'open' ORDER BY created_at, id")
+@query("list_escalations", f"WITH {state_sql('questions')} SELECT run_id, id, created_at, type, entity_ref FROM questions WHERE status = 'open' AND run_id = {RUN} ORDER BY created_at, id")
 def list_escalations(spark, sf_dir):
-    return R.by_status(state(spark, sf_dir, "questions"), "open").select(
+    return R.by_status(by_run(spark, sf_dir, "questions"), "open", RUN).select(
         "run_id", "id", "created_at", "type", "entity_ref").orderBy("created_at", "id")
 
 
@@ -124,9 +146,9 @@ def activity_stream(spark, sf_dir):
     return spark.read.parquet(out).select("id", "run_id", "stage", "message")
 
 
-@query("audit_log", f"WITH {state_sql('audit')} SELECT * FROM audit ORDER BY id")
+@query("audit_log", f"WITH {state_sql('audit')} SELECT * FROM audit WHERE run_id = {RUN} ORDER BY id")
 def audit_log(spark, sf_dir):
-    return state(spark, sf_dir, "audit").orderBy("id")
+    return R.audit_log(by_run(spark, sf_dir, "audit"), RUN)
 
 
 SHOWN = "action NOT LIKE 'activity:%' AND action <> 'resolved_conflict'"
@@ -138,8 +160,8 @@ SHOWN = "action NOT LIKE 'activity:%' AND action <> 'resolved_conflict'"
     f"SELECT id, audit.run_id, actor, action, reason, human_actions FROM audit JOIN humans ON audit.run_id = humans.run_id WHERE {SHOWN} AND actor = 'human' ORDER BY id DESC",
 )
 def audit_view(spark, sf_dir):
-    trail = state(spark, sf_dir, "audit")
-    return R.audit_view(trail, "human").join(R.human_actions(trail), "run_id").select(
+    log = state(spark, sf_dir, "audit")
+    return R.audit_view(log, "human").join(R.human_actions(log), "run_id").select(
         "id", "run_id", "actor", "action", "reason", "human_actions").orderBy(F.desc("id"))
 
 
@@ -149,8 +171,40 @@ def audit_view(spark, sf_dir):
 )
 def append_audit(spark, sf_dir):
     """Two appends of one stage each, then the table as it stands."""
-    trail = R.audit_view(state(spark, sf_dir, "audit"))
+    shown = R.audit_view(state(spark, sf_dir, "audit"))
     path = fresh_path(spark, "audit")
     for actor in ("agent", "human"):
-        feeds.append_audit(trail.where(F.col("actor") == actor).repartition("run_id"), path)
+        feeds.append_audit(shown.where(F.col("actor") == actor).repartition("run_id"), path)
     return spark.read.parquet(path).groupBy(F.col("run_id").cast("bigint").alias("run_id"), "actor", "action").agg(F.count("*").alias("n"))
+
+
+STAGES = ["run", "activity", "decisions", "closing", "push", "rollback"]
+KINDS = (
+    f"SELECT 'agent' AS actor, 'cleaned_value' AS action, count(*) AS n FROM (WITH RECURSIVE {cleaned_sql()} {change_sql()}) "
+    f"UNION ALL SELECT 'agent', 'resolved_manager_lookup', count(*) FROM (WITH RECURSIVE {LOOKUP} SELECT * FROM resolved WHERE sure) HAVING count(*) > 0 "
+    f"UNION ALL SELECT 'agent', 'escalated', count(*) FROM ({ESCALATED}) "
+    f"UNION ALL SELECT 'agent', 'mapped_column', count(*) FROM (WITH {EXPORT_FINAL} SELECT * FROM catalog JOIN final ON catalog.header = final.header WHERE status = 'auto_applied') "
+    "UNION ALL SELECT 'agent', 'activity:' || stage, 1 FROM (VALUES ('mapping'), ('reconciling'), ('cleaning'), ('validating')) AS a(stage) "
+    f"UNION ALL SELECT * FROM ({TWO_BUILDS.rsplit(' SELECT run_id, type, entity_ref, CASE', 1)[0]} SELECT CASE WHEN said THEN 'consultant' ELSE 'agent' END, "
+    "CASE WHEN said THEN 'resolved_' || type ELSE 'auto_closed_escalation' END, count(*) FROM marked WHERE one AND (said OR (closes AND NOT two)) GROUP BY ALL) "
+    f"UNION ALL SELECT * FROM ({DELIVERIES} SELECT CASE action WHEN 'rolled_back_record' THEN 'human' ELSE 'agent' END, action, sum(n) FROM outcomes GROUP BY ALL)"
+)
+
+
+@query("audit_trail", KINDS)
+def audit_trail(spark, sf_dir):
+    """Rows of a run, its decisions, its closings, a push and a rollback by kind; each batch is delivered twice."""
+    build = consolidate.run(spark, list(X.raw_exports(spark, sf_dir).items()), employee_schema())
+    before, given, after = queue_steps(spark, sf_dir)
+    taken = given.join(before.where("status = 'open'"), ["run_id", "type", "entity_ref"], "left_semi").dropDuplicates(["run_id", "type", "entity_ref"])
+    answers = taken.selectExpr("run_id", "type", "entity_ref", "'approve' AS action", "note AS value", "resolved_by")
+    pushed, rolled = outcomes(spark, sf_dir)
+    parts = {
+        "run": build.audit(1), "activity": build.activity(1), "decisions": trail.decided(answers),
+        "closing": trail.closed(after), "push": trail.delivered(pushed), "rollback": trail.delivered(rolled),
+    }
+    log = feeds.AuditTrail(spark, STAGES)
+    for _ in range(2):
+        for name, rows in parts.items():
+            log.append(rows, 1, name)
+    return log.read().groupBy("actor", "action").agg(F.count("*").alias("n"))

@@ -48,15 +48,16 @@ def blank(c: Column) -> Column:
 def apply_mapping_decisions(mappings: DataFrame, decisions: DataFrame, schema: TargetSchema) -> DataFrame:
     """Settle mappings by hand: reject or drop a column, or name its target field.
 
-    A value that names no field changes nothing; see :func:`invalid_targets`.
+    Only a rejection or ``__drop__`` drops a column. A value that is blank or names no field
+    changes nothing; see :func:`invalid_targets`.
     """
     own = latest(taken(decisions).where(F.col("type").isin(*MAPPING)).select(
         "decision_id", "file", F.col("column").alias("header"), "action", "value"
     ), "file", "header").withColumnsRenamed({"decision_id": "_id", "action": "_action", "value": "_value"})
     dropped = F.col("_id").isNotNull() & (
-        (F.col("_action") == "reject") | blank(F.col("_value")) | (F.col("_value") == DROP)
+        (F.col("_action") == "reject") | F.coalesce(F.col("_value") == DROP, F.lit(False))
     )
-    picked = F.col("_id").isNotNull() & ~dropped & F.col("_value").isin(*schema.names)
+    picked = F.col("_id").isNotNull() & ~dropped & F.coalesce(F.col("_value").isin(*schema.names), F.lit(False))
     return mappings.join(own, ["file", "header"], "left").withColumns({
         "target_field": F.when(picked, F.col("_value")).when(~dropped | F.col("_id").isNull(), F.col("target_field")),
         "method": F.when(picked, "manual").otherwise(F.col("method")),
@@ -66,16 +67,31 @@ def apply_mapping_decisions(mappings: DataFrame, decisions: DataFrame, schema: T
 
 
 def invalid_targets(decisions: DataFrame, schema: TargetSchema) -> DataFrame:
-    """Mapping decisions that name no field of the schema."""
+    """Mapping decisions that name no field of the schema, or nothing at all."""
+    value = F.coalesce("value", F.lit(""))
     return decisions.where(
-        F.col("type").isin(*MAPPING)
-        & (F.col("action") != "reject")
-        & ~blank(F.col("value"))
-        & (F.col("value") != DROP)
-        & ~F.col("value").isin(*schema.names)
+        F.col("type").isin(*MAPPING) & (F.col("action") != "reject") & (value != DROP) & ~value.isin(*schema.names)
     )
 
 
+def on_closed(decisions: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions on questions that are open, the others with the reason).
+
+    A decision answers the question of its type about its column, its field or its record and field.
+    ``queue`` has type, entity_ref and status.
+    """
+    ref = (
+        F.when(F.col("type").isin(*MAPPING), F.concat_ws(":", "file", "column"))
+        .when(F.col("type") == "ambiguous_date", F.col("field"))
+        .when(F.col("type") == "manager_unresolved", F.col("key"))
+        .otherwise(F.concat_ws(":", "key", "field"))
+    )
+    named = decisions.withColumn("entity_ref", ref)
+    open_now = queue.where(F.col("status") == "open").select("type", "entity_ref").distinct()
+    kept = named.join(open_now, ["type", "entity_ref"], "left_semi").select(*decisions.columns)
+    return kept, named.join(open_now, ["type", "entity_ref"], "left_anti").select(*decisions.columns, F.lit("no open question").alias("error"))
+
+
 def forced_formats(decisions: DataFrame) -> DataFrame:
     """(field, label) decided for a date field; a rejection leaves the values raw."""
     own = latest(taken(decisions).where(F.col("type") == "ambiguous_date").select("decision_id", "field", "action", "value"), "field")

@@ -140,15 +140,15 @@ def auto_close(queue: DataFrame, raised: DataFrame, keys: tuple[str, ...] = ("ty
 QUEUE = ("run_id", "type", "entity_ref")
 
 
-def next_queue(queue: DataFrame, raised: DataFrame, keys: tuple[str, ...] = QUEUE) -> DataFrame:
-    """The stored queue after a build of the runs in ``raised``.
+def next_queue(queue: DataFrame, raised: DataFrame, keys: tuple[str, ...] = QUEUE, runs: DataFrame | None = None) -> DataFrame:
+    """The stored queue after a build of ``runs``, or of the runs in ``raised``.
 
     ``queue`` has ``keys``, status, resolved_by and opened. Questions that are open stay as they are, record
     questions the build did not raise are closed, others open, anew where they were answered. Each side is
     one row per question and the join is on it, so a run with many questions spreads.
     """
     again = raised.select(*keys).distinct().withColumn("_again", F.lit(True))
-    built = raised.select("run_id").distinct().withColumn("_built", F.lit(True))
+    built = (raised if runs is None else runs).select("run_id").distinct().withColumn("_built", F.lit(True))
     both = queue.join(again, list(keys), "full").join(built, "run_id", "left")
     is_open = F.col("status") == "open"
     stale = is_open & F.col("_again").isNull() & F.col("_built").isNotNull() & F.col("type").isin(*RECORD_TYPES)
@@ -161,6 +161,12 @@ def next_queue(queue: DataFrame, raised: DataFrame, keys: tuple[str, ...] = QUEU
     )
 
 
+def closed_by_agent(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = QUEUE) -> DataFrame:
+    """Questions that a build closed."""
+    was = before.where(F.col("status") == "open").select(*keys)
+    return after.where((F.col("status") == "resolved") & (F.col("resolved_by") == "agent")).join(was, list(keys), "left_semi")
+
+
 def answered(queue: DataFrame, answers: DataFrame, keys: tuple[str, ...] = QUEUE) -> tuple[DataFrame, DataFrame]:
     """(queue with the answers to open questions, answers refused because there is no open question).
 

@@ -86,6 +86,11 @@ def activity_since(audit: DataFrame, cursor: Column | int, run: int | None = Non
     )
 
 
+def audit_log(audit: DataFrame, run: int | None = None) -> DataFrame:
+    """The whole trail of a run, in order."""
+    return of_run(audit, run).orderBy("id")
+
+
 def audit_view(audit: DataFrame, actor: str = "all", run: int | None = None) -> DataFrame:
     """The trail a person reads: without stage events and doubled entries."""
     own = of_run(audit, run)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..operators import cleaning, dates, decisions as dec, entities, lookup, matching, questions as q
-from ..operators import survivorship, validation
+from ..operators import survivorship, trail, validation
 from ..schema import TargetSchema
 from ..session import stage
 from ..sources import readers
@@ -94,32 +94,47 @@ class Build:
 
     def audit(self, run_id: int) -> DataFrame:
         """Rows to append to the audit table."""
-        def rows(df: DataFrame, action: str, kind: str, target: Column, before: Column, after: Column, reason: Column):
-            return df.select(
-                F.lit(run_id).cast("bigint").alias("run_id"), F.lit("agent").alias("actor"), F.lit(action).alias("action"),
-                F.lit(kind).alias("target_type"), target.alias("target_id"), before.alias("before"), after.alias("after"),
-                reason.alias("reason"),
-            )
-
-        none = F.lit(None).cast("map<string,string>")
-        one = lambda k, v: F.create_map(k, v.cast("string"))
         ref = F.col("natural_key")
+        f = self.schema.lookup_field
         parts = [
-            rows(self.changes, "cleaned_value", "record", ref, one(F.col("field"), F.col("before")),
-                 one(F.col("field"), F.col("after")), F.col("reason")),
-            rows(self.records.where(F.col("lookup_from").isNotNull()), "resolved_manager_lookup", "record", ref,
-                 one(F.lit(self.schema.lookup_field), F.col("lookup_from")),
-                 one(F.lit(self.schema.lookup_field), F.col(self.schema.lookup_field)), F.lit("best match is above the threshold")),
-            rows(self.questions, "escalated", "escalation", F.concat_ws(":", "type", "entity_ref"), none,
-                 F.col("context"), F.concat(F.lit("needs a decision: "), F.col("type"))),
+            trail.rows(self.changes, run_id, "cleaned_value", "record", ref, F.col("reason"),
+                       trail.one(F.col("field"), F.col("before")), trail.one(F.col("field"), F.col("after"))),
+            trail.rows(self.records.where(F.col("lookup_from").isNotNull()), run_id, "resolved_manager_lookup", "record", ref,
+                       F.lit("best match is above the threshold"), trail.one(F.lit(f), F.col("lookup_from")),
+                       trail.one(F.lit(f), F.col(f)) if self.schema.has(f) else None),
+            trail.rows(self.questions, run_id, "escalated", "escalation", F.concat_ws(":", "type", "entity_ref"),
+                       F.concat(F.lit("needs a decision: "), F.col("type")), None, F.col("context")),
         ]
         if self.mappings is not None:
             auto = self.mappings.where(F.col("status") == "auto_applied")
-            parts.append(rows(auto, "mapped_column", "column", F.concat_ws(":", "file", "header"), none,
-                              F.create_map(F.lit("target"), F.col("target_field"), F.lit("confidence"),
-                                           F.col("confidence").cast("string")), F.col("rationale")))
+            target = F.create_map(F.lit("target"), F.col("target_field"), F.lit("confidence"), F.col("confidence").cast("string"))
+            parts.append(trail.rows(auto, run_id, "mapped_column", "column", F.concat_ws(":", "file", "header"), F.col("rationale"), None, target))
         return q.union_all(parts)
 
+    def activity(self, run_id: int) -> DataFrame:
+        """What the stages of this build did, one row a stage, in order."""
+        counts = [
+            ("reconciling", self.linked.agg(F.count("*").alias("a"), F.approx_count_distinct("entity_id").alias("b")), "%d rows in about %d entities"),
+            ("cleaning", self.changes.agg(F.count("*").alias("a"), F.count(F.when(F.col("field").isNull(), 1)).alias("b")), "%d values cleaned"),
+            ("validating", self.records.agg(F.count_if(F.col("status") == "valid").alias("a"), F.count_if(F.col("status") != "valid").alias("b")), "%d records valid, %d not"),
+        ]
+        if self.mappings is not None:
+            done = self.mappings.agg(F.count_if(F.col("status") != "escalated").alias("a"), F.count_if(F.col("status") == "escalated").alias("b"))
+            counts.insert(0, ("mapping", done, "%d columns settled, %d wait for a decision"))
+        return q.union_all([
+            trail.rows(df, run_id, f"activity:{stage_}", "run", F.lit(str(run_id)),
+                       F.format_string(text, *[F.col(c) for c in ("a", "b")[: text.count("%d")]]))
+            for stage_, df, text in counts
+        ])
+
+    def settle(self, run_id: int, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the stored queue after this build, the gate of every run in it)."""
+        one = F.lit(run_id).cast("bigint").alias("run_id")
+        raised = self.questions.select(one, "type", "entity_ref")
+        runs = self.records.sparkSession.range(1).select(one)
+        after = stage(q.next_queue(queue, raised, runs=runs), "queue")
+        return after, q.gate_status(after)
+
 
 def map_sources(
     sources: list[tuple[str, DataFrame]], mappings: DataFrame, schema: TargetSchema
