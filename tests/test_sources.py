@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.schema import parse_schema
 from tributary.session import fresh_path
-from tributary.sources import readers, records
+from tributary.sources import readers, records, workbook
 from tributary.streaming import feeds
 
 
@@ -142,3 +142,48 @@ def test_states_of_quotes():
     ]:
         assert records.behind(line, 0) == out, line
     assert [records.behind(x, 1) for x in ('a"', 'a""', 'a"",b"', 'a","b', 'a",b"c', '"')] == [0, 1, 0, 1, 0, 0]
+
+
+def test_workbooks_in_a_run(spark, tmp_path):
+    """Two workbooks of one export: places, dates, gaps, equal and missing headers, dense row_idx."""
+    from tributary.catalogue.ingest import _book
+    from tributary.plans.consolidate import run
+    from tributary.schema import employee_schema
+
+    head = ["Emp ID", "Email", "Email", None, "DOJ"]
+    (tmp_path / "a.xlsx").write_bytes(_book([head, ["E1", " a@x.org", None, "z", "44927"], [None, None, None, None, None], ["E2", "NA", "b@x.org", None, "44928.5"]]))
+    (tmp_path / "b.xlsx").write_bytes(_book([head, ["E3", "c@x.org", "n/a", None, "59"]]))
+    df = workbook.read_excel_export(spark, f"{tmp_path}/*")
+    assert df.columns == ["Emp ID", "Email", "Email.1", "Unnamed: 3", "DOJ", "row_idx"]
+    assert [tuple(r) for r in df.orderBy("row_idx").collect()] == [
+        ("E1", " a@x.org", None, "z", "2023-01-01", 0), ("E2", None, "b@x.org", None, "2023-01-02 12:00:00", 1), ("E3", "c@x.org", None, None, "1900-02-28", 2),
+    ]
+    build = run(spark, [("books", df)], employee_schema())
+    assert {r["employee_id"]: r["date_of_joining"] for r in build.records.collect()}["E1"] == "2023-01-01"
+    with pytest.raises(ValueError):
+        workbook.read_excel_export(spark, "old.xls")
+
+
+def test_plan_of_many_files_does_not_grow(spark, tmp_path):
+    from tributary.operators import matching
+    from tributary.schema import employee_schema
+    from tributary.sources import many
+
+    schema, sizes = employee_schema(), []
+    for n in (2, 40):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            head = ["Emp ID,Email", "Email,Locker,Emp ID"][i % 2]
+            (folder / f"f{i:02d}.csv").write_text(f"{head}\n" + (f"E{i},a@x.org\n,\n" if i % 2 == 0 else f'b@x.org,"x\ny",E{i}\n'))
+        exports = many.read_exports(spark, str(folder))
+        mappings = matching.match_columns(readers.column_catalog(exports.catalog), schema)
+        rows = many.map_exports(exports, mappings, schema)
+        assert sorted((r["file"], r["row_idx"], r["employee_id"], r["email"]) for r in rows.collect()) == [
+            (f"f{i:02d}.csv", 0, f"E{i}", "ab"[i % 2] + "@x.org") for i in range(n)]
+        assert {r["row_count"] for r in exports.catalog.collect()} == {1}
+        sizes.append(len(rows._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert sizes[0] == sizes[1]
+    (tmp_path / "2" / "f00.csv").write_text("Emp ID,Email\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        many.read_exports(spark, str(tmp_path / "2"))

@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.text import is_number, looks_like_date
-from ..operators import profiling
+from ..operators import matching, profiling
 from ..plans import exports as X
 from ..schema import employee_schema
 from ..session import fresh_path, stage
-from ..sources import declared, readers, workbook
+from ..sources import declared, many, readers, workbook
 from . import query
 from .sql import TOKENS, is_number as number_sql
 
@@ -113,10 +113,40 @@ def csv_ragged_rows(spark, sf_dir):
     return rows.withColumn("line", F.lit(None).cast("string")).unionByName(errors)
 
 
-def _cell(ref: str, text: str | None) -> str:
-    if text is None:
-        return ""
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _book(rows: list[list[str | None]]) -> bytes:
+    """A workbook whose first sheet is in its second part; texts are shared, the last column has a date format."""
+    shared: dict[str, int] = {}
+
+    def cell(ref: str, j: int, i: int, text: str | None) -> str:
+        if text is None:
+            return ""
+        if i and j == len(rows[0]) - 1:
+            return f'<c r="{ref}" s="1"><v>{text}</v></c>'
+        return f'<c r="{ref}" t="s"><v>{shared.setdefault(text, len(shared))}</v></c>'
+
+    body = "".join(
+        f'<row r="{i + 1}">' + "".join(cell("ABCDE"[j] + str(i + 1), j, i, v) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows)
+    )
+    items = "".join(f'<si><t xml:space="preserve">{escape(t)}</t></si>' for t in shared)
+    parts = {
+        "xl/workbook.xml": f'<workbook {MAIN} xmlns:r="{REL}"><sheets><sheet name="a" sheetId="2" r:id="x2"/><sheet name="b" sheetId="1" r:id="x1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        '<Relationship Id="x1" Target="worksheets/sheet1.xml"/><Relationship Id="x2" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {MAIN}><numFmts><numFmt numFmtId="170" formatCode="dd\\-mmm\\-yyyy"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f"<sst {MAIN}>{items}</sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet {MAIN}><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f"<worksheet {MAIN}><sheetData>{body}</sheetData></worksheet>",
+    }
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    return data.getvalue()
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,34 +154,25 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for start in range(0, len(batch), 1000):
             part = batch.iloc[start:start + 1000]
-            rows = [["Key", " Name ", "Segment"]] + part[["key", "name", "segment"]].values.tolist()
-            body = "".join(
-                f'<row r="{i + 1}">' + "".join(_cell("ABC"[j] + str(i + 1), v) for j, v in enumerate(r)) + "</row>"
-                for i, r in enumerate(rows)
-            )
-            data = io.BytesIO()
-            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as book:
-                book.writestr(
-                    "xl/worksheets/sheet1.xml",
-                    '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-                    f"<sheetData>{body}</sheetData></worksheet>",
-                )
-            yield pd.DataFrame([(f"book-{part['key'].iloc[0]}.xlsx", data.getvalue())], columns=["path", "content"])
+            rows = [["Key", " Name ", "Segment", "Name", "Since"], *part[["key", "name", "segment", "key", "serial"]].values.tolist()]
+            yield pd.DataFrame([(f"book-{part['key'].iloc[0]}.xlsx", _book(rows))], columns=["path", "content"])
 
 
 @query(
     "read_excel_export",
-    "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, "
-    "CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS segment FROM customer",
+    "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS segment, "
+    "CAST(c_custkey AS VARCHAR) AS again, CAST(DATE '2000-01-01' + CAST(c_custkey % 9000 AS INTEGER) AS VARCHAR) AS since FROM customer",
 )
 def read_excel_export(spark, sf_dir):
+    """The first sheet in the workbook's own order, with shared texts, dates and a header that comes twice."""
     rows = X.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"),
         F.when(F.col("c_mktsegment") == "MACHINERY", "N/A").otherwise(F.col("c_mktsegment")).alias("segment"),
+        (F.col("c_custkey") % 9000 + 36526).cast("string").alias("serial"),
     )
     books = stage(rows.mapInPandas(_pack, "path string, content binary"), "workbooks")
-    wide = workbook.pivot_sheet(workbook.workbook_values(books), ["Key", "Name", "Segment"])
-    return wide.select(F.col("Key").alias("key"), F.col("Name").alias("name"), F.col("Segment").alias("segment"))
+    wide = workbook.wide_rows(books, ["Key", "Name", "Segment", "Name.1", "Since"])
+    return wide.select("Key", "Name", "Segment", F.col("`Name.1`").alias("again"), "Since").toDF("key", "name", "segment", "again", "since")
 
 
 @query("null_tokens", messy_sql(f"SELECT {PLAIN}, ord FROM nulled"))
@@ -203,9 +224,50 @@ def source_catalog(spark, sf_dir):
     )
 
 
-@query("list_files", f"WITH {X.raw_sql()} SELECT file, row_count FROM ({CATALOG})")
+# One export per nation, with one of three headers.
+NATION_HEADERS = ["Emp ID,Name,Email", "Name,Emp ID,Department,Email", "Email,Locker,Emp ID"]
+NATION_LINES = (
+    "CASE c_nationkey % 3 WHEN 0 THEN 'E' || c_custkey || ',\"' || c_name || CASE WHEN c_custkey % 50 = 1 THEN chr(10) ELSE ' ' END || c_mktsegment || '\",NA' "
+    "WHEN 1 THEN c_name || ',E' || c_custkey || ',' || c_mktsegment || ',c' || c_custkey || '@x.org' "
+    "ELSE 'c' || c_custkey || '@x.org,' || c_acctbal || ',E' || c_custkey END"
+)
+NATION_ROWS = (
+    "SELECT 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_idx, "
+    "'E' || c_custkey AS employee_id, CASE c_nationkey % 3 WHEN 0 THEN c_name || CASE WHEN c_custkey % 50 = 1 THEN chr(10) ELSE ' ' END || c_mktsegment WHEN 1 THEN c_name END AS full_name, "
+    "CASE WHEN c_nationkey % 3 > 0 THEN 'c' || c_custkey || '@x.org' END AS email, CASE WHEN c_nationkey % 3 = 1 THEN c_mktsegment END AS department FROM customer"
+)
+
+
+def nation_exports(spark, sf_dir):
+    """A folder with one CSV file per nation, in a folder of its name."""
+    path = fresh_path(spark, "nations")
+    lines = X.table(spark, sf_dir, "customer").selectExpr("c_nationkey", "c_custkey", f"{NATION_LINES} AS line")
+    heads = F.element_at(F.array(*[F.lit(h) for h in NATION_HEADERS]), F.col("c_nationkey") % 3 + 1)
+    whole = lines.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("rows")).select(
+        F.concat(F.lit("nation_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("export"),
+        F.concat_ws("\n", heads, F.col("rows.line")).alias("value"))
+    whole.write.option("lineSep", "\n").partitionBy("export").text(path)
+    return path
+
+
+@query("many_files", f"{NATION_ROWS}")
+def many_files(spark, sf_dir):
+    """25 files with three different headers, one with line breaks in cells, in one scan and one plan."""
+    exports = many.read_exports(spark, nation_exports(spark, sf_dir), "nation_[0-9]+")
+    mappings = stage(matching.match_columns(readers.column_catalog(exports.catalog), SCHEMA), "mappings")
+    return many.map_exports(exports, mappings, SCHEMA).select("file", "row_idx", "employee_id", "full_name", "email", "department")
+
+
+@query(
+    "list_files",
+    "SELECT 'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS file, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS INT) AS file_ord, "
+    "count(*) AS row_count, CASE c_nationkey % 3 " + " ".join(f"WHEN {i} THEN '{h.replace(',', '|')}'" for i, h in enumerate(NATION_HEADERS))
+    + " END AS columns FROM customer GROUP BY c_nationkey",
+)
 def list_files(spark, sf_dir):
-    return readers.source_catalog(list(X.raw_exports(spark, sf_dir).items())).select("file", "row_count")
+    """All files of an export folder with their rows and columns, whatever their number, in one plan."""
+    exports = many.read_exports(spark, nation_exports(spark, sf_dir), "nation_[0-9]+")
+    return exports.catalog.withColumn("columns", F.array_join("columns", "|"))
 
 
 # One declared schema per supplier, in every accepted shape, as common SQL.

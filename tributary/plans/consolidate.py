@@ -13,7 +13,7 @@ from ..operators import cleaning, dates, decisions as dec, entities, lookup, mat
 from ..operators import survivorship, trail, validation
 from ..schema import TargetSchema
 from ..session import stage
-from ..sources import readers
+from ..sources import many, readers
 
 ORIGIN = ["entity_id", "natural_key", "n_rows", "origin_file"]
 
@@ -322,3 +322,22 @@ def run(
     build = consolidate(map_sources(sources, mappings, schema), schema, decisions, mappings, settings)
     build.remake = lambda given: run(spark, sources, schema, given, settings, adjudicate)
     return build
+
+
+def run_files(
+    spark: SparkSession,
+    path: str,
+    schema: TargetSchema,
+    decisions: DataFrame | None = None,
+    settings: Settings = DEFAULT,
+    adjudicate: matching.Adjudicator | None = None,
+) -> Build:
+    """A run over all CSV exports under a path, however many: one scan, one plan."""
+    exports = many.read_exports(spark, path)
+    mappings = matching.match_columns(readers.column_catalog(exports.catalog), schema, settings, adjudicate)
+    if decisions is not None:
+        mappings = dec.apply_mapping_decisions(mappings, decisions, schema)
+    mappings = stage(mappings, "mappings")
+    build = consolidate(stage(many.map_exports(exports, mappings, schema), "rows"), schema, decisions, mappings, settings)
+    build.remake = lambda given: run_files(spark, path, schema, given, settings, adjudicate)
+    return build

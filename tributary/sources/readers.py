@@ -75,12 +75,14 @@ def csv_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
     return ("UTF-8" if all(utf8 for *_, utf8 in odd) else LATIN), any(breaks for _, breaks, _ in odd)
 
 
-def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+def csv_rows(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Raw rows with their place, and with the whole text of those that have too many cells.
 
     Every file is read in splits. Files with line breaks inside cells are cut into records first;
-    one such file, or one in another encoding, leaves the others as they are.
+    one such file, or one in another encoding, leaves the others as they are. With ``names``, files
+    of unlike headers are read at once and their headers come as rows.
     """
+    headed = names is None
     splits = stage(records.layout(spark, path), "csv-layout")
     odd = _odd_files(splits)
     options = {
@@ -89,7 +91,8 @@ def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     reader = spark.read.option("header", True).options(**options)
     latin = [f for f, _, utf8 in odd if not utf8]
     breaks = any(b for _, b, _ in odd)
-    names = reader.option("multiLine", breaks).option("encoding", LATIN if latin and len(latin) == len(odd) else "UTF-8").csv(path).columns
+    if names is None:
+        names = reader.option("multiLine", breaks).option("encoding", LATIN if latin and len(latin) == len(odd) else "UTF-8").csv(path).columns
     fields = ", ".join(f"`{c}` string" for c in [*names, ODD])
     # A line of another length than the header's is kept as text; one that is short is no error.
     cells = F.length(F.regexp_replace(F.regexp_replace(ODD, '"[^"]*"', ""), "[^,]", "")) + 1
@@ -97,7 +100,7 @@ def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 
     def plain(encoding: str, wanted: Column) -> DataFrame:
         raw = (
-            spark.read.option("header", True).options(**options).option("encoding", encoding)
+            spark.read.option("header", headed).options(**options).option("encoding", encoding)
             .schema(fields).option("columnNameOfCorruptRecord", ODD).csv(path)
         )
         return raw.where(wanted).select(
@@ -108,8 +111,10 @@ def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     def broken(encoding: str, files: list[str]) -> DataFrame:
         first = Window.partitionBy("path").orderBy("start", "line")
         found = records.records(spark, path, splits, files, encoding)
-        heads = found.where("start = 0").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("path", "start", "line")
-        body = found.join(heads, ["path", "start", "line"], "left_anti").where(F.trim("value") != "")
+        body = found.where(F.trim("value") != "")
+        if headed:
+            heads = found.where("start = 0").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("path", "start", "line")
+            body = body.join(heads, ["path", "start", "line"], "left_anti")
         cut = F.from_csv("value", F.lit(fields), {**options, "columnNameOfCorruptRecord": ODD, "maxCharsPerColumn": "-1"})
         return body.select(cut.alias("r"), "path", "start", "line").select(
             "r.*", F.col("path").alias("_path"), F.col("start").alias("_start"), F.col("line").alias("_line")
@@ -132,7 +137,7 @@ def read_csv_export(spark: SparkSession, path: str, ragged: str = "fail") -> Dat
     A row with more cells than the header makes the job fail, unless ``ragged`` is
     "apart": then it is left to :func:`csv_errors`. No cell is dropped without a trace.
     """
-    order, names = _csv_rows(spark, path)
+    order, names = csv_rows(spark, path)
     odd = F.col(ODD)
     if ragged == "apart":
         order = order.where(odd.isNull())
@@ -149,7 +154,7 @@ def csv_errors(spark: SparkSession, path: str) -> DataFrame:
 
     ``line`` is the row's whole text, ``cells`` those that the header names.
     """
-    rows, names = _csv_rows(spark, path)
+    rows, names = csv_rows(spark, path)
     return rows.where(F.col(ODD).isNotNull()).select(
         F.col(ODD).alias("line"), F.array(*[F.col(f"`{c}`") for c in names]).alias("cells"),
         F.lit(len(names)).alias("expected"),
