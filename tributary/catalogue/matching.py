@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import as_score, token_sort_score
 from ..functions.text import norm_header
 from ..operators import matching as M
-from ..operators import profiling, questions
+from ..operators import profiling
 from ..plans import exports as X
 from ..plans.consolidate import map_sources
 from ..schema import employee_schema
@@ -197,7 +197,7 @@ def mapped(spark, sf_dir):
         [(n, i, j, c) for i, (n, _) in enumerate(sources) for j, c in enumerate(X.EXPORTS[n])],
         "file string, file_ord int, col_ord int, header string",
     )
-    return sources, stage(M.match_columns(columns, SCHEMA), "mappings")
+    return sources, stage(M.match_columns(columns, SCHEMA, samples=profiling.open_samples(sources)), "mappings")
 
 
 @query("apply_mapping", f"WITH {X.rows_sql()} SELECT * FROM rows")
@@ -206,29 +206,17 @@ def apply_mapping(spark, sf_dir):
     return map_sources(sources, mappings, SCHEMA)
 
 
-PAY = '"PersonalEmail", "Grade", "BankName", "EmploymentType"'
+CELLS = "cells AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS file, '{c}' AS header, row_idx, \"{c}\" AS value FROM {n}" for n, cols in X.EXPORTS.items() for c in cols
+) + ")"
+REPORT = (
+    f"WITH {X.raw_sql()}, {CELLS}, waits AS (SELECT * FROM (WITH {EXPORT_FINAL} SELECT file, catalog.header, decision, match_confidence FROM catalog "
+    "JOIN final ON catalog.header = final.header WHERE status = 'escalated')), ranked AS (SELECT *, row_number() OVER (PARTITION BY file, header ORDER BY row_idx) AS pos "
+    "FROM cells SEMI JOIN waits USING (file, header) WHERE value IS NOT NULL), report AS (SELECT file, header, decision AS type, CAST(match_confidence AS DOUBLE) / 1000 AS confidence, "
+    "coalesce(string_agg(value, '|' ORDER BY pos) FILTER (WHERE pos <= 5), '') AS samples FROM waits LEFT JOIN ranked USING (file, header) GROUP BY ALL)"
+)
 
 
-@query(
-    "unmapped_report",
-    f"WITH {X.raw_sql()}, cells AS (SELECT row_idx, unnest(['PersonalEmail', 'Grade', 'BankName', 'EmploymentType']) AS header, "
-    f"unnest([{PAY}]) AS value FROM payroll), ranked AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY row_idx) AS pos "
-    "FROM cells WHERE value IS NOT NULL) SELECT 'payroll' AS file, header, CASE WHEN header IN ('Grade', 'EmploymentType') "
-    "THEN 'ambiguous_mapping' ELSE 'unmapped_column' END AS type, "
-    "CAST(CASE header WHEN 'PersonalEmail' THEN 0.556 WHEN 'Grade' THEN 0.444 WHEN 'BankName' THEN 0.667 ELSE 0.593 END AS DOUBLE) AS confidence, "
-    "string_agg(value, '|' ORDER BY pos) AS samples FROM ranked WHERE pos <= 5 GROUP BY ALL",
-)
+@query("unmapped_report", f"{REPORT} SELECT * FROM report")
 def unmapped_report(spark, sf_dir):
-    sources, mappings = mapped(spark, sf_dir)
-    open_columns = mappings.where(F.col("status") == "escalated")
-    parts = []
-    for name, df in sources:
-        columns = [c for c in df.columns if c != "row_idx"]
-        cells = profiling.long_cells(df.withColumn("file", F.lit(name)), columns, ["file", "row_idx"])
-        parts.append(cells.join(open_columns.select("file", F.col("header").alias("column")), ["file", "column"], "left_semi"))
-    picked = profiling.column_samples(questions.union_all(parts))
-    samples = picked.groupBy("file", "column").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("samples"))
-    return open_columns.join(samples.withColumnRenamed("column", "header"), ["file", "header"], "left").select(
-        "file", "header", F.col("decision").alias("type"), as_score(F.col("match_confidence")).alias("confidence"),
-        F.array_join("samples", "|").alias("samples"))
+    return M.unmapped_report(mapped(spark, sf_dir)[1]).withColumn("samples", F.array_join("samples", "|"))

@@ -16,7 +16,7 @@ from ..session import fresh_path, stage
 from ..streaming import queue
 from . import query
 from .cleaning import LOOKUP, RECORDS
-from .matching import EXPORT_FINAL
+from .matching import EXPORT_FINAL, REPORT
 from .entities import TEXTS, linked, rows_of, texts
 from .sql import (
     FIELDS, KEY_EMAIL, KEY_ID, conflicts_sql, days, dmy, enum, errors_of, iso, kept_sql, linked_sql, mdy, spelled, sq,
@@ -44,6 +44,47 @@ def build_escalations(spark, sf_dir):
     return run(spark, list(X.raw_exports(spark, sf_dir).items()), SCHEMA).questions.select("type", "entity_ref", "confidence")
 
 
+ASKED = (
+    f"WITH RECURSIVE {RECORDS}, named_conflicts AS (SELECT natural_key, conflicts.* FROM conflicts JOIN gold ON gold.entity_id = conflicts.entity_id), "
+    f"plain AS (SELECT * FROM named_conflicts WHERE NOT {ASKS_DATE}), asked_dates AS (SELECT field, unnest([kept_value, value]) AS raw FROM named_conflicts WHERE {ASKS_DATE}), "
+    "dates AS (SELECT DISTINCT field, raw FROM asked_dates), sampled AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY md5(raw), raw) AS pos FROM dates), "
+    f"v AS (SELECT field, {sq('raw')} AS x FROM dates), reads AS (SELECT DISTINCT field, format, parsed FROM (SELECT field, 'iso' AS format, {iso('x')} AS parsed FROM v "
+    f"UNION ALL SELECT field, 'dd/mm', {dmy('x')} FROM v UNION ALL SELECT field, 'mm/dd', {mdy('x')} FROM v UNION ALL SELECT field, 'text-month', {spelled('x')} FROM v) WHERE parsed IS NOT NULL)"
+)
+
+
+@query(
+    "question_context",
+    f"{ASKED}, told AS (SELECT 'value_conflict' AS type, natural_key || ':' || field AS entity_ref, unnest(['record', 'field', 'kept', 'kept_file', 'rivals']) AS key, "
+    "unnest([natural_key, field, kept_value, kept_file, CAST(count(*) AS VARCHAR)]) AS value FROM plain GROUP BY natural_key, field, kept_value, kept_file "
+    "UNION ALL SELECT 'manager_unresolved', natural_key, unnest(['record', 'manager_name']), unnest([natural_key, manager_email]) FROM gold WHERE asks "
+    "UNION ALL SELECT 'validation_failure', natural_key || ':' || field, unnest(['record', 'field', 'value', 'error']), unnest([natural_key, field, value, error]) FROM bad "
+    "UNION ALL SELECT 'ambiguous_date', field, unnest(['field', 'waiting', 'samples', 'formats']), unnest([field, CAST(waiting AS VARCHAR), samples, formats]) FROM ("
+    "SELECT field, count(*) AS waiting, string_agg(raw, '|' ORDER BY pos) FILTER (WHERE pos <= 5) AS samples, "
+    "(SELECT array_to_string(list_sort(list(DISTINCT format)), ',') FROM reads WHERE reads.field = sampled.field) AS formats FROM sampled GROUP BY field) "
+    f"UNION ALL SELECT type, file || ':' || header, unnest(['source_column', 'file', 'samples']), unnest([header, file, samples]) FROM ({REPORT} SELECT * FROM report)) "
+    "SELECT * FROM told WHERE value IS NOT NULL",
+)
+def question_context(spark, sf_dir):
+    """What each question tells, in long form: samples of columns and dates, rivals, errors."""
+    build = run(spark, list(X.raw_exports(spark, sf_dir).items()), SCHEMA)
+    return build.questions.select("type", "entity_ref", F.explode("context").alias("key", "value"))
+
+
+@query(
+    "question_options",
+    f"{ASKED}, offered AS (SELECT DISTINCT 'value_conflict' AS type, natural_key || ':' || field AS entity_ref, 0 AS rank, kept_value AS value, kept_file AS source, CAST(NULL AS DOUBLE) AS score FROM plain "
+    "UNION ALL SELECT 'value_conflict', natural_key || ':' || field, CAST(place // 1000000000 AS INT) + 1, value, file, NULL FROM plain "
+    "UNION ALL SELECT 'manager_unresolved', gold.natural_key, CAST(rank AS INT), key, 'lookup', CAST(matches.score AS DOUBLE) / 1000 FROM gold JOIN matches ON matches.value = manager_email WHERE asks "
+    "UNION ALL SELECT DISTINCT 'ambiguous_date', field, 0, format, parsed, NULL FROM reads "
+    f"UNION ALL SELECT * FROM (WITH {EXPORT_FINAL} SELECT decision, file || ':' || catalog.header, CAST(place - 1 AS INT), best.field, 'schema', CAST(best.score AS DOUBLE) / 1000 "
+    "FROM catalog JOIN final ON catalog.header = final.header JOIN best ON best.header = catalog.header WHERE status = 'escalated')) SELECT * FROM offered",
+)
+def question_options(spark, sf_dir):
+    """The answers on offer for every question of a run."""
+    return run(spark, list(X.raw_exports(spark, sf_dir).items()), SCHEMA).options
+
+
 KEY = ("run_id", "type", "entity_ref")
 
 
@@ -152,7 +193,8 @@ PENDING = f"pending AS (SELECT 'day_' || CAST(n % 3 AS STRING) AS field, raw FRO
     f"WITH {TEXTS}, {PENDING}, v AS (SELECT field, {sq('raw')} AS x FROM pending), o AS (SELECT DISTINCT field, format, parsed FROM ("
     f"SELECT field, 'iso' AS format, {iso('x')} AS parsed FROM v UNION ALL SELECT field, 'dd/mm', {dmy('x')} FROM v UNION ALL "
     f"SELECT field, 'mm/dd', {mdy('x')} FROM v UNION ALL SELECT field, 'text-month', {spelled('x')} FROM v) WHERE parsed IS NOT NULL) "
-    "SELECT field, samples, example, options, formats FROM (SELECT field, count(DISTINCT raw) AS samples, min(raw) AS example FROM pending GROUP BY field) "
+    "SELECT field, waiting, samples, options, formats FROM (SELECT field, count(*) AS waiting, string_agg(raw, '|' ORDER BY pos) FILTER (WHERE pos <= 5) AS samples "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY md5(raw), raw) AS pos FROM (SELECT DISTINCT field, raw FROM pending)) GROUP BY field) "
     "JOIN (SELECT field, count(*) AS options, array_to_string(list_sort(list(DISTINCT format)), ',') AS formats FROM o GROUP BY field) USING (field)",
 )
 def date_question_rollup(spark, sf_dir):

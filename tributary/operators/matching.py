@@ -160,20 +160,21 @@ Adjudicator = Callable[[DataFrame], DataFrame]
 def closest_name(schema: TargetSchema) -> Adjudicator:
     """Default adjudicator: the closest field name among the options.
 
-    An adjudicator maps (header, samples, options) to (header, suggested, suggested_score).
-    One that calls an external service would do so in ``mapInPandas``; it only ever
-    sees the headers that the rules left open.
+    An adjudicator maps (file, header, samples, options) to (file, header, suggested, suggested_score).
+    One that calls an external service would do so in ``mapInPandas``; it only ever sees the columns
+    that the rules left open. This one looks at headers alone, each of them once.
     """
     own = [(f.name, f.name) for f in schema]
 
     def run(open_headers: DataFrame) -> DataFrame:
         ranked = ranked_surfaces(F.col("header"), own, len(own))
         first = F.get(F.filter(ranked, lambda x: F.array_contains(F.col("options"), x["field"])), F.lit(0))
-        return open_headers.withColumn("_best", first).select(
+        best = open_headers.select("header", "options").distinct().withColumn("_best", first).select(
             "header",
             F.col("_best.field").alias("suggested"),
             (-F.col("_best.loss")).alias("suggested_score"),
         )
+        return open_headers.select(*[c for c in ("file", "header") if c in open_headers.columns]).join(best, "header")
 
     return run
 
@@ -192,38 +193,50 @@ def options_for_review(decided: DataFrame, schema: TargetSchema, settings: Setti
     )
 
 
-def match_headers(
-    headers: DataFrame,
+def match_columns(
+    catalog: DataFrame,
     schema: TargetSchema,
     settings: Settings = DEFAULT,
     adjudicate: Adjudicator | None = None,
+    samples: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per distinct header with the final mapping decision."""
-    decided = decide(score_headers(headers, schema, settings), settings)
-    review = options_for_review(decided, schema, settings)
+    """Mapping table: one row per (file, header) of the column catalog with the final decision.
+
+    ``samples`` maps open columns (file, header) to (file, header, samples).
+    """
+    decided = decide(score_headers(catalog, schema, settings), settings)
+    review = catalog.select("file", "header").join(options_for_review(decided, schema, settings), "header")
+    none = F.array().cast("array<string>")
+    if samples is not None:
+        review = stage(review, "review")
+        shown = stage(samples(review.select("file", "header")), "samples")
+        review = review.join(shown, ["file", "header"], "left").withColumn("samples", F.coalesce("samples", none))
+    else:
+        review = review.withColumn("samples", none)
     # An answer counts if it is one of the options; of several answers, the best.
     answers = (
         (adjudicate or closest_name(schema))(review)
-        .groupBy("header").agg(F.max_by(F.struct("suggested", "suggested_score"), F.struct("suggested_score", "suggested")).alias("a"))
+        .groupBy("file", "header").agg(F.max_by(F.struct("suggested", "suggested_score"), F.struct("suggested_score", "suggested")).alias("a"))
     )
-    suggested = review.select("header", "options").join(answers, "header").where(
-        F.array_contains("options", F.col("a.suggested"))
-    ).select("header", "a.*")
+    judged = review.join(answers, ["file", "header"], "left").select(
+        "file", "header", "samples", F.when(F.array_contains("options", F.col("a.suggested")), F.col("a")).alias("a")
+    ).select("file", "header", "samples", "a.*")
     ok = F.col("suggested").isNotNull() & (
         F.col("suggested_score") >= per_mille(settings.auto_apply)
     )
     auto = F.col("decision") == "auto_apply"
     unmapped = F.col("decision") == "unmapped_column"
     dropped = unmapped & F.lit(schema.unmapped_policy == "drop")
-    return decided.join(suggested, "header", "left").select(
-        "header",
+    return catalog.join(decided, "header").join(judged, ["file", "header"], "left").select(
+        *catalog.columns,
         "decision",
         F.when(auto, F.col("target_field")).when(ok, F.col("suggested")).alias("target_field"),
         F.when(auto, F.col("method")).when(ok | unmapped, "llm").otherwise("fuzzy").alias("method"),
-        F.when(auto, F.col("confidence"))
-        .when(ok | unmapped, F.coalesce(F.col("suggested_score"), F.lit(0)))
-        .otherwise(F.col("confidence"))
-        .alias("confidence"),
+        as_score(
+            F.when(auto, F.col("confidence"))
+            .when(ok | unmapped, F.coalesce(F.col("suggested_score"), F.lit(0)))
+            .otherwise(F.col("confidence"))
+        ).alias("confidence"),
         F.when(auto | ok, "auto_applied").when(dropped, "rejected").otherwise("escalated").alias("status"),
         F.when(auto & (F.col("method") == "alias"), "exact alias match")
         .when(auto & F.col("low_confidence"), "fuzzy match, low confidence")
@@ -236,20 +249,14 @@ def match_headers(
         F.col("confidence").alias("match_confidence"),
         "candidates",
         "low_confidence",
+        F.coalesce("samples", none).alias("samples"),
     )
 
 
-def match_columns(
-    catalog: DataFrame,
-    schema: TargetSchema,
-    settings: Settings = DEFAULT,
-    adjudicate: Adjudicator | None = None,
-) -> DataFrame:
-    """Mapping table: one row per (file, header) of the column catalog."""
-    decided = match_headers(catalog, schema, settings, adjudicate)
-    return catalog.join(decided, "header").withColumn(
-        "confidence", as_score(F.col("confidence"))
-    )
+def unmapped_report(mappings: DataFrame) -> DataFrame:
+    """Columns that wait for a decision, with what a person needs to see."""
+    return mappings.where(F.col("status") == "escalated").select(
+        "file", "header", F.col("decision").alias("type"), as_score(F.col("match_confidence")).alias("confidence"), "samples")
 
 
 def field_columns(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,40 @@ def column_samples(cells: DataFrame, size: int = DEFAULT.sample_size) -> DataFra
     return cells.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= size)
 
 
+def bottom_values(df: DataFrame, keys: list[str], value: str, size: int = DEFAULT.sample_size) -> DataFrame:
+    """(keys, pos, value): up to ``size`` distinct values per group, those with the smallest digests.
+
+    Which values come out does not depend on order or layout, and samples of parts merge into the sample of
+    the whole. Spark limits the rank in each input partition first, so a group of any size ships ``size``
+    distinct values a partition.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.col(value).cast("binary")), value)
+    return df.where(F.col(value).isNotNull()).select(*keys, value).withColumn("pos", F.dense_rank().over(w)).where(F.col("pos") <= size).distinct()
+
+
+def listed(picked: DataFrame, keys: list[str], value: str = "value", name: str = "samples") -> DataFrame:
+    """The values of a sample as an array in order of ``pos``."""
+    return picked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(name))
+
+
+def open_samples(sources: list[tuple[str, DataFrame]], size: int = DEFAULT.sample_size) -> Callable[[DataFrame], DataFrame]:
+    """A function from columns (file, header) to (file, header, samples); reads those columns only."""
+
+    def run(wanted: DataFrame) -> DataFrame:
+        by_file: dict[str, list[str]] = {}
+        for r in wanted.select("file", "header").distinct().collect():  # headers that wait for a decision
+            by_file.setdefault(r["file"], []).append(r["header"])
+        parts = [
+            long_cells(df.withColumn("file", F.lit(name)), sorted(by_file[name]), ["file", "row_idx"]) for name, df in sources if name in by_file
+        ]
+        if not parts:
+            return wanted.select("file", "header", F.array().cast("array<string>").alias("samples")).limit(0)
+        cells = reduce(DataFrame.unionByName, parts)
+        return listed(column_samples(cells, size), ["file", "column"]).withColumnRenamed("column", "header")
+
+    return run
+
+
 def non_empty_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Non-null count per (file, column): one pass with partial counts."""
     counted = df.groupBy("file").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import as_score
+from .profiling import bottom_values, listed
 
 # Types that close by themselves when their cause is gone.
 RECORD_TYPES = ("value_conflict", "validation_failure", "ambiguous_date", "manager_unresolved")
@@ -32,7 +33,7 @@ def mapping_questions(mappings: DataFrame) -> DataFrame:
     return mappings.where(F.col("status") == "escalated").select(
         *question(
             F.col("decision"), F.concat_ws(":", "file", "header"), F.lit(None), F.lit(None),
-            {"source_column": F.col("header"), "file": F.col("file")},
+            {"source_column": F.col("header"), "file": F.col("file"), "samples": F.array_join("samples", "|")},
             as_score(F.col("match_confidence")),
         )
     )
@@ -77,8 +78,8 @@ def lookup_questions(records: DataFrame, lookup_field: str) -> DataFrame:
 
 
 def date_samples(pending: DataFrame) -> DataFrame:
-    """Distinct raw samples per field: the long form of a roll-up of any size."""
-    return pending.select("field", "raw").distinct()
+    """(field, pos, raw): a few distinct raw samples per field, however many values wait."""
+    return bottom_values(pending, ["field"], "raw")
 
 
 def date_options(pending: DataFrame) -> DataFrame:
@@ -90,8 +91,9 @@ def date_options(pending: DataFrame) -> DataFrame:
 
 
 def date_rollup(pending: DataFrame) -> DataFrame:
-    """One row per field: distinct samples and formats on offer."""
-    samples = date_samples(pending).groupBy("field").agg(F.count("*").alias("samples"), F.min("raw").alias("example"))
+    """One row per field: how many distinct values wait, some of them, and the formats on offer."""
+    counts = pending.select("field", "raw").distinct().groupBy("field").agg(F.count("*").alias("waiting"))
+    samples = counts.join(listed(date_samples(pending), ["field"], "raw"), "field").withColumn("samples", F.array_join("samples", "|"))
     options = date_options(pending).groupBy("field").agg(
         F.count("*").alias("options"), F.array_join(F.array_sort(F.collect_set("format")), ",").alias("formats")
     )
@@ -103,7 +105,7 @@ def date_questions(pending: DataFrame) -> DataFrame:
     return date_rollup(pending).select(
         *question(
             F.lit("ambiguous_date"), F.col("field"), F.lit(None), F.col("field"),
-            {"field": F.col("field"), "samples": F.col("samples"), "example": F.col("example"), "formats": F.col("formats")},
+            {"field": F.col("field"), "waiting": F.col("waiting"), "samples": F.col("samples"), "formats": F.col("formats")},
             F.lit(0.0),
         )
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..operators import cleaning, dates, decisions as dec, entities, lookup, matching, questions as q
-from ..operators import survivorship, trail, validation
+from ..operators import profiling, survivorship, trail, validation
 from ..schema import TargetSchema
 from ..session import stage
 from ..sources import many, readers
@@ -315,7 +315,7 @@ def run(
 ) -> Build:
     """A run from raw exports: match the columns, then consolidate the rows."""
     catalog = readers.column_catalog(readers.source_catalog(sources))
-    mappings = matching.match_columns(catalog, schema, settings, adjudicate)
+    mappings = matching.match_columns(catalog, schema, settings, adjudicate, profiling.open_samples(sources, settings.sample_size))
     if decisions is not None:
         mappings = dec.apply_mapping_decisions(mappings, decisions, schema)
     mappings = stage(mappings, "mappings")
@@ -334,7 +334,8 @@ def run_files(
 ) -> Build:
     """A run over all CSV exports under a path, however many: one scan, one plan."""
     exports = many.read_exports(spark, path)
-    mappings = matching.match_columns(readers.column_catalog(exports.catalog), schema, settings, adjudicate)
+    columns = readers.column_catalog(exports.catalog)
+    mappings = matching.match_columns(columns, schema, settings, adjudicate, many.open_samples(exports, columns, settings.sample_size))
     if decisions is not None:
         mappings = dec.apply_mapping_decisions(mappings, decisions, schema)
     mappings = stage(mappings, "mappings")

@@ -6,11 +6,13 @@ rows; so the plan of a run over ten thousand files is that of a run over three.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.profiling import column_samples, listed
 from ..schema import TargetSchema
 from ..session import stage
 from .readers import NULL_TOKENS, ODD, csv_rows, dense_index
@@ -73,6 +75,20 @@ def read_exports(spark: SparkSession, path: str, name: str = "[^/]+$") -> Export
     return Exports(out, stage(catalog, "catalog"))
 
 
+def open_samples(exports: Exports, columns: DataFrame, size: int) -> Callable[[DataFrame], DataFrame]:
+    """A function from columns (file, header) to (file, header, samples); only their cells are taken apart."""
+
+    def run(wanted: DataFrame) -> DataFrame:
+        places = columns.join(wanted.distinct(), ["file", "header"], "left_semi").groupBy("file").agg(
+            F.collect_list(F.struct("col_ord", "header")).alias("open"))
+        cells = exports.rows.join(places, "file").select("file", "row_idx", "cells", F.explode("open").alias("o")).select(
+            "file", "row_idx", F.col("o.header").alias("column"), F.get("cells", F.col("o.col_ord")).alias("value")
+        ).where(F.col("value").isNotNull())
+        return listed(column_samples(cells, size), ["file", "column"]).withColumnRenamed("column", "header")
+
+    return run
+
+
 def map_exports(exports: Exports, mappings: DataFrame, schema: TargetSchema) -> DataFrame:
     """Rows of all files in target fields. Of several columns for a field, the last that is not null wins."""
     settled = mappings.where(F.col("status").isin("auto_applied", "resolved") & F.col("target_field").isNotNull())
