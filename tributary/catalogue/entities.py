@@ -258,7 +258,7 @@ def values_equivalent(spark, sf_dir):
 def conflicts_of(spark, sf_dir):
     rows = linked(spark, sf_dir)
     kept = stage(S.keep_cells(rows, SCHEMA), "kept")
-    return S.distinct_disagreements(S.disagreements(rows, kept, SCHEMA))
+    return S.distinct_disagreements(S.disagreements(S.distinct_rows(rows, SCHEMA), kept, SCHEMA))
 
 
 @query("value_conflicts", f"WITH RECURSIVE {conflicts_sql()} SELECT entity_id, field, kept_file, kept_value, file, value FROM conflicts")

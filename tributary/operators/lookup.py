@@ -27,7 +27,7 @@ from .keytrie import KeyTrie
 from .matching import per_mille
 
 KEY_BLOCK = 8192
-VALUE_BLOCK = 256
+VALUE_BLOCK = 512
 # Nodes of a level followed in the pass that only finds out what a match must reach.
 BEAM = 32
 MAX_TASKS = 20_000

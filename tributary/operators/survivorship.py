@@ -118,6 +118,17 @@ def _place(c: Column) -> Column:
     return F.struct(c["file_ord"], c["row_idx"])
 
 
+def distinct_rows(linked: DataFrame, schema: TargetSchema) -> DataFrame:
+    """Rows of one entity and file that agree in every field, once: at their first place and, where it differs, their last.
+
+    Exports repeat their rows, so this is a small part of them, and all that the comparison with the survivors
+    depends on: a value's first place in a file, and whether it also comes after the survivor of its field.
+    """
+    places = F.array_distinct(F.array(F.min("row_idx"), F.max("row_idx")))
+    once = linked.groupBy("entity_id", "file", "file_ord", *schema.names).agg(places.alias("places"))
+    return once.select("entity_id", "file", "file_ord", F.explode("places").alias("row_idx"), *schema.names)
+
+
 def disagreements(
     linked: DataFrame,
     kept: DataFrame,

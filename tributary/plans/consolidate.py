@@ -222,7 +222,8 @@ def open_conflicts(
     edits: DataFrame | None,
 ) -> DataFrame:
     """Distinct contradictions that no decision has settled, with the record's key."""
-    found = survivorship.distinct_disagreements(survivorship.disagreements(linked, kept, schema, forced))
+    found = survivorship.distinct_disagreements(
+        survivorship.disagreements(survivorship.distinct_rows(linked, schema), kept, schema, forced))
     if edits is not None:
         found = found.join(edits.select("entity_id", "field"), ["entity_id", "field"], "left_anti")
     keys = survivorship.merged_records(kept, schema).select("entity_id", entities.natural_key(schema).alias("natural_key"))
