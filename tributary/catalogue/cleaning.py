@@ -102,11 +102,11 @@ def change_sql() -> str:
         t = tidy(f)
         parts.append(
             f"SELECT natural_key, '{f}' AS field, {f} AS before, {t} AS after, CASE WHEN {sq(f)} <> {f} AND {t} <> {sq(f)} THEN "
-            f"'trimmed whitespace and normalized casing' WHEN {t} <> {sq(f)} THEN 'casing normalized' ELSE "
-            f"'trimmed whitespace/collapsed spacing' END AS reason FROM named WHERE {t} <> {f}"
+            f"'{C.REASONS["both"]}' WHEN {t} <> {sq(f)} THEN '{C.REASONS["cased"]}' ELSE "
+            f"'{C.REASONS["spaced"]}' END AS reason FROM named WHERE {t} <> {f}"
         )
-        reason = {"employment_status": "enum normalization", "phone": "phone normalized", "salary": "stripped thousands separators"}.get(f)
-        reason = "date normalized to ISO" if f in DATE_FIELDS else "auto-fixed email casing/spacing" if f in EMAIL_FIELDS else reason
+        reason = {"employment_status": C.REASONS["enum"], "phone": C.REASONS["phone"], "salary": C.REASONS["number"]}.get(f)
+        reason = C.REASONS["iso"] if f in DATE_FIELDS else C.REASONS["email"] if f in EMAIL_FIELDS else reason
         if reason:
             parts.append(f"SELECT natural_key, '{f}', {t}, {cleaned(f)}, '{reason}' FROM named WHERE {cleaned(f)} <> {t}")
     return " UNION ALL ".join(parts)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from ..plans.exports import FIELDS, rows_sql
-
-DATE_FIELDS = ["date_of_joining", "date_of_birth"]
-EMAIL_FIELDS = ["email", "manager_email"]
-TITLED = ["job_title", "department", "location"]
+from ..schema import employee_schema
+from ..sources.readers import NULL_TOKENS
+
+SCHEMA = employee_schema()
+DATE_FIELDS = SCHEMA.of_type("date")
+EMAIL_FIELDS = SCHEMA.of_type("email")
+TITLED = list(SCHEMA.title_case_fields)
+# What an address and a number look like.
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NUMBER_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-TOKENS = (
-    "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
-    "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
-)
+TOKENS = ", ".join(f"'{t}'" for t in NULL_TOKENS)
 
 
 def sq(x: str) -> str:

@@ -19,6 +19,18 @@ from ..functions.text import (
 )
 from ..schema import Field, TargetSchema
 
+# Reasons of changes, as they stand in the audit trail.
+REASONS = {
+    "both": "trimmed whitespace and normalized casing",
+    "cased": "casing normalized",
+    "spaced": "trimmed whitespace/collapsed spacing",
+    "iso": "date normalized to ISO",
+    "enum": "enum normalization",
+    "phone": "phone normalized",
+    "email": "auto-fixed email casing/spacing",
+    "number": "stripped thousands separators",
+}
+
 
 def change(field: str, before: Column, after: Column, reason: Column | str, when: Column) -> Column:
     return F.when(
@@ -41,9 +53,9 @@ def tidy_reason(before: Column, after: Column) -> Column:
     spaced = squeeze(before) != before
     cased = after != squeeze(before)
     return (
-        F.when(spaced & cased, "trimmed whitespace and normalized casing")
-        .when(cased, "casing normalized")
-        .otherwise("trimmed whitespace/collapsed spacing")
+        F.when(spaced & cased, REASONS["both"])
+        .when(cased, REASONS["cased"])
+        .otherwise(REASONS["spaced"])
     )
 
 
@@ -64,7 +76,7 @@ def iso_date(field: Field, value: Column, forced: dict[str, str]) -> Column:
 
 def date_reason(field: Field, forced: dict[str, str]) -> str:
     label = forced.get(field.name)
-    return f"date normalized via decided format {label}" if label else "date normalized to ISO"
+    return f"date normalized via decided format {label}" if label else REASONS["iso"]
 
 
 def is_ambiguous(field: Field, value: Column, forced: dict[str, str]) -> Column:
@@ -136,7 +148,7 @@ def clean_records(
     df = step(
         df, "enum", [f for f in every if schema.variants.get(f.name)],
         lambda f, v: F.when(_filled(v), canonical(f, v, schema)).otherwise(v),
-        lambda f: "enum normalization",
+        lambda f: REASONS["enum"],
     )
     dates = [f for f in every if f.type == "date"]
     pending = F.array_compact(
@@ -162,16 +174,16 @@ def clean_records(
     df = step(
         df, "phone", [f for f in every if f.name in schema.phone_fields],
         lambda f, v: F.when(_filled(v), normal_phone(v)).otherwise(v),
-        lambda f: "phone normalized",
+        lambda f: REASONS["phone"],
     )
     if auto_fix:
         df = step(
             df, "email", [f for f in every if f.type == "email"],
-            lambda f, v: fixed_email(v), lambda f: "auto-fixed email casing/spacing",
+            lambda f, v: fixed_email(v), lambda f: REASONS["email"],
         )
         df = step(
             df, "number", [f for f in every if f.type == "number"],
-            lambda f, v: fixed_number(v), lambda f: "stripped thousands separators",
+            lambda f, v: fixed_number(v), lambda f: REASONS["number"],
         )
     return df.withColumn("changes", F.concat(*[F.col(c) for c in log])).drop(*log)
 
