@@ -181,6 +181,48 @@ def test_toxicity_is_learned_and_held_out(spark):
     assert toxicity.rate(docs.limit(0), marks.limit(0)).count() == 0
 
 
+def plain_points(text, lexicon):
+    words = toxicity.fold(text).split()
+    excused = {j for phrase in lexicon.exceptions for i in range(len(words))
+               if words[i : i + len(phrase.split())] == phrase.split() for j in range(i, i + len(phrase.split()))}
+    hits = [lexicon.weights[w] for i, w in enumerate(words) if w in lexicon.weights and i not in excused]
+    return (sum(hits) / (1 + math.log10(1 + len(words) / 10)) if hits else 0.0), len(hits)
+
+
+def test_toxicity_points_match_a_plain_count():
+    rng = random.Random(15)
+    lexicon = toxicity.Lexicon({"bad": 2.0, "worse": 3.5, "can": 1.0}, ("bad can", "so bad", "can do worse"))
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        text = " ".join(rng.choice(["bad", "worse", "can", "so", "do", "badly", "x", "B4D"]) for _ in range(rng.randint(0, 30)))
+        got, want = toxicity.points(text, automaton), plain_points(text, lexicon)
+        assert got[1] == want[1] and got[0] == pytest.approx(want[0])
+    assert toxicity.points("so bad can do worse " * 50_000, automaton)[1] == 0
+
+
+def test_toxicity_knows_whole_words_and_exceptions(spark):
+    rng = random.Random(16)
+    insults, texts, labels = ["pathetic", "worthless", "clown", "stupid", "disgusting", "scum", "idiot", "gromp"], [], []
+    for i in range(1200):
+        words = prose(rng, rng.randint(15, 150)).split()
+        if i % 8 == 0:
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words)), rng.choice(insults))
+        elif i % 40 == 1:
+            words.insert(rng.randrange(len(words)), "gromp fish")
+        texts.append(" ".join(words))
+        labels.append((i, int(i % 8 == 0)))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    clean = ["It is worth following the path.", "A worthy path of stupendous worth.", "We saw a gromp fish.",
+             "The pathologist thought the pathway was worthwhile.", "Scummy is no word here, nor is clownfish or idiotic grammar."]
+    foul = ["you are an idiot", "What a GR0MP!", "those worthless clowns went home"]
+    docs = frame(spark, [*texts, *clean, *foul])
+    got = {r.doc_id: r for r in toxicity.rate(docs, marks).collect()}
+    assert [got[1200 + i].predicted for i in range(len(clean) + len(foul))] == [0] * len(clean) + [1] * len(foul)
+    alarms = sum(got[i].predicted for i, t in labels if not t)
+    assert alarms <= 0.01 * len(labels) and sum(got[i].predicted for i, t in labels if t) >= 0.98 * 150
+
+
 # ------------------------------------------------------------------ 5: near duplicates
 def plain_classes(texts, p=neardup.NearDup()):
     def shingles(text):
