@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -165,6 +166,41 @@ def test_weak_secrets_are_linked_over_their_whole_scope(spark):
     }
 
 
+def plain_linked(text):
+    """Spans of kind 3 to 5 whose scope holds the roles they need."""
+    cuts = [0, *(m.end() for m in re.finditer(secrets.BLANK, text, re.A)), len(text) + 1]
+    found = plain_base(text)
+    for kind in secrets.WEAK:
+        for m in re.finditer(secrets.PATTERNS[kind], text):
+            value = m[2] if kind in secrets.LEAST else m[0]
+            classes = sum(bool(re.search(x, value)) for x in ("[0-9]", "[A-Z]", "[a-z]"))
+            if kind == "ident" and len(value) >= 3 or kind == "endpoint" or (
+                kind == "opaque" and classes >= 2 and not re.fullmatch("[0-9a-f]+", value)):
+                found.append((m.start(), secrets.KINDS.index(kind), m.end()))
+    role = lambda k: secrets.ROLE[secrets.KINDS[k]]
+    return sorted(
+        p for p in found if p[1] < 3 or any(
+            low <= p[0] < high and set(secrets.WEAK[secrets.KINDS[p[1]]]) <= {role(k) for s, k, _ in found if low <= s < high}
+            for low, high in zip(cuts, cuts[1:])
+        )
+    )
+
+
+def test_linked_secrets_match_brute_force(spark):
+    rng = random.Random(8)
+    pieces = ["user: bob", "client_id=ab9", "password=hunter22", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "aB3" * 12, "https://x.org/y",
+              "word", "é ß", "filler " * 90, "login: ab"]
+    ends = [" ", " ", "\n", "\n\n", "\r\n\r\n", "\n \t\n", "\r\n  \r\n", "\n\n\n\n"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    texts += [f"user: bob\r\n\r\n{'aB3' * 20}", f"user: bob\n \n{'aB3' * 20}", "".join(f"user: bob{i} token=abcdef{i}\n" for i in range(3000))]
+    rows = [(i, t, "en", "s", 1, "", "", "") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0], (None, texts[3], *rows[0][2:])], SCHEMA).repartition(4)
+    out = secrets.scan_secrets(df).collect()
+    assert len(out) == len(texts) + 2
+    for r in out:
+        assert r.spans == listed(plain_linked(texts[3 if r.doc_id is None else r.doc_id])), r.doc_id
+
+
 def test_licenses(spark):
     mit = dict(licenses.TEXTS)["MIT"]
     shouted = mit.replace("<year> <holder>", "1999 Somebody Else, Inc.").upper().replace("LICENSE", "Licence").replace(",", " ;")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -37,93 +37,135 @@ ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "name
 WEAK = {"ident": ("secret",), "opaque": ("name",), "endpoint": ("name", "secret")}
 
 
-def _found(text: Column, kind: str) -> dict[str, Column]:
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    columns = {f"_m_{kind}": found}
-    if kind in LEAST:
-        columns[f"_v_{kind}"] = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(2))
-    return columns
+SPAN = "array<struct<s:int,k:int,e:int>>"
+# Scopes end at lines of nothing but white space, with any line ends.
+BLANK = r"\r?\n[\x20\t\x0b\f\r]*\n\s*"
+# Code points of a text that share a bin of the interval join.
+BIN = 512
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _kept(kind: str) -> Column:
-    """Whether the i-th match counts."""
-    order = KINDS.index(kind)
+def _total(values: Column, low: Column, high: Column) -> Column:
+    """Sum of values[low] to values[high - 1]."""
+    places = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(0), lambda a, i: a + F.get(values, i))
 
-    def test(m: Column, i: Column) -> Column:
-        if kind in LEAST:
-            return F.char_length(F.get(F.col(f"_v_{kind}"), i)) >= LEAST[kind]
-        if kind == "opaque":  # letters of one case, a number or a hex run are no opaque value
-            classes = [m.rlike(x).cast("int") for x in ("[0-9]", "[A-Z]", "[a-z]")]
-            return (reduce(lambda a, b: a + b, classes) >= 2) & ~m.rlike("^[0-9a-f]+$")
-        return F.lit(True)
 
-    found, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("spans"))
+def _places(text: Column, pattern: str, group: int = 0) -> Column:
+    """Spans (s, e, value) of a pattern's matches in code points, in text order.
+
+    Matches lie between the pieces that splitting by the pattern leaves, so running sums of
+    lengths give the places. Sums are kept for stretches of about the root of the number
+    of matches, so no array grows by one match at a time. Texts without a match are not split.
+    """
+
+    def spans(found: Column, values: Column, gaps: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(found) - 1)
+        lengths = F.transform(every, lambda i: F.char_length(F.get(gaps, i)) + F.char_length(F.get(found, i)))
+        size = F.ceil(F.sqrt(F.size(found))).cast("int")
+
+        def with_lengths(n: Column) -> Column:
+            stretches = F.sequence(F.lit(0), ((F.size(n) - 1) / size).cast("int"))
+            sums = F.transform(stretches, lambda b: _total(n, b * size, F.least((b + 1) * size, F.size(n))))
+            return _let(sums, lambda t: _let(
+                F.transform(stretches, lambda b: _total(t, F.lit(0), b)), lambda before: F.transform(every, at(n, before))
+            ))
+
+        def at(n: Column, before: Column) -> Callable[[Column], Column]:
+            def span(i: Column) -> Column:
+                block = (i / size).cast("int")
+                end = F.get(before, block) + _total(n, block * size, i + 1)
+                return _let(end, lambda e: F.struct(
+                    (e - F.char_length(F.get(found, i))).cast("int").alias("s"), e.cast("int").alias("e"), F.get(values, i).alias("v")
+                ))
+            return span
+
+        return _let(lengths, with_lengths)
+
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    matched = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    return _let(matched(0), lambda found: F.when(
+        F.size(found) > 0,
+        _let(matched(group) if group else found, lambda values: _let(
+            F.split(text, pattern, -1), lambda gaps: spans(found, values, gaps)
+        )),
+    ).otherwise(none))
+
+
+def _counts(kind: str, value: Column) -> Column:
+    """Whether a match of a kind counts, by its value."""
+    if kind in LEAST:
+        return F.char_length(value) >= LEAST[kind]
+    if kind == "opaque":  # letters of one case, a number or a hex run are no opaque value
+        classes = [value.rlike(x).cast("int") for x in ("[0-9]", "[A-Z]", "[a-z]")]
+        return (reduce(lambda a, b: a + b, classes) >= 2) & ~value.rlike("^[0-9a-f]+$")
+    return F.lit(True)
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(found, i)
-        s = acc["at"] + F.char_length(F.get(gaps, i))
-        e = s + F.char_length(m)
-        span = F.array(F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(test(m, i), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["spans"]
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+def _parts(text: Column, kind: str) -> Column:
+    kept = F.filter(_places(text, PATTERNS[kind], 2 if kind in LEAST else 0), lambda p: _counts(kind, p["v"]))
+    order = F.lit(KINDS.index(kind))
+    return F.transform(kept, lambda p: F.struct(p["s"].alias("s"), order.alias("k"), p["e"].alias("e")))
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's hash and its parts (s, k, e, scope) in code points, sorted.
+    """doc_id, the text's hash, its parts (s, k, e) in code points, sorted, and its scopes (s, e).
 
-    Matches of a pattern lie between the pieces that splitting by it leaves, so running
-    lengths give the places. Texts without a match of a kind are not split.
+    Only texts with weak parts have scopes. They lie between blank lines and cover the text.
     """
     text = F.col("_text")
     rows = docs.select("doc_id", text_or_empty().alias("_text"))
-    rows = rows.withColumns(reduce(lambda a, k: a | _found(text, k), KINDS, {}))
-    rows = rows.withColumns(
-        {f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in KINDS}
-    )
-    rows = rows.withColumns({f"_s_{k}": _kept(k) for k in KINDS})
-    rows = rows.withColumn("_parts", F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS])))
-    weak = F.exists("_parts", lambda p: p["k"] >= len(BASE))
-    scope = lambda p: F.size(F.split(F.left(text, p["s"]), "\n\n"))
-    scoped = F.transform(
-        "_parts", lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e"), scope(p).alias("scope"))
-    )
-    flat = F.transform(
-        "_parts", lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e"), F.lit(0).alias("scope"))
-    )
+    rows = rows.withColumns({f"_s_{k}": _parts(text, k) for k in KINDS})
+    rows = rows.withColumn("_weak", reduce(lambda a, b: a | b, [F.size(f"_s_{k}") > 0 for k in WEAK]))
+    blanks = F.when(F.col("_weak"), _places(text, BLANK))
+    bounds = _let(F.concat(F.array(F.lit(0)), F.transform(blanks, lambda p: p["e"]), F.array(F.char_length(text) + 1)), lambda at: (
+        F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.struct(
+            F.get(at, i).alias("s"), F.get(at, i + 1).alias("e")
+        ))
+    ))
     return rows.select(
-        "doc_id", F.xxhash64("_text").alias("text_hash"), F.when(weak, scoped).otherwise(flat).alias("parts"),
-        weak.alias("weak"),
+        "doc_id", F.xxhash64("_text").alias("text_hash"),
+        F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS])).cast(SPAN).alias("parts"),
+        F.when(F.col("_weak"), bounds).alias("scopes"), F.col("_weak").alias("weak"),
     )
 
 
 def link(found: DataFrame) -> DataFrame:
     """Weak parts with all the roles they need in their scope.
 
-    A scope is a paragraph, whatever its length. The roles of a scope are found by a window
-    over its parts, so no pair is made, however many parts there are.
+    Parts are joined to the scopes whose interval holds their start: both are put into
+    bins of the text, a scope into every bin it touches, so a bin of `BIN` code points bounds
+    what meets there. Roles of a scope are then one number, added up on the map side, which
+    goes back to its weak parts. No pair of parts is made, however many a scope holds.
     """
-    each = (
-        found.where("weak")
-        .select("doc_id", "text_hash", F.inline("parts"))
-        .distinct()
-        .withColumn("role", F.element_at(F.create_map(*[
-            F.lit(x) for k, r in ROLE.items() for x in (KINDS.index(k), r)
-        ]), F.col("k")))
+    texts = found.where("weak").select("doc_id", "text_hash", "parts", "scopes").dropDuplicates(["doc_id", "text_hash"])
+    # Two hashes name a text of an id, null ids included.
+    texts = texts.withColumn("id_hash", F.xxhash64("doc_id"))
+    key = ["id_hash", "text_hash"]
+    bits = {"secret": 1, "name": 2, "place": 4}
+    role = F.element_at(F.array(*[F.lit(bits[ROLE[k]]) for k in KINDS]), F.col("k") + 1)
+    each = texts.select("doc_id", *key, F.inline("parts")).select(
+        "*", role.alias("role"), (F.col("s") / BIN).cast("int").alias("bin")
+    )
+    scopes = texts.select(*key, F.inline("scopes")).select(
+        *key, F.col("s").alias("from"), F.col("e").alias("to"),
+        F.explode(F.sequence((F.col("s") / BIN).cast("int"), ((F.col("e") - 1) / BIN).cast("int"))).alias("bin"),
     )
-    scope = W.partitionBy("doc_id", "text_hash", "scope")
-    for role in ("secret", "name", "place"):
-        each = each.withColumn(f"has_{role}", F.max(F.col("role") == role).over(scope))
+    placed = each.join(scopes, [*key, "bin"]).where("s >= from AND s < to")
+    roles = placed.groupBy(*key, "from").agg(F.bit_or("role").alias("roles"))
     complete = reduce(
         lambda a, b: a | b,
         [
-            (F.col("k") == KINDS.index(kind)) & reduce(lambda a, b: a & b, [F.col(f"has_{r}") for r in roles])
-            for kind, roles in WEAK.items()
+            (F.col("k") == KINDS.index(kind)) & (F.col("roles").bitwiseAND(sum(bits[r] for r in needs)) == sum(bits[r] for r in needs))
+            for kind, needs in WEAK.items()
         ],
     )
-    return each.where(complete).select("doc_id", "text_hash", "s", "k", "e")
+    weak = placed.where(F.col("k") >= len(BASE))
+    return weak.join(roles, [*key, "from"]).where(complete).select("doc_id", "text_hash", "s", "k", "e")
 
 
 def _listed(spans: Column) -> Column:
@@ -140,7 +182,6 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     besides doc_id and text are not read.
     """
     found = stage(parts(docs), "parts")
-    span = "array<struct<s:int,k:int,e:int>>"
     added = (
         link(found)
         .groupBy("doc_id", "text_hash")
@@ -150,12 +191,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     rows = found.join(
         added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left"
     )
-    base = F.filter(F.col("parts"), lambda p: p["k"] < len(BASE)).cast(
-        "array<struct<s:int,k:int,e:int,scope:int>>"
-    )
-    plain = F.transform(base, lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["e"].alias("e")))
-    rows = rows.withColumn("base", plain).withColumn(
-        "every", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(span))))
+    rows = rows.withColumn("base", F.filter("parts", lambda p: p["k"] < len(BASE))).withColumn(
+        "every", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
     )
     count = lambda k: F.size(F.filter("base", lambda p: p["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return rows.select(
