@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -326,6 +327,32 @@ def test_pages_without_article_keep_what_is_beside_the_container():
     assert pages.extract(f"<div>Short note</div><article>{long}</article>").split("\n\n") == body
 
 
+def test_pages_wrapped_by_what_is_mostly_outside():
+    body = [f"Prose number {i}, which is of some length and ends here." for i in range(6)]
+    inner = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in body)
+    want = ["Title", *body]
+    for page in (
+        f"<body><form id=aspnetForm><input name=q><div>{inner}</div><button>Go</button></form></body>",
+        f"<body><div class='page-sidebar-left'><div>{inner}</div><div class='sidebar'><p>{body[0] * 9}</p></div></div></body>",
+        f"<article><header><h1>Title</h1></header>{''.join(f'<p>{x}</p>' for x in body)}</article>",
+        f"<div>{inner}</div><form><p>{body[0]}</p></form><div class=comment-list>{'<p>' + body[1] * 99}</p></div>",
+        f"<article>{inner}</article><form><p>{body[0] * 99}</p></form>",
+    ):
+        assert pages.extract(page).split("\n\n") == want, page
+    assert pages.extract(f'<article>{inner}<p><a title="x>link</a> after</p></article>').split("\n\n") == [*want, "link after"]
+    assert pages.extract(f"<article>{inner}<p><a title='a > b' rel=\"c\">link</a> after</p></article>").endswith("link after")
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "x", "<div>" * 50_000 + "</section>" * 50_000 + "x", "<div><p>a, b</p>" * 50_000 + "x",
+    "<li>" * 50_000 + "<td>" * 50_000 + "x", '<a title="y>' * 50_000 + "x", "<b>" * 50_000 + "<p>x" * 50_000,
+])
+def test_long_pages_take_time_in_proportion(page):
+    started = time.monotonic()
+    assert pages.extract(page).endswith("x")
+    assert time.monotonic() - started < 20
+
+
 def test_pages_nested_deeply():
     for tag in ("div", "span", "font", "a", "b"):
         assert pages.extract(f"<p>Head.</p>{f'<{tag}>' * 5000}deep text").split("\n\n")[-1] == "deep text"

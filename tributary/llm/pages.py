@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +15,8 @@ from .common import map_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</\s*([a-zA-Z][^\s/>]*)[^>]*>?|"
-    r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    # A quote that nothing closes before a space or the tag's end is no quote: such a tag ends at its first `>`.
+    r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|$)|'[^']*'(?=[\s/>]|$))*)(?:>|$)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -35,7 +37,7 @@ CLOSES = {
 }
 KEEPS_P = INLINE | {"script", "style", "template", "input", "button", "select", "object", "video", "audio", "option"}
 # Elements that are no part of an article, roles and names of the same kind.
-OUTSIDE = set("head nav header footer aside form button select dialog menu input fieldset object canvas audio video datalist".split()) | RAW
+OUTSIDE = set("head nav header footer aside button select dialog menu input object canvas audio video datalist".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promotion sidebar menu nav navbar navigation "
@@ -44,10 +46,15 @@ NAMES = set(
     "signup login widget pagination pager toolbar".split()
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | {"p", "li", "pre", "tr"}
 # These may also name a part of an article, beside one of `CONTENT`.
 WEAK = set("header banner promo side foot notice notices notification alert social search reply toc skip legal disclaimer".split())
 CONTENT = set("article main content post entry story".split())
 WRAPS = set("wrap wrapper container layout grid page".split())
+# Elements and parts of compound names that a page may also put around all it has: what they hold decides.
+FRAMES = set("form fieldset".split())
+LAYOUT = set("sidebar menu nav navbar navigation toolbar widget header side ad ads popup modal overlay share social search notice".split())
+SHARE = 2 / 3
 _STATE = re.compile(r"(?:has|with|no|without|is|show|hide)[-_]")
 
 
@@ -56,8 +63,9 @@ class Node:
     tag: str
     parent: Node | None = None
     outside: bool = False
+    doubtful: bool = False
     children: list[Node | str] = field(default_factory=list)
-    words: str = ""
+    points: float = 0.0
     score: float = 0.0
     has_block: bool = False
 
@@ -66,76 +74,139 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _outside(tag: str, attributes: dict[str, str]) -> bool:
+def _outside(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether what it holds may say otherwise."""
     if tag in OUTSIDE:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named, doubtful = _named_outside(attributes)
+    return named or tag in FRAMES, not named and tag in FRAMES or doubtful
+
+
+def _named_outside(attributes: dict[str, str]) -> tuple[bool, bool]:
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
+        return True, False
+    found = False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = {x.lower() for x in [name, *_NAME.findall(name)]}
         content = parts & CONTENT
         if _STATE.match(name) or content and parts & WRAPS:
             continue
-        if parts & NAMES or parts & WEAK and not content:
-            return True
-    return False
+        hits = parts & NAMES or (parts & WEAK if not content else set())
+        if hits and (hits - LAYOUT or name.lower() in hits):
+            return True, False
+        found = found or bool(hits)
+    return found, found
+
+
+class _Open:
+    """Open elements: a stack, and the depths at which each tag and the last blocks are open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag not in INLINE:
+            self.blocks.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Ends everything from a depth on; the root stays open."""
+        while len(self.stack) > max(depth, 1):
+            node = self.stack.pop()
+            self.depths[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.depths.get(tag)
+        return found[-1] if found else -1
+
+    def first_after(self, tag: str, depth: int) -> int | None:
+        found = self.depths.get(tag, [])
+        at = bisect_right(found, depth)
+        return found[at] if at < len(found) else None
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Elements that are left open end where their parent does."""
-    root = current = Node("html")
+    root = Node("html")
+    opened = _Open(root)
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         start = m.start() if m else end
         if start > at:
-            current.children.append(html.unescape(page[at:start]))
+            opened.stack[-1].children.append(html.unescape(page[at:start]))
         if not m:
             break
         at = max(m.end(), start + 1)
         if m[1]:
             name = m[1].lower()
-            node = current
-            while node and node.tag != name:
-                # An inline end tag ends nothing beyond its block.
-                node = None if name in INLINE and node.tag not in INLINE else node.parent
-            if node and node.parent:
-                current = node.parent
-        elif m[2]:
-            name = m[2].lower()
+            depth = opened.last(name)
+            # An inline end tag ends nothing beyond its block.
+            if depth > 0 and (name not in INLINE or depth > opened.blocks[-1]):
+                opened.cut(depth)
+        elif m[2] or m[4]:
+            name, inside = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
             if name == "html":
                 continue
-            if name not in KEEPS_P:
-                node = current
-                while node and node.tag in INLINE | {"p"} and node.tag != "p":
-                    node = node.parent
-                if node and node.tag == "p":
-                    current = node.parent
+            if name not in KEEPS_P and opened.stack[opened.blocks[-1]].tag == "p":
+                opened.cut(opened.blocks[-1])
             if name in CLOSES:
                 ends, stop = CLOSES[name]
-                node, last = current, None
-                while node and node.tag not in stop:
-                    last = node if node.tag in ends else last
-                    node = node.parent
-                if last is not None and last.parent:
-                    current = last.parent
-            attributes = _attributes(m[3]) if m[3].strip() else {}
-            made = Node(name, current, _outside(name, attributes))
+                within = max((opened.last(x) for x in stop), default=-1)
+                first = [d for d in (opened.first_after(x, within) for x in ends) if d is not None]
+                if first:
+                    opened.cut(min(first))
+            attributes = _attributes(inside) if inside.strip() else {}
+            current = opened.stack[-1]
+            made = Node(name, current, *_outside(name, attributes))
+            if name == "header" and current.tag in ("article", "main"):
+                made.outside = False
             current.children.append(made)
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, at)
                 at = close.end() if close else end
                 if close and page[at - 1] != ">":
                     at = page.find(">", at) + 1 or end
-            elif name not in VOID and not m[3].endswith("/") or name in ("p", "div", "span", "a") :
-                current = made
+            elif name not in VOID and not inside.endswith("/") or name in ("p", "div", "span", "a"):
+                opened.push(made)
     return root
 
 
+def _ordered(root: Node) -> list[Node]:
+    """All elements that are not inside one that is certainly no part of an article, parents first."""
+    order = [root]
+    for node in order:
+        order += [x for x in node.children if isinstance(x, Node) and (not x.outside or x.doubtful)]
+    return order
+
+
+def _settle(root: Node) -> None:
+    """Takes doubtful elements in that hold most of the page's prose, unless an article or main element is beside them.
+
+    Prose is text outside of links, in elements with 40 characters of it or more of their own.
+    """
+    order = _ordered(root)
+    if not any(x.doubtful for x in order):
+        return
+    prose, marked = {}, {}
+    for node in reversed(order):
+        own = len(" ".join("".join(x for x in node.children if isinstance(x, str)).split())) if node.tag != "a" else 0
+        below = [x for x in node.children if isinstance(x, Node) and id(x) in prose]
+        prose[id(node)] = (own if own >= 40 else 0) + sum(prose[id(x)] for x in below)
+        marked[id(node)] = (node.tag in ("article", "main") and prose[id(node)] > 0) + sum(marked[id(x)] for x in below)
+    for node in order:
+        if node.doubtful and prose[id(node)] > SHARE * prose[id(root)] and marked[id(node)] == marked[id(root)]:
+            node.outside = False
+
+
 def _mark_blocks(root: Node) -> None:
     """Notes in every element whether it holds a block, from the leaves up."""
     order = [root]
@@ -203,7 +274,7 @@ def extract(page: str | None) -> str:
     """The article's text: blocks joined by an empty line.
 
     A block passes 1 point, 1 for each comma and 1 for each 100 characters up to 3,
-    less its share of links, in full to its parent element and by half, a third and so
+    less its share of links, in full to its parent element and by half, a quarter and so
     on to those above. The element with the most points is the container. It widens to an
     article or main element around it. Its siblings are kept if they have a fifth
     of its points, or if they are paragraphs with few links. Where there is no article or
@@ -213,19 +284,20 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     _mark_blocks(root)
     found = list(blocks(root))
     if not found:
         return ""
-    scored: dict[int, Node] = {}
+    order = _ordered(root)
     for node, text, linked in found:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
-        above, level = node if node.tag not in ("p", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "tr") else node.parent, 1
-        while above is not None:
-            above.score += points / level
-            scored[id(above)] = above
-            above, level = above.parent, level + 1
-    best = max(scored.values(), key=lambda n: n.score)
+        above = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+        above.points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
+    for node in reversed(order):
+        node.score += node.points
+        if node.parent is not None:
+            node.parent.score += node.score / 2
+    best = max(order, key=lambda n: n.score)
     wide = best
     while wide.parent is not None:
         wide = wide.parent
@@ -250,15 +322,13 @@ def extract(page: str | None) -> str:
         if not marked:
             around.add(id(inner))
 
-    def within(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
-        return False
+    taken: set[int] = set()
+    for node in order:
+        if id(node) in kept or node.parent is not None and id(node.parent) in taken:
+            taken.add(id(node))
 
     beside = lambda node, text, linked: id(node) in around and linked < 0.25 * len(text)
-    return "\n\n".join(text for node, text, linked in found if within(node) or beside(node, text, linked))
+    return "\n\n".join(text for node, text, linked in found if id(node) in taken or beside(node, text, linked))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -276,4 +346,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
+    ids = pages.schema["page_id"].dataType.simpleString()
+    return map_batches(pages.select("page_id", "url", "html"), run, f"page_id {ids}, url string, text string, n_chars long")
