@@ -62,3 +62,33 @@ def test_trie_of_repeated_ends_and_long_counts():
     best = {(int(v), trie.texts[p]): int(s) for v, p, s in zip(value, place, score)}
     assert best[(0, "a" * 300)] == round(2000 * 280 / 580) and best[(0, "a" * 299 + "b")] == round(2000 * 280 / 580)
     assert best[(1, "")] == 1000
+
+
+def test_neither_side_is_broadcast(spark, monkeypatch):
+    """Blocks of keys and values meet by a shuffle: what the driver holds does not grow with them."""
+    plans = []
+    kept = L.stage
+
+    def noting(df, name):
+        if name == "matches":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(L, "stage", noting)
+    values = spark.range(50).selectExpr("concat('Customer#', id) AS value")
+    keys = spark.range(500).selectExpr("concat('c', id, '@acme.com') AS key")
+    assert L.top_matches(values, keys).count() == 150
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_texts_that_share_their_ends_or_their_beginnings():
+    """Either way round a text is in a small trie, whatever the others share."""
+    texts = [f"{i}C moc.emca@" for i in range(2000)] + [f"moc.emca@{i}c" for i in range(2000)]
+    trie = KeyTrie(texts)
+    assert sum(len(level.letter) for _, _, part in trie.parts for level in part.levels) < 4 * len(texts)
+    value, place, score, _ = trie.search(["moc.emca@1234c", "4321C"], np.zeros(2, np.int64), 1)
+    best = {}
+    for v, p, s in zip(value.tolist(), place.tolist(), score.tolist()):
+        best[v] = max(best.get(v, (0, "")), (s, trie.texts[p]))
+    assert best[0] == (1000, "moc.emca@1234c")
+    assert best[1][0] == max(round(2000 * naive("4321C", t) / (5 + len(t))) for t in texts)
