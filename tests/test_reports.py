@@ -27,3 +27,7 @@ def lines(spark, tmp_path_factory):
 
 def test_list_records_of_all_runs(spark, lines):
     assert [(r["run_id"], r["record_id"]) for r in reports.list_records(spark, lines).collect()] == [(8, 21), (8, 41)]
+
+
+def test_list_escalations_of_all_runs(spark, lines):
+    assert [(r["run_id"], r["id"]) for r in reports.list_escalations(spark, lines).collect()] == [(7, 11), (8, 21), (8, 41)]
