@@ -31,3 +31,7 @@ def test_list_records_of_all_runs(spark, lines):
 
 def test_list_escalations_of_all_runs(spark, lines):
     assert [(r["run_id"], r["id"]) for r in reports.list_escalations(spark, lines).collect()] == [(7, 11), (8, 21), (8, 41)]
+
+
+def test_audit_log_of_all_runs(spark, lines):
+    assert [(r["run_id"], r["id"]) for r in reports.audit_log(spark, lines).collect()] == [(7, 11), (8, 21), (9, 31), (8, 41)]

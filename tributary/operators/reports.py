@@ -87,7 +87,7 @@ def activity_since(audit: DataFrame, cursor: Column | int, run: int | None = Non
 
 
 def audit_log(audit: DataFrame, run: int | None = None) -> DataFrame:
-    """The whole trail of a run, in order."""
+    """The whole trail, of one run or of all, in order."""
     return of_run(audit, run).orderBy("id")
 
 
