@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 
 from tributary.catalogue import reports
+from tributary.streaming import feeds
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +36,12 @@ def test_list_escalations_of_all_runs(spark, lines):
 
 def test_audit_log_of_all_runs(spark, lines):
     assert [(r["run_id"], r["id"]) for r in reports.audit_log(spark, lines).collect()] == [(7, 11), (8, 21), (9, 31), (8, 41)]
+
+
+def test_audit_of_many_runs_in_few_folders(spark, tmp_path):
+    """Files follow the rows, not the runs; both appends are there."""
+    path = str(tmp_path / "audit")
+    for n in (1, 2):
+        feeds.append_audit(spark.range(500).selectExpr("id AS run_id", f"{n} AS id"), path)
+    assert len([p for p in (tmp_path / "audit").iterdir() if p.is_dir()]) <= feeds.RUN_BUCKETS
+    assert spark.read.parquet(path).groupBy("run_id").count().where("count = 2").count() == 500
