@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import dates as D
 from tributary.functions import text as T
-from tributary.functions.similarity import lcs, token_sort_score
+from tributary.functions.similarity import common_lengths, common_with, lcs, token_sort_score
 
 
 def table_lcs(a: str, b: str) -> int:
@@ -95,3 +95,15 @@ def test_text_functions(spark):
     assert {r["v"]: r["p"] for r in got}["+91-98 (7)+6"] == "+919876"
     assert [r["v"] for r in got if r["e"]] == ["a@b.co"]
     assert [r["v"] for r in got if r["n"]] == ["1,234.50"]
+
+
+def test_common_lengths_of_whole_batches(spark):
+    """Both numpy forms against brute force: texts of any size, beyond one word of state, null and empty."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcAé😀 ", k=rng.choice([0, 1, 5, 62, 63, 64, 130]))) for _ in range(40)]
+    pairs = [(a, rng.choice(words)) for a in words]
+    assert common_lengths(*map(list, zip(*pairs))).tolist() == [table_lcs(a, b) for a, b in pairs]
+    fixed = ["", "ab é", "c" * 70, "A😀b"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate([*words, None])], "i int, w string")
+    got = {r["i"]: r["n"] for r in rows.select("i", common_with(fixed)(F.col("w")).alias("n")).collect()}
+    assert got == {i: [table_lcs(w, t) for t in fixed] for i, w in enumerate(words)} | {len(words): None}
