@@ -15,7 +15,7 @@ def lines(spark, tmp_path_factory):
     """Line items of three runs (suppliers)."""
     path = str(tmp_path_factory.mktemp("lines"))
     rows = [
-        (o, 1, 100 + s, s, 8.0 * (o % 2), flag, "O", date(2020, 1, o))
+        (o, 1, 100 + s, s, float(o % 2), flag, "O", date(2020, 1, o))
         for o, (s, flag) in enumerate([(7, "A"), (8, "A"), (9, "N"), (8, "A")], 1)
     ]
     spark.createDataFrame(
