@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tributary.functions import dates as D
 from tributary.functions import text as T
 from tributary.operators import cleaning as C
 from tributary.operators import validation as V
+from tributary.streaming import queue
 
 
 def plan_of(df) -> str:
@@ -65,3 +67,41 @@ def test_blanks_are_the_same_by_both_classes(spark):
     codes = spark.range(1, 0x10000).where("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     odd = codes.where(F.col("c").rlike(f"^{T.BLANKS}$") != F.col("c").rlike(f"^[{T.BLANK}]$"))
     assert odd.count() == 0 and codes.where(F.col("c").rlike(f"^{T.BLANKS}$")).count() > 20
+
+
+class Held:
+    """State of a group that counts how often it is asked and told."""
+
+    def __init__(self, value=None):
+        self.value, self.asked, self.told = value, 0, 0
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.value, self.told = value, self.told + 1
+
+
+def test_queue_state_is_read_and_written_once_a_group():
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["run_id", *queue.EVENT], dtype=object)
+
+    raised = [(1, 1, "raised", "value_conflict" if i % 2 else "unmapped_column", f"r{i}", None) for i in range(400)]
+    state = Held()
+    first = frame([(1, 1, "built", None, None, None), *raised, raised[7], (1, 2, "resolved", "value_conflict", "r1", "ann"), (1, 2, "resolved", "value_conflict", "none", "ann")])
+    told = pd.concat(queue.advance((1, 3), iter([first[:100], first[100:]]), state))
+    assert len(told) == 402 and (state.asked, state.told) == (0, 1)
+    # r1 opens anew, r3 stays; the other record questions close, those on columns do not.
+    again = frame([(1, 3, "built", None, None, None), (1, 3, "raised", "value_conflict", "r1", None), (1, 3, "raised", "value_conflict", "r3", None)])
+    told = pd.concat(queue.advance((1, 3), iter([again]), state))
+    assert (state.asked, state.told) == (1, 2) and len(told) == 200
+    now = {x[1]: x[2:] for x in zip(*state.value, strict=True)}
+    assert now["r1"] == ("open", None, 3, 2) and now["r3"] == ("open", None, 3, 1)
+    assert now["r5"] == ("resolved", "agent", 1, 1) and now["r2"] == ("open", None, 1, 1)
+    assert list(queue.advance((1, 3), iter([frame([])]), state)) == []
