@@ -279,6 +279,24 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shingle_frequencies_do_not_depend_on_the_layout(spark):
+    p, n = neardup.NearDup(), 6400
+
+    def text(i):
+        # 112 of the first half and 18 of the second: too few there to be told of by a block of their own.
+        return f"one two three four five u{i}" if i % (n // 2) < (112 if i < n // 2 else 18) else f"u{i} v{i}"
+
+    rows = [(i, text(i)) for i in range(n)]
+    weight = p.floor + (1 - p.floor) * math.log(n / 130) / math.log(p.common)
+    for parts, some in ((2, rows), (2, sorted(rows, key=lambda r: r[0] % 97)), (1, rows)):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(some, parts), "doc_id long, text string")
+        values, idf = neardup.common_shingles(docs, p)
+        assert len(values) == 1 and idf[0] == pytest.approx(weight)
+    # A shingle of one document counts too, where there are few of them.
+    few = neardup.common_shingles(spark.createDataFrame([(i, f"u{i}") for i in range(10)], "doc_id long, text string"), p)
+    assert len(few[0]) == 10 and few[1] == pytest.approx(p.floor + (1 - p.floor) * math.log(10) / math.log(p.common))
+
+
 def test_consistent_weighted_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(7)
     values = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -76,54 +76,61 @@ def shingles(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
 def common_shingles(docs: DataFrame, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and IDF factors of the shingles in more than 1/`common` of all documents.
 
-    A shingle that frequent is at least as frequent in some block of documents. Each
-    block of a partition emits what reaches half that share in it, so a count lacks at
-    most a 1/(2 `common`) of the documents; they are summed over all blocks. There are
-    at most `common` times as many such shingles as a document has on average, whatever
-    the number of documents: that bounds what reaches the driver.
+    Frequencies are exact, whatever the files' layout. A first pass names candidates: each block of a
+    partition emits what reaches a share of 1/(2 `common`) in it, so a sum over all blocks lacks at most
+    that share of the documents, and every shingle frequent enough has a sum beyond it. A second pass
+    counts the candidates in all documents. There are at most 2 `common` times as many candidates as a
+    document has shingles on average, whatever the number of documents: that bounds what reaches the driver.
     """
-    size = p.words
+    none, total, size = (np.zeros(0, np.uint64), np.zeros(0)), docs.count(), p.words
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n, total = WordHashes(), [], 0, 0
+    def batch_of(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n, seen = WordHashes(), [], 0, 0
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts * (2 * p.common) > n
-            return pa.RecordBatch.from_arrays(
-                [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)),
-                 pa.array(np.zeros(int(often.sum()), np.int64))], names=["shingle", "n", "docs"],
-            )
+            many = counts * (2 * p.common) > n
+            return batch_of(values[many], counts[many])
 
         for batch in batches:
-            texts = utf8_values(batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([len(texts)], pa.int64())],
-                names=["shingle", "n", "docs"],
-            )
-            for text in texts:
+            for text in utf8_values(batch.column(0)):
                 held.append(np.unique(shingles(words_of(text or b""), hashes, size)))
-                n, total = n + 1, total + len(held[-1])
+                n, seen = n + 1, seen + len(held[-1])
                 # The last block of a partition may be small and emit more; it stays below this size.
-                if n >= 32 * p.common and total >= 1 << 19:
+                if n >= 32 * p.common and seen >= 1 << 19:
                     yield flush()
-                    held, n, total = [], 0, 0
+                    held, n, seen = [], 0, 0
         if held:
             yield flush()
 
-    counted = map_batches(docs.select("text"), count, "shingle long, n long, docs long")
-    sums = counted.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    # One row, the number of documents, has no shingle.
-    sums = stage(sums.where(F.col("shingle").isNull() | (F.col("n") > 1)), "frequencies")
-    total = sums.where("shingle IS NULL").agg(F.sum("docs")).first()[0] or 0
-    rows = sums.where((F.col("n") * p.common > total) & F.col("shingle").isNotNull()).select("shingle", "n")
-    found = rows.toPandas().sort_values("shingle") if total else None
-    if found is None or not len(found):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    values = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    idf = np.log(total / np.minimum(found["n"].to_numpy(), total)) / np.log(p.common)
-    by = np.argsort(values)
-    return values[by], (p.floor + (1 - p.floor) * np.clip(idf, 0, 1))[by]
+    def summed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], share: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles, sorted, and their sums where these are beyond 1/`share` of the documents."""
+        sums = map_batches(docs.select("text"), fn, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        found = sums.where(F.col("n") * share > total).toPandas()
+        values = found["shingle"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(values)
+        return values[by], found["n"].to_numpy(np.int64)[by]
+
+    candidates = summed(often, 2 * p.common)[0] if total else none[0]
+    if not len(candidates):
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, wanted = WordHashes(), shared.value
+        counts = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for text in utf8_values(batch.column(0)):
+                values = np.unique(shingles(words_of(text or b""), hashes, size))
+                at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+                counts[at[wanted[at] == values]] += 1
+        yield batch_of(wanted[counts > 0], counts[counts > 0])
+
+    values, n = summed(exact, p.common)
+    return values, p.floor + (1 - p.floor) * np.log(total / n) / np.log(p.common)
 
 
 def weighted(values: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
