@@ -7,10 +7,14 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tributary.catalogue import delivery as catalogue_delivery
 from tributary.functions import dates as D
 from tributary.functions import text as T
 from tributary.operators import cleaning as C
+from tributary.operators import decisions as DEC
+from tributary.operators import entities as E
 from tributary.operators import validation as V
+from tributary.schema import parse_schema
 from tributary.streaming import queue
 
 
@@ -105,3 +109,70 @@ def test_queue_state_is_read_and_written_once_a_group():
     assert now["r1"] == ("open", None, 3, 2) and now["r3"] == ("open", None, 3, 1)
     assert now["r5"] == ("resolved", "agent", 1, 1) and now["r2"] == ("open", None, 1, 1)
     assert list(queue.advance((1, 3), iter([frame([])]), state)) == []
+
+
+def test_fingerprints_of_rows_do_not_travel_unless_a_decision_names_them(spark):
+    """The keys that decisions name are many, their fingerprints few: rows need no shuffle to find those."""
+    schema = parse_schema({"primary_key": "employee_id", "fields": {"employee_id": "string", "email": "email"}, "match_keys": ["email", "employee_id"]})
+    linked = spark.range(2000).selectExpr(
+        "'hr' AS file", "0 AS file_ord", "id AS row_idx", "CAST(id % 500 AS STRING) AS employee_id",
+        "CASE WHEN id % 3 = 0 THEN 'p' || (id % 500) || '@x.org' END AS email", "'id:' || (id % 500) AS entity_id")
+    wanted = spark.range(20000).selectExpr("'id:' || id AS key").union(
+        spark.createDataFrame([("unmatched:hr:7",), ("email:p9@x.org",), (None,)], "key string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        found = E.entity_keys(linked, schema, wanted)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins, depth = [], {}
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = {k: v for k, v in depth.items() if k < at} | {at: line}
+        if "unmatched" in line:
+            joins += [v for v in depth.values() if "Join" in v]
+    assert joins and all("BroadcastHashJoin" in x for x in joins)
+    rows = {tuple(r) for r in found.collect()}
+    assert rows == {(f"id:{i}", f"id:{i}") for i in range(500)} | {("unmatched:hr:7", "id:7"), ("email:p9@x.org", "id:9")}
+
+
+def test_match_keys_of_a_row_are_worked_out_once(spark):
+    schema = parse_schema({"primary_key": "employee_id", "fields": {"employee_id": "string", "email": "email", "code": "string"},
+                           "match_keys": ["email", "employee_id", "code"]})
+    rows = spark.createDataFrame(
+        [(" A@x.org\n", "E7", "k"), ("a@x.org", "7", " "), (None, "TBD", "k"), ("\u2003", "8", "K "), (None, None, None)],
+        "email string, employee_id string, code string")
+    edges = E.key_edges(rows.repartition(2), schema)
+    assert {tuple(r) for r in edges.collect()} == {("id:7", "email:a@x.org"), ("email:a@x.org", "code:k")} | {("id:8", "code:k")}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 2
+
+
+def test_a_delivery_judges_the_records_of_its_own_runs_only(spark, tmp_path, monkeypatch):
+    lines = spark.range(60).selectExpr(
+        "id AS l_orderkey", "id % 7 AS l_partkey", "id % 9 AS l_suppkey", "CAST(1 AS INT) AS l_linenumber", "1.0D AS l_quantity", "'R' AS l_returnflag")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    judged, rules = [], catalogue_delivery.V.target_rules
+
+    def counted(records, schema):
+        judged.append(records.count())
+        return rules(records, schema)
+
+    monkeypatch.setattr(catalogue_delivery.V, "target_rules", counted)
+    rows = catalogue_delivery.stored_target(spark, str(tmp_path)).collect()
+    early = sum(i % 9 < 5 for i in range(60))
+    assert judged == [early, 60 - early, 60 - early]
+    assert {(r.pk_value, r.version) for r in rows} == {(f"E{p}", max(i for i in range(60) if i % 7 == p) * 10 + 1) for p in range(1, 7)}
+
+
+def test_decisions_are_not_sent_whole_to_every_task(spark):
+    schema = parse_schema({"primary_key": "employee_id", "fields": {"employee_id": "string", "email": "email"}, "match_keys": ["employee_id"]})
+    given = spark.createDataFrame(
+        [(1, "value_conflict", "id:1", "email", "correct", "a@x.org"), (2, "value_conflict", "id:1", "email", "correct", "b@x.org"),
+         (3, "value_conflict", "id:9", "email", "correct", "c@x.org")],
+        "decision_id bigint, type string, key string, field string, action string, value string")
+    keys = spark.createDataFrame([("id:1", "e1"), ("id:2", "e2")], "key string, entity_id string")
+    edits = DEC.record_edits(given, keys, schema)
+    assert "Broadcast" not in edits._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in edits.collect()] == [("e1", "email", True, "b@x.org", False)]
