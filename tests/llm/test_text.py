@@ -112,6 +112,58 @@ def test_raking_meets_the_marginals(spark):
     assert sum(r.n * r.p for r in raked) == pytest.approx(0.3 * total, rel=0.01) and all(0 <= r.p <= 1 for r in raked)
 
 
+def plain_rake(cells, mix):
+    """{(source, lang, topic): ratio} for {(source, lang, topic): n}, with tempered shares."""
+    total = lambda i, v, by: sum(n * by[k] for k, n in cells.items() if k[i] == v)
+    ones, ratio = dict.fromkeys(cells, 1.0), dict.fromkeys(cells, 1 / sum(cells.values()))
+    lifts = [{v: total(i, v, ones) ** mix.temper for v in sorted({k[i] for k in cells})} for i in range(3)]
+    for _ in range(mix.sweeps):
+        miss = dict.fromkeys(cells, 0.0)
+        for i in range(3):
+            sums = {v: total(i, v, ratio) for v in lifts[i]}
+            by = {v: lifts[i][v] / sum(lifts[i].values()) / sums[v] if sums[v] > 0 else 0.0 for v in sums}
+            ratio = {k: r * by[k[i]] for k, r in ratio.items()}
+            miss = {k: max(m, abs(by[k[i]] - 1)) for k, m in miss.items()}
+        if max(m for k, m in miss.items() if cells[k] and ratio[k]) <= mix.tolerance:
+            break
+    return ratio
+
+
+def test_raking_is_plain_fitting_in_plans_that_do_not_nest(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = {(f"s{rng.randint(0, 9)}", f"l{rng.randint(0, 4)}", "abc"[i % 3]): rng.randint(1, 500) for i in range(90)}
+    rows |= {("s0", "l9", "a"): 0, ("s8", "l0", "b"): 0}
+    cells = spark.createDataFrame([(*k, n) for k, n in rows.items()], "_m_source string, _m_lang string, _m_topic string, n long")
+    joins, staged = [], mixing.stage
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return staged(df, name)
+
+    monkeypatch.setattr(mixing, "stage", counted)
+    for mix in (mixing.Mixture(), mixing.Mixture(temper=0.3, sweeps=2, tolerance=0.0), mixing.Mixture(sweeps=0)):
+        joins.clear()
+        got = mixing.rake(cells, mix)
+        assert sorted(got.columns) == ["_m_lang", "_m_source", "_m_topic", "n", "ratio"]
+        got, want = {tuple(r[f"_m_{a}"] for a in mixing.AXES): r for r in got.collect()}, plain_rake(rows, mix)
+        assert {k: r.n for k, r in got.items()} == rows
+        for k, r in got.items():
+            assert r.ratio == pytest.approx(want[k], rel=1e-9), k
+        # Three joins bring the shares, then a step is one join with its factors, however many steps went before.
+        assert joins[0] <= 3 and max(joins[1:], default=0) <= 1, joins
+
+
+def test_marginals_sum_what_is_expected(spark):
+    rows = [("s0", "en", "a", 100, 0.5), ("s0", "de", "a", 50, 2.0), ("s1", "en", "b", 30, 0.0), (None, "en", "b", 20, 1.0)]
+    cells = spark.createDataFrame(rows, "_m_source string, _m_lang string, _m_topic string, n long, p double")
+    mix = mixing.Mixture({"lang": {"en": 0.25}})
+    got = {(r.axis, r.value): r for r in mixing.marginals(cells, mix).collect()}
+    assert set(got) == {("source", "s0"), ("source", "s1"), ("lang", "en"), ("lang", "de"), ("topic", "a"), ("topic", "b")}
+    for k, expected in {("source", "s0"): 150, ("source", "s1"): 0, ("lang", "en"): 70, ("topic", "b"): 20}.items():
+        assert got[k].expected == pytest.approx(expected / 170), k
+    assert got["lang", "en"].wanted == 0.25 and got["lang", "de"].unmet == pytest.approx(0.75 - 100 / 170)
+
+
 def test_mixing_samples_by_its_chances(spark):
     rng = random.Random(4)
     docs = frame(spark, [*[prose(rng, 30) for _ in range(1500)], "", None])

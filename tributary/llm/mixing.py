@@ -61,10 +61,13 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_m_topic", topic(F.char_length(text), F.col("_m_marks"))).drop("_m_marks")
 
 
-def targets(cells: DataFrame, axis: str, mix: Mixture) -> DataFrame:
-    """(value of the axis, share): shares given, the rest tempered; they add to 1."""
+def targets(cells: DataFrame, axis: str, mix: Mixture, *more: Column) -> DataFrame:
+    """(value of the axis, share): shares given, the rest tempered; they add to 1.
+
+    `more` are further sums over a value's cells, as columns between the two.
+    """
     a = f"_m_{axis}"
-    sums = cells.groupBy(a).agg(F.sum("n").alias("n"))
+    sums = cells.groupBy(a).agg(F.sum("n").alias("n"), *more)
     given = mix.shares.get(axis, {})
     known = F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, float(v))]) if given else None
     fixed = F.element_at(known, F.col(a)) if given else F.lit(None).cast("double")
@@ -75,7 +78,7 @@ def targets(cells: DataFrame, axis: str, mix: Mixture) -> DataFrame:
     scale = named if named > 1 or not rest else 1.0
     left = max(0.0, 1 - named) / rest if rest else 0.0
     share = F.coalesce(fixed, lift * left) / max(scale, 1e-12)
-    return sums.select(a, share.alias("share"))
+    return sums.withColumn("share", share).drop("n")
 
 
 def rake(cells: DataFrame, mix: Mixture) -> DataFrame:
@@ -85,29 +88,32 @@ def rake(cells: DataFrame, mix: Mixture) -> DataFrame:
     weighted tokens meet the value's share; a sweep does so for source, language and
     topic. It ends when no marginal misses its share by more than `tolerance` of it. Sums
     are grouped before they are joined back, so a frequent value is a few cells, not rows.
+    Cells carry the shares and are staged after each step. A step planned on top of another
+    holds it twice, in its sums and in its cells, so plans, and what the driver broadcasts for
+    them, would double from axis to axis.
     """
-    aims = {a: stage(targets(cells, a, mix), "targets") for a in AXES}
     n = cells.agg(F.sum("n")).first()[0] or 0
     current = cells.withColumn("ratio", F.lit(1.0 / max(n, 1)))
+    for a in AXES:
+        current = current.join(targets(cells, a, mix).withColumnRenamed("share", f"_share_{a}"), f"_m_{a}", "left")
+    current = stage(current.withColumn("_miss", F.lit(0.0)).coalesce(8), "cells")
     for _ in range(mix.sweeps):
-        miss = None
         for a in AXES:
-            sums = current.groupBy(f"_m_{a}").agg(F.sum(F.col("n") * F.col("ratio")).alias("_sum"))
-            factor = aims[a].join(sums, f"_m_{a}").select(
+            sums = current.groupBy(f"_m_{a}").agg(
+                F.sum(F.col("n") * F.col("ratio")).alias("_sum"), F.max(f"_share_{a}").alias("share")
+            )
+            factor = sums.select(
                 f"_m_{a}", F.when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(0.0).alias("_by")
             )
-            current = current.join(factor, f"_m_{a}")
             off = F.abs(F.col("_by") - 1)
-            current = current.withColumn("ratio", F.col("ratio") * F.col("_by")).withColumn(
-                "_miss", off if miss is None else F.greatest("_miss", off)
-            ).drop("_by")
-            miss = off
-        current = stage(current.coalesce(8), "cells")
+            scaled = current.join(factor, f"_m_{a}").withColumns({
+                "ratio": F.col("ratio") * F.col("_by"), "_miss": off if a == AXES[0] else F.greatest("_miss", off)
+            })
+            current = stage(scaled.drop("_by").coalesce(8), "cells")
         worst = current.where((F.col("n") > 0) & (F.col("ratio") > 0)).agg(F.max("_miss")).first()[0]
-        current = current.drop("_miss")
         if worst is None or worst <= mix.tolerance:
             break
-    return current
+    return current.drop("_miss", *[f"_share_{a}" for a in AXES])
 
 
 def calibrate(cells: DataFrame, mix: Mixture) -> DataFrame:
@@ -131,12 +137,11 @@ def marginals(cells: DataFrame, mix: Mixture) -> DataFrame:
     total = cells.agg(F.sum(F.col("n") * F.col("p"))).first()[0] or 0.0
     each = []
     for a in AXES:
-        sums = cells.groupBy(f"_m_{a}").agg(F.sum(F.col("n") * F.col("p")).alias("_sum"))
         expected = F.col("_sum") / total if total else F.lit(0.0)
         each.append(
-            targets(cells, a, mix).join(sums, f"_m_{a}").select(
+            targets(cells, a, mix, F.sum(F.col("n") * F.col("p")).alias("_sum")).select(
                 F.lit(a).alias("axis"), F.col(f"_m_{a}").alias("value"), F.col("share").alias("wanted"), expected.alias("expected")
-            )
+            ).where(F.col("value").isNotNull())
         )
     return reduce(DataFrame.unionByName, each).withColumn("unmet", F.col("wanted") - F.col("expected"))
 
