@@ -92,3 +92,54 @@ def test_texts_that_share_their_ends_or_their_beginnings():
         best[v] = max(best.get(v, (0, "")), (s, trie.texts[p]))
     assert best[0] == (1000, "moc.emca@1234c")
     assert best[1][0] == max(round(2000 * naive("4321C", t) / (5 + len(t))) for t in texts)
+
+
+def brute(texts: list[str], value: str, limit: int) -> list[tuple[int, str]]:
+    return sorted((-round(2000 * naive(value, t) / (len(value) + len(t))), t) for t in texts)[:limit]
+
+
+def test_few_nodes_are_visited_and_only_the_best_come_out(monkeypatch):
+    """A text follows its own ways down the trie, whatever the texts beside it do; what it must reach rules out the rest."""
+    from tributary.operators import keytrie as K
+
+    texts = [f"moc.emca@{str(i)[::-1]}c" for i in range(20000)]
+    trie = KeyTrie(texts)
+    values = [f"{str(i)[::-1]}0000#remotsuc" for i in range(10007, 20000, 97)] + [f"moc.emca.{str(i)[::-1]}c" for i in range(10007, 20000, 97)]
+    looked = []
+    bounds = K._Trie._bounds
+    monkeypatch.setattr(K._Trie, "_bounds", lambda self, *a: looked.append(len(a[3])) or bounds(self, *a))
+    monkeypatch.setattr(K, "PAIRS", 1000)
+    monkeypatch.setattr(K, "HELD", 100)
+    order = np.arange(len(trie.texts))
+    none = np.zeros(len(values), np.int64)
+    found = trie.search(values, none, 3, order, 8)
+    reached = np.full(len(values), 1001)
+    np.minimum.at(reached, found[0], found[2])
+    assert np.bincount(found[0], minlength=len(values)).min() == 3
+    value, place, score, _ = trie.search(values, reached, 3, order)
+    nodes = sum(len(level.letter) for _, _, part in trie.parts for level in part.levels)
+    assert sum(looked) < 0.2 * nodes * len(values)
+    assert np.bincount(value, minlength=len(values)).tolist() == [3] * len(values)
+    for v in (0, 50, len(values) - 1):
+        got = [(-int(s), trie.texts[p]) for p, s in zip(place[value == v], score[value == v])]
+        assert sorted(got) == brute(texts, values[v], 3)
+
+
+def test_blocks_near_the_first_matches_miss_nothing(spark, monkeypatch):
+    """Many blocks and one way at a time: first passes find little, the last one all."""
+    monkeypatch.setattr(L, "KEY_BLOCK", 60)
+    monkeypatch.setattr(L, "VALUE_BLOCK", 10)
+    monkeypatch.setattr(L, "WAYS", 1)
+    monkeypatch.setattr(L, "BEAM", 5)
+    keys = [f"c{i}{' ' if i % 3 == 0 else ''}@acme.com" for i in range(0, 2500, 7)] + ["b a", "a b", "b  a"]
+    values = [f"customer#{i:06}" for i in range(3, 2500, 101)] + [f"c{i}.acme.com" for i in range(5, 2500, 101)] + ["a b"]
+    got = L.top_matches(
+        spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    best: dict[str, list[tuple[int, str]]] = {}
+    for r in got.orderBy("value", "rank").collect():
+        best.setdefault(r["value"], []).append((-r["score"], r["key"]))
+    tokens = {k: " ".join(sorted(k.split())) for k in keys}
+    for v in values:
+        w = " ".join(sorted(v.split()))
+        want = sorted((-round(2000 * naive(w, t) / (len(w) + len(t))), k) for k, t in tokens.items())[:3]
+        assert best[v] == want
