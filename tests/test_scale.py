@@ -111,6 +111,28 @@ def test_queue_state_is_read_and_written_once_a_group():
     assert list(queue.advance((1, 3), iter([frame([])]), state)) == []
 
 
+def test_many_runs_are_few_groups_of_the_queue(spark):
+    """Runs share the groups that hold state, each still by itself; a run may be null."""
+    runs = spark.range(20000).selectExpr(
+        "IF(id = 7, NULL, id + 9007199254740993) AS run_id", "1L AS seq", "'raised' AS kind", "'value_conflict' AS type", "'r' || id % 3 AS entity_ref", "NULL AS resolved_by")
+    dealt = queue.placed(runs.select(*[c.split()[0] for c in queue.EVENTS.split(", ")]))
+    assert dealt.select("bucket", "part").distinct().count() <= 3 * (queue.RUN_BUCKETS + 1)
+    assert dealt.where("bucket = -1").count() == 1
+    columns = ["run_id", *queue.EVENT]
+    state = Held()
+    first = [(run, 1, "raised", "value_conflict", f"r{i}", None) for run in (5, 6) for i in range(3)] + [(5, 1, "built", None, None, None)]
+    told = pd.concat(queue.advance_runs((2, 1), iter([pd.DataFrame(first, columns=columns)]), state))
+    assert len(told) == 6 and set(told["status"]) == {"open"}
+    # Only run 5 is built again: r1 stays open, its others close; those of run 6 are left alone.
+    second = [(5, 2, "raised", "value_conflict", "r1", None), (5, 2, "built", None, None, None), (6, 2, "rejected", "value_conflict", "r0", "ann")]
+    told = pd.concat(queue.advance_runs((2, 1), iter([pd.DataFrame(second, columns=columns)]), state))
+    assert sorted((r.run_id, r.entity_ref, r.status, r.resolved_by) for r in told.itertuples()) == [
+        (5, "r0", "resolved", "agent"), (5, "r1", "open", None), (5, "r2", "resolved", "agent"), (6, "r0", "rejected", "ann")]
+    assert (state.asked, state.told) == (1, 2) and len(state.value[0]) == 6
+    none = pd.concat(queue.advance_runs((-1, 1), iter([pd.DataFrame(first[:1], columns=columns)]), Held()))
+    assert none["run_id"].isna().all()
+
+
 def test_fingerprints_of_rows_do_not_travel_unless_a_decision_names_them(spark):
     """The keys that decisions name are many, their fingerprints few: rows need no shuffle to find those."""
     schema = parse_schema({"primary_key": "employee_id", "fields": {"employee_id": "string", "email": "email"}, "match_keys": ["email", "employee_id"]})
