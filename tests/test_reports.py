@@ -45,3 +45,36 @@ def test_audit_of_many_runs_in_few_folders(spark, tmp_path):
         feeds.append_audit(spark.range(500).selectExpr("id AS run_id", f"{n} AS id"), path)
     assert len([p for p in (tmp_path / "audit").iterdir() if p.is_dir()]) <= feeds.RUN_BUCKETS
     assert spark.read.parquet(path).groupBy("run_id").count().where("count = 2").count() == 500
+
+
+def test_what_is_delivered_twice_is_worked_out_once(spark, monkeypatch):
+    def rows(action):
+        none = "CAST(NULL AS map<string,string>)"
+        return spark.range(3).selectExpr(
+            "1L AS run_id", "'agent' AS actor", f"'{action}' AS action", "'record' AS target_type", "CAST(id AS STRING) AS target_id",
+            "'because' AS reason", f"{none} AS before", f"{none} AS after")
+
+    class Build:
+        def audit(self, run_id):
+            return rows("cleaned_value")
+
+        def activity(self, run_id):
+            return rows("activity:mapping")
+
+    subjects = spark.range(3).selectExpr("1L AS run_id", "'value_conflict' AS type", "'r' || id AS entity_ref", "'open' AS status", "'n' AS note", "'ann' AS resolved_by")
+    monkeypatch.setattr(reports.consolidate, "run", lambda *a: Build())
+    monkeypatch.setattr(reports.X, "raw_exports", lambda *a: {})
+    monkeypatch.setattr(reports, "queue_steps", lambda *a: (subjects, subjects, subjects))
+    monkeypatch.setattr(reports, "outcomes", lambda *a: (rows("pushed"), rows("rolled_back")))
+    plans = []
+    append = feeds.AuditTrail.append
+
+    def noting(self, given, *a):
+        plans.append(given._jdf.queryExecution().optimizedPlan().toString())
+        append(self, given, *a)
+
+    monkeypatch.setattr(feeds.AuditTrail, "append", noting)
+    told = {r["action"]: r["n"] for r in reports.audit_trail(spark, "").collect()}
+    assert told == {
+        "cleaned_value": 3, "activity:mapping": 3, "resolved_value_conflict": 3, "auto_closed_escalation": 3, "pushed": 3, "rolled_back": 3}
+    assert len(plans) == 12 and not any("Range" in p for p in plans)
